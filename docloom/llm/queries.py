@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import crosssplit, neardup
+from docloom.llm import crosssplit, leak, neardup, similar, splitting
 from docloom.sources.tables import table
 
 
@@ -33,5 +33,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("kind").alias("item_kind"), "key_a", "key_b")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(wiki_items(spark, sf_dir), table(spark, sf_dir, "chunk_settings"), with_text=False)
+    return pieces.where("piece_no = 0").select("item_kind", "item_key")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(wiki_items(spark, sf_dir), table(spark, sf_dir, "chunk_settings"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5, least=0.85)
+    return near.select(F.least("id", "other_id").alias("chunk_id_a"), F.greatest("id", "other_id").alias("chunk_id_b")).distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
