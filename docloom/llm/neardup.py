@@ -9,7 +9,9 @@ the blocks, two sketches that differ in at most ``2 * blocks - 1`` of their
 symbols collide in at least one of the ``3 * blocks`` tables - a guarantee, not a
 probability. With 10 blocks (radius 19 of 30) a pair of overlap 0.5 lies outside
 the radius *and* collides nowhere with probability 0.5 ** 10; a pair of overlap
-0.8 with probability 1.5e-10. Colliding pairs are then compared exactly.
+0.8 with probability 1.5e-10. Colliding pairs are held against a longer sketch of
+64 four-bit symbols (a pair at the threshold passes but for three standard
+deviations, about 0.15 %, others more surely) and then compared exactly.
 
 Texts with equal sets are one node, so groups of copies cost one row; the
 result is exact copies (node membership) plus links between different texts.
@@ -18,11 +20,12 @@ result is exact copies (node membership) plus links between different texts.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard
@@ -30,6 +33,9 @@ from docloom.llm.kernels import Words, binaries, by_chars, distinct_sorted, mix6
 from docloom.session import materialize
 
 BLOCK = 3
+#: Symbols of the comparison sketch, four bits each, and the 64-bit words that hold them.
+SHORT, SHORT_WORDS = 64, 4
+SHORT_NAMES = [f"c{i}" for i in range(SHORT_WORDS)]
 
 
 def covering_masks(radius: int) -> list[list[int]]:
@@ -70,6 +76,28 @@ def table_keys(sketch: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short_forms(sketch: np.ndarray) -> np.ndarray:
+    """Four bits of each of SHORT symbols, packed into SHORT_WORDS words per row."""
+    bits = (mix64(sketch[:, :SHORT]) >> np.uint64(60)).reshape(len(sketch), SHORT_WORDS, -1)
+    return np.bitwise_or.reduce(bits << (np.arange(bits.shape[2], dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def least_agreement(threshold: float) -> int:
+    """Equal short symbols that a pair of this overlap has but for three standard deviations."""
+    p = threshold + (1 - threshold) / 16
+    return int(SHORT * p - 3 * math.sqrt(SHORT * p * (1 - p)))
+
+
+def agreement(x: str, y: str) -> Column:
+    """Equal four-bit symbols of two short forms, counted in the JVM."""
+    parts = []
+    for i in range(SHORT_WORDS):
+        d = f"({x}.c{i} ^ {y}.c{i})"
+        folded = " | ".join(f"shiftrightunsigned({d}, {k})" if k else d for k in range(4))
+        parts.append(f"bit_count(({folded}) & {0x1111111111111111}L)")
+    return F.expr(f"{SHORT} - ({' + '.join(parts)})")
+
+
 def kind_salts(kinds: list[str]) -> np.ndarray:
     salt = {kind: xxhash.xxh3_64_intdigest(str(kind)) for kind in set(kinds)}
     return np.array([salt[k] for k in kinds], np.uint64)
@@ -108,7 +136,9 @@ def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> D
         for batch in batches:
             kinds, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             for at, nodes, values, begin in _node_sets(texts, kinds, words, least_words):
-                tables = table_keys(sketches(values, begin, BLOCK * blocks))
+                sketch = sketches(values, begin, max(BLOCK * blocks, SHORT))
+                tables = table_keys(sketch[:, : BLOCK * blocks])
+                short = signed(short_forms(sketch))
                 tables += kind_salts([kinds[i] for i in at.tolist()])[:, None]  # kinds never meet
                 width = tables.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -118,11 +148,12 @@ def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> D
                         pa.array(signed(nodes)),
                         pa.array(np.diff(begin).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(signed(tables).ravel())),
+                        *(pa.array(short[:, i]) for i in range(SHORT_WORDS)),
                     ],
-                    names=["kind", "key", "node", "n", "tables"],
+                    names=["kind", "key", "node", "n", "tables", *SHORT_NAMES],
                 )
 
-    return items.select("kind", "key", "text").where("key is not null").mapInArrow(run, "kind string, key string, node long, n int, tables array<long>")
+    return items.select("kind", "key", "text").where("key is not null").mapInArrow(run, f"kind string, key string, node long, n int, tables array<long>, {', '.join(c + ' long' for c in SHORT_NAMES)}")
 
 
 def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray) -> DataFrame:
@@ -148,12 +179,22 @@ def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray
 
 
 def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of nodes that share a table key and whose sizes allow the overlap."""
-    keyed = nodes.select("node", "n", F.explode("tables").alias("t"))
+    """Distinct pairs ``(a, b)``, a < b, of nodes that share a table key.
+
+    Pairs whose sizes cannot give the overlap, and pairs whose short forms agree
+    less than ``least_agreement``, are left out before they are shuffled.
+    """
+    keyed = nodes.select("node", "n", *SHORT_NAMES, F.explode("tables").alias("t"))
     x, y = keyed.alias("x"), keyed.alias("y")
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(threshold - 1e-9)
     return (
-        x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & fits)
+        x.join(
+            y,
+            (F.col("x.t") == F.col("y.t"))
+            & (F.col("x.node") < F.col("y.node"))
+            & fits
+            & (agreement("x", "y") >= least_agreement(threshold)),
+        )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
@@ -176,7 +217,7 @@ def near_duplicate_links(
     """
     rows = materialize(item_nodes(items, words, least_words, blocks))
     members = rows.select("kind", "key", "node").distinct()
-    nodes = rows.select("node", "n", "tables").dropDuplicates(["node"])
+    nodes = rows.drop("kind", "key").dropDuplicates(["node"])
     pairs = materialize(candidate_pairs(nodes, threshold))
     wanted = jaccard.membership(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = jaccard.exact_overlaps(pairs, node_sets(items, words, least_words, wanted), threshold)
