@@ -5,7 +5,9 @@ the shingles, rarest first, is fixed by a frequency table of constant size (2^20
 counters addressed by the shingle's hash, so the table is broadcast whatever the
 corpus); any consistent order keeps the join exact, a good one keeps it small.
 Evaluation prefixes are the index, training prefixes probe it with a length and
-a position filter; surviving pairs are verified on the whole shingle sets.
+a position filter, and with a 256-bit parity sketch whose distance bounds the
+sets' difference from below (all three never lose a pair); surviving pairs are
+verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from docloom.llm.kernels import Words, binaries, by_chars, code_points, distinct
 from docloom.session import materialize
 
 COUNTERS = 1 << 20
+#: Bits of the parity sketch. Its Hamming distance never exceeds the two sets' symmetric difference.
+PARITY_BITS = 256
+PARITY = [f"b{i}" for i in range(PARITY_BITS // 64)]
 
 
 def normal_form(some: Words, i: int) -> str:
@@ -44,6 +49,12 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sorted(mix64(acc), begin)
 
 
+def parity_sketches(values: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    cell = owner * PARITY_BITS + ((values >> np.uint64(40)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=count * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(count, -1)
+
+
 def _batches(batches, size):
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -102,9 +113,10 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int =
         seen = frequency.value
         for batch in batches:
             held, node = batch.column(0), batch.column(1).to_numpy()
-            grams, owners, sizes, places = [], [], [], []
+            grams, owners, sizes, places, whole = [], [], [], [], []
             for i, feats in enumerate(batch.column(2)):
                 values = np.frombuffer(feats.as_buffer(), np.uint64)
+                whole.append(values)
                 n = len(values)
                 length = n - math.ceil(threshold * n - 1e-9) + 1
                 order = np.lexsort((values, seen[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:length]
@@ -114,6 +126,8 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int =
                 places.append(np.arange(len(order), dtype=np.int32))
             if grams:
                 owner = np.concatenate(owners)
+                every = np.repeat(np.arange(len(whole)), [len(v) for v in whole])
+                parity = parity_sketches(np.concatenate(whole), every, len(whole))[owner]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(np.concatenate(grams))),
@@ -121,19 +135,22 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int =
                         pa.array(node[owner]),
                         pa.array(np.concatenate(sizes)),
                         pa.array(np.concatenate(places)),
+                        *(pa.array(parity[:, i]) for i in range(len(PARITY))),
                     ],
-                    names=["g", "held", "node", "n", "p"],
+                    names=["g", "held", "node", "n", "p", *PARITY],
                 )
 
-    index = sets.mapInArrow(prefixes, "g long, held boolean, node long, n int, p int")
+    index = sets.mapInArrow(prefixes, "g long, held boolean, node long, n int, p int, " + ", ".join(b + " long" for b in PARITY))
     x, y = index.where("held").alias("x"), index.where("not held").alias("y")
     need = (F.col("x.n") + F.col("y.n")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    apart = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in PARITY))
     pairs = materialize(
         x.join(
             y,
             (F.col("x.g") == F.col("y.g"))
             & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(threshold) - 1e-6)
-            & (F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= need),
+            & (F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= need)
+            & (F.col("x.n") + F.col("y.n") - apart >= 2 * need),
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
