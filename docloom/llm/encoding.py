@@ -33,7 +33,7 @@ ENCODINGS = [
     "mac_cyrillic", "mac_roman", "cp437", "cp850", "cp1250", "latin_1",
 ]
 #: log share of mutual information under which a pair is improbable, and under which UTF-8 is tried.
-IMPROBABLE, DOUBTFUL = -13.0, -9.5
+IMPROBABLE, DOUBTFUL = -11.0, -9.5
 #: Gain of one word (natural log units) and per pair that proves a mapping; the same for all words of a document.
 WORD_GAIN, WORD_MEAN, TEXT_GAIN, TEXT_MEAN = 6.5, 3.0, 12.0, 2.0
 FLOOR, WEAKEST_PMI, FOLD_COST, SMALLEST = -20.0, 0.5, 1.5, 1e-9
@@ -233,7 +233,8 @@ class Restorer:
             return None
         spans = [words[w] for w in chosen.tolist()]
         core = np.array([_tells(text, a, b) for a, b in spans])
-        if not core.any():
+        lone = np.array([b - a == 1 and text[a].isalpha() for a, b in spans])  # a letter that may have been a dash
+        if not (core | lone).any():
             return None
         sizes = np.array([b - a + 2 for a, b in spans])
         begin = np.concatenate(([0], np.cumsum(sizes)))
@@ -246,14 +247,15 @@ class Restorer:
         for name, meant in inverse_mappings().items():
             mapped = np.where(edge, points, meant[points])
             possible = np.minimum.reduceat(mapped, begin[:-1]) > 0
-            if not (possible & core).any():
+            tells = core | lone & _punctuation()[mapped[begin[:-1] + 1]]
+            if not (possible & tells).any():
                 continue
             i = _indices(mapped)
             score = np.concatenate(([0], self.scores[i[:-1], i[1:]]))
             score[begin[:-1]] = 0  # pairs across two words
             gain = np.where(possible, np.add.reduceat(score, begin[:-1]) - before, 0)
             good = gain > 0
-            told = good & core
+            told = good & tells
             total, count = gain[told].sum(), pairs[told].sum()
             strong = (gain[told] >= WORD_GAIN) & (gain[told] >= WORD_MEAN * pairs[told])
             if not (strong.any() or total >= TEXT_GAIN and total >= TEXT_MEAN * count):
@@ -278,6 +280,11 @@ class Restorer:
         return f"{right} as {wrong}", texts
 
 
+@functools.cache
+def _punctuation() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(c))[0] == "P" for c in range(65536)), bool, 65536)
+
+
 def _tells(text: str, a: int, b: int) -> bool:
     """Whether a word can prove a mapping: it has two letters or touches one; lone signs and letters prove nothing."""
     left, right = text[a - 1 : a].isalpha() if a else False, text[b : b + 1].isalpha()
