@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import crosssplit, encoding, leak, neardup, similar, splitting
+from docloom.llm import crosssplit, encoding, leak, mixing, neardup, similar, splitting
 from docloom.sources.tables import table
 
 
@@ -51,6 +51,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached_shares(p7_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -59,5 +67,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {}
