@@ -38,7 +38,6 @@ IMPROBABLE, DOUBTFUL = -11.0, -9.5
 WORD_GAIN, WORD_MEAN, TEXT_GAIN, TEXT_MEAN = 6.5, 3.0, 12.0, 2.0
 FLOOR, WEAKEST_PMI, FOLD_COST, SMALLEST = -20.0, 0.5, 1.5, 1e-9
 UTF8_DEPTH = 3
-_WORD = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
@@ -167,7 +166,11 @@ def maximal_segments(weights: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Restorer:
-    """Finds garbled words of a text and what they were, by the corpus' pair scores."""
+    """Finds garbled words of texts and what they were, by the corpus' pair scores.
+
+    Many texts are handled as one array; per word Python runs only where a word
+    can be read as UTF-8 and where a text is changed.
+    """
 
     def __init__(self, scores: np.ndarray):
         self.scores = scores
@@ -176,108 +179,137 @@ class Restorer:
         i = _indices(points)
         return self.scores[i[:-1], i[1:]]
 
-    def restore(self, text: str) -> tuple[str, str | None, bool] | None:
-        """(restored text, mappings, whether garbled characters remain), or None for a sound text."""
-        if text.isascii():
-            return None
-        points = code_points(text)
-        padded = np.concatenate(([10], points, [10])).astype(np.uint32)
-        s = self.pairs(padded)  # s[i]: the pair before character i
-        lost = bool(_LOST.search(text))
-        if not lost and s.min() >= DOUBTFUL - IMPROBABLE:
-            return None
-        words = [m.span() for m in _WORD.finditer(text)]
-        starts, ends = (np.array(c) for c in zip(*words))
-        lowest = np.array([s[a : b + 1].min() for a, b in words])
-        inside = np.zeros(len(words), bool)
-        for a, b in maximal_segments(np.clip(-s, -6, 6)):
-            inside[np.searchsorted(ends, a, side="left") : np.searchsorted(starts, b, side="left")] = True
-        own = np.array([s[a : b + 1].sum() for a, b in words])
+    def restore(self, texts: list[str]) -> dict[int, tuple[str, str | None, bool]]:
+        """(restored text, mappings, whether garbled characters remain) of the texts that are not sound."""
+        some = [i for i, t in enumerate(texts) if t and not t.isascii()]
+        if not some:
+            return {}
+        joined = "\n" + "\n".join(texts[i] for i in some) + "\n"
+        p = np.minimum(code_points(joined), 65535)
+        begin = 1 + np.concatenate(([0], np.cumsum([len(texts[i]) + 1 for i in some])))
+        s = np.append(self.pairs(p), np.float32(0))  # s[j]: the pair of characters j and j + 1
+        edge = np.diff((p > 127).view(np.int8), prepend=np.int8(0))
+        wa, wb = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        bounds = np.stack((wa - 1, wb), 1).ravel()  # a word's pairs include its two neighbours
+        lowest, own = np.minimum.reduceat(s, bounds)[::2], np.add.reduceat(s, bounds)[::2]
+        text_of = np.searchsorted(begin, wa, side="right") - 1
+        lost = np.bincount(text_of, np.maximum.reduceat(_lost()[p], np.stack((wa, wb), 1).ravel())[::2], len(some)) > 0
+
+        weights = np.clip(-s, -6, 6)
+        weights[begin[1:] - 1] = -1e6  # no segment crosses two texts
+        inside = np.zeros(len(wa) + 1, np.int32)
+        if segments := maximal_segments(weights):
+            sa, se = (np.array(c) for c in zip(*segments))
+            np.add.at(inside, np.searchsorted(wb, sa, side="right"), 1)
+            np.add.at(inside, np.searchsorted(wa, se, side="right"), -1)
+        inside = np.cumsum(inside)[:-1] > 0
+
         changes: dict[int, str] = {}
-        paths: dict[tuple[str, ...], None] = {}
+        used: dict[int, dict[str, None]] = {}
+        self._utf8(joined, p, wa, wb, own, text_of, np.flatnonzero((inside | (lowest < DOUBTFUL - IMPROBABLE)) & _may_be_utf8(p, wa, wb)), changes, used)
+        open_words = np.flatnonzero(inside)
+        open_words = open_words[[w not in changes for w in open_words.tolist()]]
+        self._single(joined, p, wa, wb, own, text_of, open_words, len(some), changes, used)
+
+        of_text: dict[int, list[int]] = {k: [] for k in np.flatnonzero(lost).tolist()}
+        for w in sorted(changes):
+            of_text.setdefault(int(text_of[w]), []).append(w)
+        found = {}
+        for k, changed in of_text.items():
+            out, at = [], int(begin[k])
+            for w in changed:
+                out += [joined[at : wa[w]], changes[w]]
+                at = int(wb[w])
+            restored = "".join(out) + joined[at : begin[k + 1] - 1]
+            found[some[k]] = restored, ", ".join(used.get(k, ())) or None, bool(_LOST.search(restored))
+        return found
+
+    def _utf8(self, joined, p, wa, wb, own, text_of, words, changes, used):
+        paths: dict[int, set] = {}
         tried: dict[int, list] = {}
-        for w in np.flatnonzero(inside | (lowest < DOUBTFUL - IMPROBABLE)).tolist():
-            a, b = words[w]
+        for w in words.tolist():
+            a, b = int(wa[w]), int(wb[w])
+            tried[w] = utf8_readings(joined[a:b])
             best = None
-            tried[w] = utf8_readings(text[a:b])
             for path, t in tried[w]:
-                new = self.pairs(np.concatenate((padded[a : a + 1], code_points(t), padded[b + 1 : b + 2])))
+                new = self.pairs(np.concatenate((p[a - 1 : a], code_points(t), p[b : b + 1])))
                 # Fewer characters have fewer pairs, so a higher mean counts as well.
                 if new.sum() > own[w] or new.mean() > max(own[w] / (b - a + 1), 0):
                     best = max(best or (new.mean(), path, t), (new.mean(), path, t))
             if best:
+                k = int(text_of[w])
                 changes[w] = best[2]
-                paths[best[1]] = None
-        for w in tried if paths else ():  # what is proven for a document holds for its other readable words
+                paths.setdefault(k, set()).add(best[1])
+                used.setdefault(k, {})["utf_8 as " + " as ".join(reversed(best[1]))] = None
+        for w, readings in tried.items():  # what is proven for a text holds for its other readable words
             if w not in changes:
-                changes |= {w: t for path, t in tried[w] if path in paths}
-        used = ["utf_8 as " + " as ".join(reversed(path)) for path in paths]
-        single = self._single(text, padded, words, own, np.array([w for w in np.flatnonzero(inside).tolist() if w not in changes], int))
-        if single:
-            name, texts = single
-            changes |= texts
-            used.append(name)
-        if not changes and not lost:
-            return None
-        out, at = [], 0
-        for w in sorted(changes):
-            a, b = words[w]
-            out += [text[at:a], changes[w]]
-            at = b
-        restored = "".join(out) + text[at:]
-        return restored, ", ".join(dict.fromkeys(used)) or None, bool(_LOST.search(restored))
-
-    def _single(self, text, padded, words, own, chosen):
-        """The 8-bit mapping that explains the chosen words best, if any is proven."""
+                proven = paths.get(int(text_of[w]), ())
+                changes |= {w: t for path, t in readings if path in proven}
+
+    def _single(self, joined, p, wa, wb, own, text_of, chosen, count, changes, used):
+        """The 8-bit mapping that explains a text's chosen words best, where one is proven."""
         if not len(chosen):
-            return None
-        spans = [words[w] for w in chosen.tolist()]
-        core = np.array([_tells(text, a, b) for a, b in spans])
-        lone = np.array([b - a == 1 and text[a].isalpha() for a, b in spans])  # a letter that may have been a dash
-        if not (core | lone).any():
-            return None
-        sizes = np.array([b - a + 2 for a, b in spans])
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes) + np.repeat([a for a, _ in spans], sizes)
-        points = np.minimum(padded[at], 65535)  # each word with its two neighbours
+            return
+        a, b, doc = wa[chosen], wb[chosen], text_of[chosen]
+        letter, space = _letters()
+        ends = np.stack((a, b), 1).ravel()
+        letters = np.add.reduceat(letter[p].astype(np.int32), ends)[::2]
+        blank = np.add.reduceat(space[p].astype(np.int32), ends)[::2] == b - a
+        # Two letters, or touching one, can prove a mapping; lone signs and letters prove nothing,
+        # but for a lone letter that may have been a dash.
+        core = ~blank & ((letters > 1) | (b - a > 1) & (letters > 0) | letter[p[a - 1]] | letter[p[b]])
+        lone = (b - a == 1) & (letters == 1)
+        sizes = b - a + 2
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.arange(first[-1]) + np.repeat(a - 1 - first[:-1], sizes)
+        points = p[at]
         edge = np.zeros(len(points), bool)
-        edge[begin[:-1]] = edge[begin[1:] - 1] = True
+        edge[first[:-1]] = edge[first[1:] - 1] = True
         before, pairs = own[chosen], sizes - 1
-        best = None
-        for name, meant in inverse_mappings().items():
-            mapped = np.where(edge, points, meant[points])
-            possible = np.minimum.reduceat(mapped, begin[:-1]) > 0
-            tells = core | lone & _punctuation()[mapped[begin[:-1] + 1]]
-            if not (possible & tells).any():
+        best = np.zeros(count)
+        choice = np.full(count, -1)
+        names = list(inverse_mappings())
+        index = alphabet()[0]
+        for number, name in enumerate(names):
+            mapped = np.where(edge, points, inverse_mappings()[name][points])
+            possible = np.minimum.reduceat(mapped, first[:-1]) > 0
+            tells = possible & (core | lone & _punctuation()[mapped[first[:-1] + 1]])
+            if not tells.any():
                 continue
-            i = _indices(mapped)
-            score = np.concatenate(([0], self.scores[i[:-1], i[1:]]))
-            score[begin[:-1]] = 0  # pairs across two words
-            gain = np.where(possible, np.add.reduceat(score, begin[:-1]) - before, 0)
+            # Only the words this mapping can read are scored.
+            used_words = np.flatnonzero(possible)
+            part = np.repeat(possible, sizes)
+            starts = np.concatenate(([0], np.cumsum(sizes[used_words])))[:-1]
+            i = index[mapped[part]]
+            score = np.concatenate((np.zeros(1, np.float32), self.scores[i[:-1], i[1:]]))
+            score[starts] = 0  # pairs across two words
+            gain = np.add.reduceat(score, starts) - before[used_words]
             good = gain > 0
-            told = good & tells
-            total, count = gain[told].sum(), pairs[told].sum()
-            strong = (gain[told] >= WORD_GAIN) & (gain[told] >= WORD_MEAN * pairs[told])
-            if not (strong.any() or total >= TEXT_GAIN and total >= TEXT_MEAN * count):
-                continue
-            whole = gain[good].sum()
-            if best is None or whole > best[0]:
-                best = (whole, name, good, mapped)
-        if best is None:
-            return None
-        _, (wrong, right), good, mapped = best
-        texts = {int(chosen[k]): "".join(map(chr, mapped[begin[k] + 1 : begin[k + 1] - 1].tolist())) for k in np.flatnonzero(good).tolist()}
-        # Between two restored words of a line the mapping holds for every word that it can read.
-        meant = inverse_mappings()[wrong, right]
-        done = sorted(texts)
-        for left, after in zip(done, done[1:]):
-            if after > left + 1 and "\n" not in text[words[left][1] : words[after][0]]:
-                for w in range(left + 1, after):
-                    a, b = words[w]
-                    read = meant[np.minimum(padded[a + 1 : b + 1], 65535)]
-                    if read.all():
-                        texts[w] = "".join(map(chr, read.tolist()))
-        return f"{right} as {wrong}", texts
+            told = good & tells[used_words]
+            docs, many = doc[used_words], pairs[used_words]
+            total, told_pairs = np.bincount(docs[told], gain[told], count), np.bincount(docs[told], many[told], count)
+            strong = told & (gain >= WORD_GAIN) & (gain >= WORD_MEAN * many)
+            proven = (np.bincount(docs[strong], minlength=count) > 0) | (total >= TEXT_GAIN) & (total >= TEXT_MEAN * told_pairs)
+            whole = np.bincount(docs[good], gain[good], count)
+            better = proven & (whole > best)
+            best[better], choice[better] = whole[better], number
+        for k in np.flatnonzero(choice >= 0).tolist():
+            wrong, right = name = names[choice[k]]
+            meant = inverse_mappings()[name]
+            done = []
+            for w in chosen[doc == k].tolist():
+                read = meant[p[wa[w] : wb[w]]]
+                if read.all() and self.pairs(np.concatenate((p[wa[w] - 1 : wa[w]], read, p[wb[w] : wb[w] + 1]))).sum() > own[w]:
+                    changes[w] = "".join(map(chr, read.tolist()))
+                    done.append(w)
+            # Between two restored words of a line the mapping holds for every word that it can read.
+            for left, after in zip(done, done[1:]):
+                if after > left + 1 and "\n" not in joined[wb[left] : wa[after]]:
+                    for w in range(left + 1, after):
+                        read = meant[p[wa[w] : wb[w]]]
+                        if w not in changes and read.all():
+                            changes[w] = "".join(map(chr, read.tolist()))
+            used.setdefault(k, {})[f"{right} as {wrong}"] = None
 
 
 @functools.cache
@@ -285,13 +317,24 @@ def _punctuation() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "P" for c in range(65536)), bool, 65536)
 
 
-def _tells(text: str, a: int, b: int) -> bool:
-    """Whether a word can prove a mapping: it has two letters or touches one; lone signs and letters prove nothing."""
-    left, right = text[a - 1 : a].isalpha() if a else False, text[b : b + 1].isalpha()
-    letters = sum(c.isalpha() for c in text[a:b])
-    if text[a:b].isspace():
-        return False
-    return letters > 1 or (b - a > 1 and letters > 0) or left or right
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.fromiter((test(chr(c)) for c in range(65536)), bool, 65536) for test in (str.isalpha, str.isspace))
+
+
+@functools.cache
+def _lost() -> np.ndarray:
+    return np.fromiter((_LOST.match(chr(c)) is not None for c in range(65536)), np.int8, 65536)
+
+
+def _may_be_utf8(p: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> np.ndarray:
+    """Whether a word begins, in some encoding, with a lead byte and a continuation byte."""
+    first, second = p[wa], p[np.minimum(wa + 1, len(p) - 1)]
+    may = np.zeros(len(wa), bool)
+    for back in _bytes_of().values():
+        x, y = back[first], back[second]
+        may |= (x >= 0xC2) & (x <= 0xF4) & (y >= 0x80) & (y <= 0xBF)
+    return may & (wb - wa > 1)
 
 
 def utf8_readings(word: str, depth: int = UTF8_DEPTH):
@@ -331,17 +374,14 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     def run(batches):
         restorer = Restorer(scores.value)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = [(i, r) for i, t in zip(ids, batch.column(1).to_pylist()) if (r := restorer.restore(t))]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i for i, _ in found], pa.int64()),
-                        pa.array([r[1] for _, r in found], pa.string()),
-                        pa.array([r[2] for _, r in found]),
-                        pa.array([r[0] for _, r in found]),
-                    ],
-                    names=["doc_id", "mappings", "damaged", "restored"],
-                )
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in by_chars(texts):
+                found = restorer.restore(texts[lo:hi])
+                if found:
+                    restored, mappings, damaged = zip(*found.values())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[lo + i] for i in found], pa.int64()), pa.array(mappings, pa.string()), pa.array(damaged), pa.array(restored)],
+                        names=["doc_id", "mappings", "damaged", "restored"],
+                    )
 
     return rows.mapInArrow(run, "doc_id long, mappings string, damaged boolean, restored string").dropDuplicates(["doc_id"])
