@@ -145,7 +145,8 @@ def maximal_segments(weights: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.concatenate(([0], np.flatnonzero(positive[1:] != positive[:-1]) + 1))
     sums = np.add.reduceat(weights, cuts).tolist()
     bounds = np.append(cuts, len(weights)).tolist()
-    kept: list[list] = []  # start, end, sum before, sum after
+    final: list[list] = []  # start, end, sum before, sum after
+    kept: list[list] = []  # those that may still grow
     total = 0.0
     for k, value in enumerate(sums):
         if value <= 0:
@@ -157,12 +158,16 @@ def maximal_segments(weights: np.ndarray) -> list[tuple[int, int]]:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= item[2]:
                 j -= 1
-            if j < 0 or kept[j][3] >= item[3]:
+            if j < 0:  # nothing before can join what comes after
+                final += kept
+                kept = []
+                break
+            if kept[j][3] >= item[3]:
                 break
             item = [kept[j][0], item[1], kept[j][2], item[3]]
             del kept[j:]
         kept.append(item)
-    return [(s, e) for s, e, _, _ in kept]
+    return [(s, e) for s, e, _, _ in final + kept]
 
 
 class Restorer:
@@ -337,6 +342,7 @@ def _may_be_utf8(p: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> np.ndarray:
     return may & (wb - wa > 1)
 
 
+@functools.lru_cache(1 << 15)
 def utf8_readings(word: str, depth: int = UTF8_DEPTH):
     """(encodings it was read as, last first; text) for every way the word is misread UTF-8."""
     found = []
