@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.operators.snapshots import snapshot_changes
-from docloom.sources.tables import table
+from docloom.plans import corpus, retrieval, telemetry
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "hybrid_topk"
 
-
-def p3_found(spark, sf_dir):
-    return snapshot_changes(table(spark, sf_dir, "document_snapshots"))
-
-
-QUERIES = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
+QUERIES = corpus.QUERIES | retrieval.QUERIES | telemetry.QUERIES
+SQL = corpus.SQL | retrieval.SQL | telemetry.SQL
