@@ -176,3 +176,19 @@ def evaluation_questions(cases: DataFrame, safety: DataFrame) -> DataFrame:
 
 def training_questions(cases: DataFrame) -> DataFrame:
     return cases.where(strip_lower(F.col("split")) == "tuning").select("id", "question", "source_set")
+
+
+def overlap_report(found: DataFrame, evaluation: DataFrame, training: DataFrame) -> DataFrame:
+    """Per split and source set: cases, cases that overlap the other side, and pairs.
+
+    The counts cover every (split, source_set) of either side, those without
+    overlaps too; a null source set is reported as ``none``.
+    """
+    sides = evaluation.select("id", "split", "source_set").union(training.select("id", F.lit("tuning"), "source_set"))
+    cases = sides.where("id is not null").distinct().withColumn("source_set", F.coalesce("source_set", F.lit("none")))
+    pairs = found.select(F.col("id_eval").alias("id"), F.lit(True).alias("held")).union(found.select("id_train", F.lit(False)))
+    counts = pairs.groupBy("id", "held").agg(F.count("*").alias("pairs"))
+    joined = cases.withColumn("held", F.col("split") != "tuning").join(counts, ["id", "held"], "left")
+    return joined.groupBy("split", "source_set").agg(
+        F.count("*").alias("cases"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )

@@ -115,3 +115,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run: int = 12) -> Da
         return texts.mapInArrow(find, "doc_id long, item_id long")
 
     return reduce(DataFrame.union, [one(n) for n in range(passes)]).distinct()
+
+
+def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:
+    """One row ``(item_id, kind, lang, documents)`` per test item, 0 documents where it did not leak."""
+    counts = leaks.groupBy("item_id").agg(F.count("*").alias("documents"))
+    known = items.where("item_id is not null").select("item_id", "kind", "lang").dropDuplicates(["item_id"])
+    return known.join(counts, "item_id", "left").select("item_id", "kind", "lang", F.coalesce("documents", F.lit(0)).alias("documents"))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard
+from docloom.llm.components import components
 from docloom.llm.kernels import Words, binaries, by_chars, distinct_sorted, mix64, runs_of, signed
 from docloom.session import materialize
 
@@ -235,3 +236,27 @@ def near_duplicate_pairs(items: DataFrame, **options) -> DataFrame:
     other = inside.select("node", F.col("key").alias("key_b"))
     same = inside.join(other, "node").where("key < key_b").select("kind", F.col("key").alias("key_a"), "key_b")
     return linked.union(same)
+
+
+def near_duplicate_groups(items: DataFrame, **options) -> DataFrame:
+    """One row ``(kind, key, group_id, copies, links)`` per item that takes part; see near_duplicate_links.
+
+    ``group_id`` is the least key of the items linked to this one, directly or
+    through others; ``copies`` counts the items with the same set of word runs
+    (with itself), ``links`` the different texts it is linked to. Copies are
+    never expanded into pairs.
+    """
+    members, links = near_duplicate_links(items, **options)
+    pairs = materialize(links.select("a", "b"))
+    group = components(pairs)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    classes = (
+        members.groupBy("kind", "node")
+        .agg(F.count("*").alias("copies"), F.min("key").alias("least"))
+        .join(group, "node", "left")
+        .join(degree, "node", "left")
+        .select("kind", "node", "copies", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+    named = classes.groupBy("kind", "component").agg(F.min("least").alias("group_id"))
+    whole = classes.join(named, ["kind", "component"]).select("kind", "node", "group_id", "copies", "links")
+    return members.join(whole, ["kind", "node"]).select("kind", "key", "group_id", "copies", "links")

@@ -67,5 +67,61 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
-SQL: dict[str, str] = {}
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, safety = table(spark, sf_dir, "eval_cases"), table(spark, sf_dir, "safety_cases")
+    held, training = crosssplit.evaluation_questions(cases, safety), crosssplit.training_questions(cases)
+    return crosssplit.overlap_report(crosssplit.cross_split_overlaps(held, training), held, training)
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other_id").alias("neighbour_id"), "rank", "cosine")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(wiki_items(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leak_report(p6_found(spark, sf_dir), table(spark, sf_dir, "heldout_items"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_report,
+        p7_selection, p7_shares, p8_found, p8_restored,
+    )
+}
+
+_WORDS = "regexp_extract_all(lower(nfc_normalize({})), '[\\p{{L}}\\p{{N}}_]+')"
+_TOKENS = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]'))"
+
+
+def _runs(key: str, text: str, size: int, table_name: str, least: int) -> str:
+    """Distinct (key, run) of ``size`` consecutive words of texts of at least ``least`` words."""
+    return f"""(select distinct key, array_to_string(w[i:i + {size - 1}], ' ') as run from
+  (select key, w, unnest(range(1, len(w) - {size - 2})) as i from (select {key} as key, {_WORDS.format(text)} as w from {table_name}) where len(w) >= {least}))"""
+
+
+_PAIRS5 = """select '{kind}' as item_kind, a as key_a, b as key_b from (select x.key as a, y.key as b, count(*) as o from {r} x join {r} y on x.run = y.run and x.key < y.key group by 1, 2) p
+  join {r}_n m on m.key = p.a join {r}_n n on n.key = p.b where o >= 0.5 * (m.n + n.n - o)"""
+
+SQL = {
+    "p1_found": f"""with q as (select id, question, lower(trim(split)) as side from eval_cases union select id, question, 'safety' from safety_cases),
+t as (select distinct id, side = 'tuning' as training, array_to_string({_WORDS.format('question')}, ' ') as f from q where side in ('tuning', 'holdout', 'safety')),
+g as (select distinct id, training, substring(f, i, 5) as g from (select *, unnest(range(1, length(f) - 3)) as i from t where length(f) >= 5)),
+n as (select id, training, count(*) as n from g group by 1, 2),
+o as (select a.id as x, b.id as y, count(*) as o from g a join g b on a.g = b.g and a.training and not b.training group by 1, 2)
+select distinct least(x, y) as id_a, greatest(x, y) as id_b from o join n a on a.id = x and a.training join n b on b.id = y and not b.training where o >= 0.6 * (a.n + b.n - o) and x <> y""",
+    "p2_found": f"""select distinct 'page' as item_kind, cast(page_id as varchar) as item_key from wiki_documents join chunk_settings using (source) where {_TOKENS.format('markdown')} > maximum
+union all select distinct 'chunk', chunk_id from chunks join chunk_settings using (source) where {_TOKENS.format('search_text')} > maximum""",
+    "p5_found": f"""with pr as {_runs('cast(page_id as varchar)', 'markdown', 3, 'wiki_documents', 8)}, pr_n as (select key, count(*) as n from pr group by 1),
+cr as {_runs('chunk_id', 'search_text', 3, 'chunks', 8)}, cr_n as (select key, count(*) as n from cr group by 1)
+{_PAIRS5.format(kind='page', r='pr')} union all {_PAIRS5.format(kind='chunk', r='cr')}""",
+    "p6_found": f"""with d as (select doc_id, {_WORDS.format('text')} as w from documents), i as (select item_id, {_WORDS.format('text')} as w from heldout_items),
+sizes as (select distinct least(12, len(w)) as m from i where len(w) > 0),
+ir as (select distinct item_id, m, array_to_string(w[k:k + m - 1], ' ') as run from (select item_id, w, least(12, len(w)) as m, unnest(range(1, len(w) - least(12, len(w)) + 2)) as k from i where len(w) > 0)),
+dr as (select doc_id, m, array_to_string(w[k:k + m - 1], ' ') as run from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as k from d, sizes where len(w) >= m))
+select distinct doc_id, item_id from dr join ir using (m, run)""",
+}
