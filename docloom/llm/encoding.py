@@ -238,8 +238,8 @@ class Restorer:
             best = None
             for path, t in tried[w]:
                 new = self.pairs(np.concatenate((p[a - 1 : a], code_points(t), p[b : b + 1])))
-                # Fewer characters have fewer pairs, so a higher mean counts as well.
-                if new.sum() > own[w] or new.mean() > max(own[w] / (b - a + 1), 0):
+                # Means, as the reading has fewer characters and so fewer pairs; or sums, if the corpus knows them all.
+                if new.mean() > max(own[w] / (b - a + 1), 0) or new.sum() > own[w] and new.min() > FLOOR - IMPROBABLE + 1:
                     best = max(best or (new.mean(), path, t), (new.mean(), path, t))
             if best:
                 k = int(text_of[w])
@@ -290,7 +290,8 @@ class Restorer:
             score[starts] = 0  # pairs across two words
             gain = np.add.reduceat(score, starts) - before[used_words]
             good = gain > 0
-            told = good & tells[used_words]
+            # Evidence are only words all of whose pairs the corpus knows.
+            told = good & tells[used_words] & (np.minimum.reduceat(score, starts) > FLOOR - IMPROBABLE + 1)
             docs, many = doc[used_words], pairs[used_words]
             total, told_pairs = np.bincount(docs[told], gain[told], count), np.bincount(docs[told], many[told], count)
             strong = told & (gain >= WORD_GAIN) & (gain >= WORD_MEAN * many)

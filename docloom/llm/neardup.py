@@ -121,7 +121,7 @@ def _node_sets(texts: list[str | None], kinds: list[str], words: int, least_word
         raw = memoryview(values).cast("B")
         nodes = np.fromiter(
             (
-                xxhash.xxh3_64_intdigest(raw[begin[k] * 8 : begin[k + 1] * 8], seed=xxhash.xxh32_intdigest(kinds[lo + i]))
+                xxhash.xxh3_64_intdigest(raw[begin[k] * 8 : begin[k + 1] * 8], seed=xxhash.xxh32_intdigest(str(kinds[lo + i])))
                 for k, i in enumerate(at.tolist())
             ),
             np.uint64,
@@ -176,7 +176,7 @@ def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray
                     [pa.array(signed(nodes)), binaries(values, begin)], names=["node", "feats"]
                 ).filter(pa.array(keep))
 
-    return items.select("kind", "text").mapInArrow(run, "node long, feats binary")
+    return items.where("key is not null").select("kind", "text").mapInArrow(run, "node long, feats binary")
 
 
 def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
