@@ -84,11 +84,19 @@ class Words:
         inside[:-1] = char_classes()[points] == WORD
         edge = np.diff(inside, prepend=np.int8(0))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = 1 << max(len(points), 2).bit_length()
-        up, down = _powers(size)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mix64(points) * up[: len(points)], out=sums[1:])
-        self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = np.empty(len(self.start), np.uint64)
+        # A word's hash does not depend on its place, so a very long text is hashed in slices.
+        lo = 0
+        while lo < len(self.start):
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + BATCH_CHARS, side="right")))
+            base = self.start[lo]
+            part = points[base : self.end[hi - 1]]
+            up, down = _powers(1 << max(len(part), 2).bit_length())
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(mix64(part) * up[: len(part)], out=sums[1:])
+            start, end = self.start[lo:hi] - base, self.end[lo:hi] - base
+            self.hash[lo:hi] = mix64((sums[end] - sums[start]) * down[start])
+            lo = hi
         self.first = np.searchsorted(self.start, np.concatenate(([0], np.cumsum(lengths))))
 
     def word(self, i: int) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docloom.llm.kernels import Words, by_chars, mix64
 
 #: Code points of test items per pass; more items make more passes over the documents.
-CHARS_PER_PASS = 16_000_000
+CHARS_PER_PASS = 1_000_000
 
 
 def blocks_of(words: np.ndarray) -> np.ndarray:
