@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, telemetry
-from docloom.plans.common import CASES, cases
+from docloom.functions.checks import holds_lines, is_origin, origin_of
+from docloom.functions.text import INSTANT, utc_instant
+from docloom.operators import evaluation, intervals, reports, telemetry
+from docloom.plans.common import CASES, PAGES, SPANS, cases, pages
 from docloom.sources.tables import table
 
 
@@ -45,7 +47,72 @@ def report_totals(spark, sf):
     return found.where("coalesce(in_splits <> questions, true) or coalesce(in_categories <> questions, true)")
 
 
-QUERIES = {f.__name__: f for f in (latency_stats_p95, sample_gaps, counter_deltas, log_fields, tag_counters, split_counters, report_totals)}
+ORDER = ["click", "view", "click", "absent"]
+UNTIL = "2026-03-01T00:00:00.000000Z"
+
+
+def ordered_selection(spark, sf):
+    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return reports.select_in_order(counts, "event_type", ORDER).select("position", "event_type", "n")
+
+
+def arm_ratios(spark, sf):
+    found = reports.against_control(table(spark, sf, "events"), "event_type", "value", "view")
+    return found.select("event_type", F.round("mean", 6).alias("mean"), F.round("ratio", 6).alias("ratio"))
+
+
+def first_warm_pairs(spark, sf):
+    return reports.pass_pairs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value")
+
+
+def differing_fingerprints(spark, sf):
+    return reports.differing_settings(table(spark, sf, "validation_reports"), "fingerprints")
+
+
+def repeat_difference(spark, sf):
+    """Two readings of one report, the times aside: no difference."""
+    return reports.run_difference(tag_counters(spark, sf), tag_counters(spark, sf), ["elapsed"])
+
+
+def published_pages(spark, sf):
+    return reports.published(pages(spark, sf), "updated_at", UNTIL, utc_instant).select("page_id")
+
+
+def page_origins(spark, sf):
+    origin = origin_of(F.col("source_url"))
+    return pages(spark, sf).groupBy(origin.alias("origin"), is_origin(origin).alias("valid")).agg(F.count("*").alias("n"))
+
+
+def case_manifest(spark, sf):
+    """The exact slices of every case's evidence, cut out of the pages they are frozen from."""
+    spans = evaluation.evidence_spans(cases(spark, sf)).join(pages(spark, sf).select("page_id", "markdown"), "page_id")
+    slices = spans.withColumn("slice", F.substring(F.col("markdown"), F.col("start") + 1, F.col("end") - F.col("start")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "slice"))), lambda x: x.slice), "\n")
+    return slices.groupBy("case_id", "page_id").agg(F.count("*").alias("n_slices"), F.sha2(F.encode(whole, "utf-8"), 256).alias("digest"))
+
+
+def evidence_complete(spark, sf):
+    """Whether the spans of each case are all inside its pages, null for cases without evidence."""
+    spans = evaluation.evidence_spans(cases(spark, sf))
+    whole = pages(spark, sf).select("page_id", F.lit(0).alias("start"), F.length("markdown").alias("end"))
+    held = intervals.covered_spans(spans.select("page_id", "start", "end"), whole, ["page_id"])
+    every = spans.join(held, ["page_id", "start", "end"], "left").groupBy("case_id").agg(F.bool_and(F.coalesce("covered", F.lit(False))).alias("complete"))
+    return cases(spark, sf).select(F.col("id").alias("case_id")).join(every, "case_id", "left")
+
+
+def command_lines(spark, sf):
+    """Exact commands that are whole lines of their case's evidence texts."""
+    own = cases(spark, sf).select("id", F.explode("exact_commands").alias("command"), F.array_join(F.flatten(F.transform("evidence", lambda e: F.transform(e.spans, lambda s: s.exact_text))), "\n").alias("text"))
+    return own.select("id", "command", holds_lines(F.col("text"), F.col("command")).alias("whole_line"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        latency_stats_p95, sample_gaps, counter_deltas, log_fields, tag_counters, split_counters, report_totals, ordered_selection, arm_ratios,
+        first_warm_pairs, differing_fingerprints, repeat_difference, published_pages, page_origins, case_manifest, evidence_complete, command_lines,
+    )
+}
 
 SQL = {
     "latency_stats_p95": "select event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as largest, quantile_disc(value, 0.95) as p95 from events where value is not null group by 1",
@@ -58,4 +125,21 @@ SQL = {
     "report_totals": """select * from (select report_id, questions, cast(list_sum(map_values(splits)) as integer) as in_splits, cast(list_sum(map_values(categories)) as integer) as in_categories
   from (select * from validation_reports qualify row_number() over (partition by report_id order by run_at) = 1))
 where coalesce(in_splits <> questions, true) or coalesce(in_categories <> questions, true)""",
+    "ordered_selection": f"""select position, event_type, n from (values {', '.join(f"({i}::bigint, '{x}')" for i, x in enumerate(ORDER))}) o(position, event_type)
+  join (select event_type, count(*) as n from events group by 1) using (event_type)""",
+    "arm_ratios": "with m as (select event_type, avg(value) as mean from events group by 1) select event_type, round(mean, 6) as mean, round(mean / (select mean from m where event_type = 'view'), 6) as ratio from m",
+    "first_warm_pairs": """select user_id, max(case when n = 1 then value end) as first, max(case when n = 2 then value end) as warm
+from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as n from events) where n <= 2 group by 1""",
+    "differing_fingerprints": """select key, count(distinct value) as n_values from (select unnest(map_keys(fingerprints)) as key, unnest(map_values(fingerprints)) as value from validation_reports) group by 1 having count(distinct value) > 1""",
+    "repeat_difference": "select cast(null as varchar) as tag, cast(null as bigint) as n, cast(null as bigint) as surplus where false",
+    "published_pages": f"select page_id from {PAGES} where regexp_matches(updated_at, '{INSTANT}') and try_cast(updated_at as timestamptz) <= timestamptz '2026-03-01 00:00:00+00'",
+    "page_origins": f"""with o as (select nullif(regexp_extract(source_url, '^(https?://[^/@:?#\\s\\\\]+(?::\\d{{1,5}})?)(?:[/?#]|$)', 1), '') as origin from {PAGES})
+select origin, coalesce(regexp_matches(origin, '^https?://[^/@:?#]+(:\\d{{1,5}})?$'), false) as valid, count(*) as n from o group by 1, 2""",
+    "case_manifest": f"""select case_id, page_id, count(*) as n_slices, sha256(string_agg(t, chr(10) order by s, e, t)) as digest
+from (select s.case_id, s.page_id, s.s, s.e, substring(p.markdown, s.s + 1, s.e - s.s) as t from {SPANS.format(cases=CASES)} s join {PAGES} p on p.page_id = s.page_id) group by 1, 2""",
+    "evidence_complete": f"""select c.id as case_id, bool_and(case when s.case_id is not null then coalesce(s.s >= 0 and s.e <= length(p.markdown) and length(p.markdown) > 0, false) end) as complete
+from {CASES} c left join {SPANS.format(cases=CASES)} s on s.case_id = c.id left join {PAGES} p on p.page_id = s.page_id group by 1""",
+    "command_lines": f"""with c as (select id, unnest(exact_commands) as command, array_to_string(flatten(list_transform(evidence, lambda e: list_transform(e.spans, lambda s: s.exact_text))), chr(10)) as t from {CASES}),
+l as (select *, chr(10) || array_to_string(list_transform(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), chr(10)) || chr(10) as p from c)
+select id, command, coalesce(trim(command) <> '' and contains(p, chr(10) || trim(command) || chr(10)), false) as whole_line from l""",
 }
