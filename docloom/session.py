@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[str, str]] = []
+
+
 def get_spark(app: str = "docloom", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings every operator assumes (UTC, AQE, Arrow)."""
     builder = (
@@ -50,9 +53,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables this application has written with ``materialize``; results that read them end with it."""
+    jvm, done = spark.sparkContext._jvm, 0
+    for item in [x for x in _written if x[0] == spark.sparkContext.applicationId]:
+        path = jvm.org.apache.hadoop.fs.Path(item[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(item)
+        done += 1
+    return done
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an exchange whose consumer is a Python stage."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
