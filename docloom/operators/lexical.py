@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.literals import extract_literals, occurrences
 from docloom.functions.text import terms
+from docloom.session import materialize
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -21,20 +22,32 @@ LITERALS_PER_PASS = 1000
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings (id, term, tf), lengths (id, dl) and one row of corpus statistics (n, avgdl)."""
+    """Postings (term, id, tf, dl), lengths (id, dl) and one row of corpus statistics (n, avgdl).
+
+    A posting carries its document's length, so scoring joins nothing by id.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
 
+    def stored(self) -> "LexicalIndex":
+        """The same index read from tables in the shared folder, for more than one batch of queries."""
+        lengths = materialize(self.lengths)
+        return LexicalIndex(materialize(self.postings), lengths, _stats(lengths))
+
 
 def build_index(texts: DataFrame) -> LexicalIndex:
     """Index ``(id, text)``, one row per id. A text without terms counts as a document of length 0."""
     tokens = texts.select("id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    postings = tokens.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    sized = tokens.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    postings = sized.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     lengths = tokens.select("id", F.size("terms").cast("long").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, lengths, stats)
+    return LexicalIndex(postings, lengths, _stats(lengths))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -55,7 +68,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     weights = matched.groupBy("term").agg(F.count("*").alias("df")).crossJoin(index.stats)  # one row of statistics
     weights = weights.select("term", "avgdl", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    impacts = matched.join(weights, "term").join(index.lengths, "id").select("term", "id", part.alias("part"))
+    impacts = matched.join(weights, "term").select("term", "id", part.alias("part"))
     return asked.join(impacts, "term").groupBy("query_id", "id").agg((-F.sum("part")).alias("score"))
 
 
