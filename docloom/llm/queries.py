@@ -108,21 +108,33 @@ def _runs(key: str, text: str, size: int, table_name: str, least: int) -> str:
 _PAIRS5 = """select '{kind}' as item_kind, a as key_a, b as key_b from (select x.key as a, y.key as b, count(*) as o from {r} x join {r} y on x.run = y.run and x.key < y.key group by 1, 2) p
   join {r}_n m on m.key = p.a join {r}_n n on n.key = p.b where o >= 0.5 * (m.n + n.n - o)"""
 
-SQL = {
-    "p1_found": f"""with q as (select id, question, lower(trim(split)) as side from eval_cases union select id, question, 'safety' from safety_cases),
+_LEAKS = f"""with d as (select doc_id, {_WORDS.format('text')} as w from documents), i as (select item_id, {_WORDS.format('text')} as w from heldout_items),
+sizes as (select distinct least(12, len(w)) as m from i where len(w) > 0),
+ir as (select distinct item_id, m, array_to_string(w[k:k + m - 1], ' ') as run from (select item_id, w, least(12, len(w)) as m, unnest(range(1, len(w) - least(12, len(w)) + 2)) as k from i where len(w) > 0)),
+dr as (select doc_id, m, array_to_string(w[k:k + m - 1], ' ') as run from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as k from d, sizes where len(w) >= m)),
+leaks as (select distinct doc_id, item_id from dr join ir using (m, run))"""
+
+_OVERLAPS = f"""with q as (select id, question, lower(trim(split)) as side from eval_cases union select id, question, 'safety' from safety_cases),
 t as (select distinct id, side = 'tuning' as training, array_to_string({_WORDS.format('question')}, ' ') as f from q where side in ('tuning', 'holdout', 'safety')),
 g as (select distinct id, training, substring(f, i, 5) as g from (select *, unnest(range(1, length(f) - 3)) as i from t where length(f) >= 5)),
 n as (select id, training, count(*) as n from g group by 1, 2),
-o as (select a.id as x, b.id as y, count(*) as o from g a join g b on a.g = b.g and a.training and not b.training group by 1, 2)
-select distinct least(x, y) as id_a, greatest(x, y) as id_b from o join n a on a.id = x and a.training join n b on b.id = y and not b.training where o >= 0.6 * (a.n + b.n - o) and x <> y""",
+o as (select a.id as x, b.id as y, count(*) as o from g a join g b on a.g = b.g and a.training and not b.training group by 1, 2),
+pairs as (select x, y from o join n a on a.id = x and a.training join n b on b.id = y and not b.training where o >= 0.6 * (a.n + b.n - o))"""
+
+SQL = {
+    "p1_found": _OVERLAPS + "select distinct least(x, y) as id_a, greatest(x, y) as id_b from pairs where x <> y",
+    "p1_report": _OVERLAPS + """,
+sides as (select distinct id, case when lower(trim(split)) = 'tuning' then 'tuning' else 'holdout' end as split, coalesce(source_set, 'none') as source_set from eval_cases where lower(trim(split)) in ('tuning', 'holdout')
+  union select distinct id, 'safety', coalesce(origin, 'none') from safety_cases),
+counts as (select x as id, true as training, count(*) as n from pairs group by 1 union all select y, false, count(*) from pairs group by 1)
+select s.split, s.source_set, count(*) as cases, count(c.n) as overlapping, cast(coalesce(sum(c.n), 0) as bigint) as pairs
+from sides s left join counts c on c.id = s.id and c.training = (s.split = 'tuning') group by 1, 2""",
     "p2_found": f"""select distinct 'page' as item_kind, cast(page_id as varchar) as item_key from wiki_documents join chunk_settings using (source) where {_TOKENS.format('markdown')} > maximum
 union all select distinct 'chunk', chunk_id from chunks join chunk_settings using (source) where {_TOKENS.format('search_text')} > maximum""",
     "p5_found": f"""with pr as {_runs('cast(page_id as varchar)', 'markdown', 3, 'wiki_documents', 8)}, pr_n as (select key, count(*) as n from pr group by 1),
 cr as {_runs('chunk_id', 'search_text', 3, 'chunks', 8)}, cr_n as (select key, count(*) as n from cr group by 1)
 {_PAIRS5.format(kind='page', r='pr')} union all {_PAIRS5.format(kind='chunk', r='cr')}""",
-    "p6_found": f"""with d as (select doc_id, {_WORDS.format('text')} as w from documents), i as (select item_id, {_WORDS.format('text')} as w from heldout_items),
-sizes as (select distinct least(12, len(w)) as m from i where len(w) > 0),
-ir as (select distinct item_id, m, array_to_string(w[k:k + m - 1], ' ') as run from (select item_id, w, least(12, len(w)) as m, unnest(range(1, len(w) - least(12, len(w)) + 2)) as k from i where len(w) > 0)),
-dr as (select doc_id, m, array_to_string(w[k:k + m - 1], ' ') as run from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as k from d, sizes where len(w) >= m))
-select distinct doc_id, item_id from dr join ir using (m, run)""",
+    "p6_found": _LEAKS + " select doc_id, item_id from leaks",
+    "p6_report": _LEAKS + """ select i.item_id, i.kind, i.lang, coalesce(n, 0) as documents from (select distinct item_id, kind, lang from heldout_items) i
+  left join (select item_id, count(*) as n from leaks group by 1) l on l.item_id = i.item_id""",
 }
