@@ -304,20 +304,26 @@ class Restorer:
             meant = inverse_mappings()[name]
             done = []
             for w in chosen[doc == k].tolist():
-                read = meant[p[wa[w] : wb[w]]]
-                if read.all() and self.pairs(np.concatenate((p[wa[w] - 1 : wa[w]], read, p[wb[w] : wb[w] + 1]))).sum() > own[w]:
-                    changes[w] = "".join(map(chr, read.tolist()))
+                if (read := self._better(p, wa[w], wb[w], meant, own[w])) is not None:
+                    changes[w] = read
                     done.append(w)
-            # Between two restored words of a line the mapping holds for every word that it can read.
+            # Between two restored words of a line the mapping holds for every word that it makes more probable.
             for left, after in zip(done, done[1:]):
                 if after > left + 1 and "\n" not in joined[wb[left] : wa[after]]:
                     for w in range(left + 1, after):
-                        read = meant[p[wa[w] : wb[w]]]
-                        if w not in changes and read.all():
-                            changes[w] = "".join(map(chr, read.tolist()))
+                        if w not in changes and (read := self._better(p, wa[w], wb[w], meant, own[w])) is not None:
+                            changes[w] = read
             used.setdefault(k, {})[f"{right} as {wrong}"] = None
 
 
+    def _better(self, p, a, b, meant, own) -> str | None:
+        """What a mapping reads for a word, if that is possible and more probable."""
+        read = meant[p[a:b]]
+        if read.all() and self.pairs(np.concatenate((p[a - 1 : a], read, p[b : b + 1]))).sum() > own:
+            return "".join(map(chr, read.tolist()))
+        return None
+
+
 @functools.cache
 def _punctuation() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "P" for c in range(65536)), bool, 65536)
