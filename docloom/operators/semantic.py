@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.vectors import is_usable
 from docloom.operators.lexical import DIGITS, top_k
@@ -37,6 +38,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
     blocks = max(1, -(-count // per_block))
     kind = vectors.schema["id"].dataType.simpleString()
     query_kind = queries.schema["query_id"].dataType.simpleString()
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def one(number: int) -> DataFrame:
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else queries
@@ -54,20 +56,21 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
                 order = np.array(own)
+                asked, near, scores = [], [], []
                 for lo in range(0, len(q), 256):
-                    scores = np.round(q[lo : lo + 256] @ x.T, DIGITS)
-                    for row, name in zip(scores, names[lo : lo + 256]):
-                        best = np.lexsort((order, -row))[: k + 1]
-                        keep = [j for j in best.tolist() if own[j] != name][:k]
-                        if keep:
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array([name] * len(keep), batch.schema.field(0).type),
-                                    pa.array([own[j] for j in keep], batch.schema.field(0).type),
-                                    pa.array(row[keep]),
-                                ],
-                                names=["query_id", "id", "cosine"],
-                            )
+                    for name, row in zip(names[lo : lo + 256], np.round(q[lo : lo + 256] @ x.T, DIGITS)):
+                        # Ties beyond the k-th score matter, so everything that reaches it is ordered.
+                        at = np.arange(len(row)) if len(row) <= k + 1 else np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1])
+                        best = at[np.lexsort((order[at], -row[at]))][: k + 1].tolist()
+                        best = [j for j in best if own[j] != name][:k]
+                        asked += [name] * len(best)
+                        near += [own[j] for j in best]
+                        scores.append(row[best])
+                if asked:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(asked, query_type), pa.array(near, batch.schema.field(0).type), pa.array(np.concatenate(scores))],
+                        names=["query_id", "id", "cosine"],
+                    )
 
         return vectors.select("id", "vector").mapInArrow(scan, f"query_id {query_kind}, id {kind}, cosine double")
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.text import INSTANT, digest, percent_encoded, utc_instant
-from docloom.functions.tokens import passage  # noqa: F401  (the Python form of passage_text below)
 from docloom.operators import chunking, snapshots, validation
+from docloom.operators.evaluation import evidence_spans
 from docloom.plans.common import CASES, CHUNKS, PAGES, SPANS, cases, chunks, pages
 from docloom.session import ensure_checkpoint_dir
 from docloom.sources import generations
 from docloom.sources.tables import table
-from docloom.operators.evaluation import evidence_spans
 
 
 def doc_normalize(spark, sf):
@@ -110,8 +111,6 @@ def chunk_invariants(spark, sf):
 
 def generation_roundtrip(spark, sf):
     """Publish pages and chunks as a generation, and compare what is read back."""
-    import uuid
-
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
     made = {"documents": pages(spark, sf), "chunks": chunks(spark, sf).drop("segments", "source_ranges", "heading_path")}
     generations.publish(spark, root, made)
