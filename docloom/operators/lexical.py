@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.literals import extract_literals, occurrences
 from docloom.functions.text import terms
-from docloom.session import materialize
+from docloom.session import materialize, parallelism
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -63,12 +63,16 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, id, score)`` of every document with a query term; lower is better, as scores are negative."""
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
-    matched = index.postings.join(wanted, "term", "left_semi")
+    # Read twice below, for document frequencies and for impacts; written once, so texts are not cut into terms twice.
+    matched = materialize(index.postings.join(wanted, "term", "left_semi"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = matched.groupBy("term").agg(F.count("*").alias("df")).crossJoin(index.stats)  # one row of statistics
     weights = weights.select("term", "avgdl", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     impacts = matched.join(weights, "term").select("term", "id", part.alias("part"))
+    # Postings are spread by id before queries multiply them: every (query, id) then sums up in one place, and
+    # only postings are shuffled.
+    impacts = impacts.repartition(parallelism(impacts.sparkSession), "id")
     return asked.join(impacts, "term").groupBy("query_id", "id").agg((-F.sum("part")).alias("score"))
 
 
