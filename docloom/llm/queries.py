@@ -75,7 +75,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Without a lower bound even distant neighbours count, which takes more tables than near ones do.
-    near = similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5, tables=3, probes=4, cell_rows=16384)
+    near = similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5, tables=3, probes=4)
     return near.select(F.col("id").alias("chunk_id"), F.col("other_id").alias("neighbour_id"), "rank", "cosine")
 
 

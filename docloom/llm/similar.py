@@ -3,10 +3,10 @@
 Unit vectors are turned by three rounds of random signs and fast Hadamard
 transforms and assigned to the nearest signed axes: the nearest axis is the home
 cell, the next ones are its probes. Rows sit in ``probes`` cells of every table,
-so two vectors meet when any of their nearest axes agree. Inside a cell, cosines
-are computed in blocks; a crowded cell is cut again by a further rotation, so
-no cell is ever compared all with all beyond a fixed size. The vectors travel as
-16-bit fixed-point numbers (cosine error about 4e-6).
+so two vectors meet when any of their nearest axes agree. A cell is always
+compared whole, so how crowded it is changes no result: its rows are dealt to
+blocks of bounded size, and every pair of blocks is a task of its own. The
+vectors travel as 16-bit fixed-point numbers (cosine error about 4e-6).
 
 Vectors that are equal after normalization are one node: copies cost one row and
 are expanded only in the result.
@@ -25,13 +25,10 @@ from pyspark.sql import functions as F
 from docloom.llm.kernels import groups_in_order, mix64, signed
 from docloom.session import materialize, parallelism
 
-#: Rows of a cell compared all with all; more are cut by another rotation.
-CELL_ROWS = 2048
-#: Rows of the whole collection for which one level of cells travels; more get two.
-ONE_LEVEL_ROWS = 4_000_000
-#: Nearest axes of the rotations inside a crowded cell.
-INNER_PROBES = 4
-MAX_DEPTH = 6
+#: Rows of a block. A cell of more is dealt to several blocks, and each row travels once per block of its cell.
+CELL_ROWS = 65536
+#: Rows and columns of cosines held at once.
+TILE_ROWS, TILE_COLS = 512, 8192
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -65,41 +62,67 @@ def nearest_axes(x: np.ndarray, seed: int, probes: int) -> np.ndarray:
     return near * 2 + (np.take_along_axis(x, near, 1) < 0)
 
 
-def neighbours_within(x: np.ndarray, k: int, least: float, seed: int, depth: int = 0, cell_rows: int = CELL_ROWS):
-    """(row, neighbour row, cosine) of the best ``k`` per row found among these rows."""
-    n = len(x)
-    if n <= cell_rows or depth >= MAX_DEPTH:
+def blocks_of(nodes: np.ndarray, salt, blocks) -> np.ndarray:
+    """Block of each row in its cell: rows are dealt evenly, in another way for every salt."""
+    return (mix64(nodes.astype(np.uint64) + mix64(np.atleast_1d(np.asarray(salt, np.uint64)) + np.uint64(1))) % np.asarray(blocks, np.uint64)).astype(np.int64)
+
+
+def pair_number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the unordered pair of blocks a and b."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return high * (high + 1) // 2 + low
+
+
+def neighbours_within(x: np.ndarray, k: int, least: float, salt: int, cell_rows: int = CELL_ROWS):
+    """(row, neighbour row, cosine) of the best ``k`` of every row among all these rows, in pairs of blocks."""
+    blocks = -(-len(x) // cell_rows)
+    block = blocks_of(np.arange(len(x)), salt, blocks) if blocks else np.empty(0, int)
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0, np.float32))]
+    for b in range(blocks):
+        for a in range(b + 1):
+            rows = np.flatnonzero((block == a) | (block == b))
+            part = compared(x[rows], block[rows], k, least)
+            found.append((rows[part[0]], rows[part[1]], part[2]))
+    return best_per_row(*(np.concatenate(c) for c in zip(*found)), k)
+
+
+def compared(x: np.ndarray, block: np.ndarray, k: int, least: float):
+    """One task: all rows of a single block with each other, or the rows of two blocks with those of the other."""
+    if not len(x) or (block == block[0]).all():
         return _brute(x, k, least)
-    axes = nearest_axes(x, seed + depth, INNER_PROBES)
-    flat, owner = axes.ravel(), np.repeat(np.arange(n), axes.shape[1])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    cuts = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]))
+    a, b = np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])
     found = []
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        if hi - lo > 1:
-            rows = owner[lo:hi]
-            # A cell that keeps everything is not getting smaller: compare it in blocks.
-            part = _brute(x[rows], k, least) if hi - lo == n else neighbours_within(x[rows], k, least, seed, depth + 1, cell_rows)
-            found.append((rows[part[0]], rows[part[1]], part[2]))
-    if not found:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
+    for own, other in ((a, b), (b, a)):
+        row, col, score = _nearest(x[own], x[other], k, least, False)
+        found.append((own[row], other[col], score))
     return best_per_row(*(np.concatenate(c) for c in zip(*found)), k)
 
 
 def _brute(x: np.ndarray, k: int, least: float):
-    found = []
-    for lo in range(0, len(x), 512):
-        near = x[lo : lo + 512] @ x.T
-        near[np.arange(len(near)), np.arange(lo, lo + len(near))] = -2
-        if least < 0.5 and near.shape[1] > k:  # too many would pass the bound
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            row, col = np.repeat(np.arange(len(near)), k), top.ravel()
-            keep = near[row, col] >= max(least, -1.5)
-            row, col = row[keep], col[keep]
-        else:
-            row, col = np.nonzero(near >= max(least, -1.5))
-        found.append(best_per_row(row + lo, col, near[row, col], k))
+    return _nearest(x, x, k, least, True)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, least: float, same: bool):
+    """(row of x, row of y, cosine) of the best ``k`` rows of y for every row of x; ``same``: x is y, no row meets itself."""
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0, np.float32))]
+    for lo in range(0, len(x), TILE_ROWS):
+        rows = x[lo : lo + TILE_ROWS]
+        floor = np.full(len(rows), max(least, -1.5), np.float32)
+        parts = []
+        for at in range(0, len(y), TILE_COLS):
+            near = rows @ y[at : at + TILE_COLS].T
+            if same:
+                own = np.arange(max(lo, at), min(lo + len(rows), at + near.shape[1]))
+                near[own - lo, own - at] = -2
+            passing = near >= floor[:, None]
+            if near.shape[1] > k and np.count_nonzero(passing) > 16 * k * len(rows):
+                # The k-th best of some columns is a bound on the k-th best of all: nothing below it can come out.
+                some = near[:, : max(2048, k + 1)]
+                floor = np.maximum(floor, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k])
+                passing = near >= floor[:, None]
+            row, col = np.nonzero(passing)
+            parts.append((row + lo, col + at, near[row, col]))
+        found.append(best_per_row(*(np.concatenate(c) for c in zip(*parts)), k))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -175,11 +198,30 @@ def vector_nodes(vectors: DataFrame, dim: int, id_col: str, time_col: str, with_
     return rows.mapInArrow(run, f"id {kind}, t long, node long" + (", codes binary, scale float" if with_codes else ""))
 
 
+def cell_blocks(vectors: DataFrame, dim: int, id_col: str, tables: int, probes: int, cell_rows: int) -> np.ndarray:
+    """Number of blocks of every cell of every table, at least 1, by counting the rows before versions and copies are dropped."""
+
+    def run(batches):
+        counts = np.zeros(tables * 2 * dim, np.int64)
+        for batch in batches:
+            _, x = usable(batch, dim)
+            for t in range(tables if len(x) else 0):
+                counts += np.bincount(nearest_axes(x, t * 31, probes).ravel() + t * 2 * dim, minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["cell", "n"])
+
+    counted = vectors.where(F.col(id_col).isNotNull()).select("vector").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    blocks = np.ones(tables * 2 * dim, np.int64)
+    for row in counted.collect():  # one row a cell, whatever the data
+        blocks[row["cell"]] = max(1, -(-row["n"] // cell_rows))
+    return blocks
+
+
 def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col: str, time_col: str, tables: int, probes: int, cell_rows: int) -> DataFrame:
     """``(node, other, cosine)``: the best ``k`` other nodes of every node, in one row per neighbour."""
     spark = vectors.sparkSession
     parts = parallelism(spark)
-    levels = 1 if vectors.count() <= ONE_LEVEL_ROWS else 2
+    blocks = cell_blocks(vectors, dim, id_col, tables, probes, cell_rows)
+    first = np.concatenate(([0], np.cumsum(blocks * (blocks + 1) // 2)))  # first task of each cell
     newest = vector_nodes(vectors, dim, id_col, time_col, True).repartition(parts, "id").sortWithinPartitions("id", F.desc("t"), F.desc("node"))
 
     def to_cells(batches):
@@ -201,33 +243,35 @@ def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col:
             node, scale = node[one], batch.column(4).to_numpy()
             x = _joined(pa.chunked_array([batch.column(3)]), np.int16, dim) * scale[:, None]
             for t in range(tables):
-                cells = nearest_axes(x, t * 31, probes)
-                if levels == 2:
-                    inner = nearest_axes(x, t * 31 + 17, probes)
-                    cells = (cells[:, :, None] * (2 * dim) + inner[:, None, :]).reshape(len(x), -1)
+                cells = nearest_axes(x, t * 31, probes) + t * 2 * dim
                 for p in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((cells[:, p] + t * (2 * dim) ** levels).astype(np.int64)), pa.array(node), batch.column(3), batch.column(4)],
-                        names=["cell", "node", "codes", "scale"],
-                    )
-
-    in_cells = newest.mapInArrow(to_cells, "cell long, node long, codes binary, scale float").repartition(parts, "cell").sortWithinPartitions("cell")
+                    cell = cells[:, p]
+                    block = blocks_of(node, cell, blocks[cell])
+                    for other in range(blocks[cell].max()):
+                        at = np.flatnonzero(other < blocks[cell])
+                        task = first[cell[at]] + pair_number(block[at], np.full(len(at), other))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(task), pa.array(block[at].astype(np.int32)), *batch.select(["node", "codes", "scale"]).take(pa.array(at)).columns],
+                            names=["task", "block", "node", "codes", "scale"],
+                        )
+
+    in_tasks = newest.mapInArrow(to_cells, "task long, block int, node long, codes binary, scale float").repartition(parts, "task").sortWithinPartitions("task")
 
     def search(batches):
-        for table in groups_in_order(batches, ["cell"]):
-            cell, node, scale = (table[c].to_numpy() for c in ("cell", "node", "scale"))
+        for table in groups_in_order(batches, ["task"]):
+            task, block, node, scale = (table[c].to_numpy() for c in ("task", "block", "node", "scale"))
             codes = _joined(table["codes"], np.int16, dim)
-            cuts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
+            cuts = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]))
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 own, one = np.unique(node[lo:hi], return_index=True)
                 if len(own) < 2:
                     continue
                 x = codes[lo:hi][one] * scale[lo:hi][one][:, None]
-                row, other, score = neighbours_within(x, k, least, 1000, cell_rows=cell_rows)
+                row, other, score = compared(x, block[lo:hi][one], k, least)
                 if len(row):
                     yield _lists(own, row, other, score)
 
-    lists = in_cells.mapInArrow(search, "node long, found binary").repartition(parts, "node").sortWithinPartitions("node")
+    lists = in_tasks.mapInArrow(search, "node long, found binary").repartition(parts, "node").sortWithinPartitions("node")
 
     def merge(batches):
         for table in groups_in_order(batches, ["node"]):
@@ -271,8 +315,8 @@ def most_similar(
     times: one of the vectors by a fixed rule), so repeated rows count once.
     Equal cosines: smaller id first; ids of equal vectors have cosine 1. Only
     neighbours of cosine ``least`` or more come out. More ``tables`` and
-    ``probes``, and cells compared whole up to more ``cell_rows``, find more of
-    the distant neighbours. Null ids and unusable
+    ``probes`` find more of the distant neighbours; ``cell_rows`` bounds the work
+    of one task and changes no result. Null ids and unusable
     vectors take no part, an empty table gives no rows, other columns are
     ignored. Recall is below 1 (README), all else is exact.
     """

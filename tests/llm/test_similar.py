@@ -70,6 +70,18 @@ def test_crowded_cells_are_cut(monkeypatch):
     assert len(set(zip(row, other)) & set(zip(want[0], want[1]))) >= 0.95 * len(want[0])
 
 
+def test_crowded_cells_are_compared_whole(spark):
+    x = vectors(200, 12)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for least in (0.8, -1.0):
+        row, other, _ = similar.neighbours_within(x, 5, least, 7, cell_rows=64)
+        want = similar._brute(x, 5, least)
+        assert set(zip(row, other)) == set(zip(want[0], want[1]))
+    df = frame(spark, [(f"c{k:04d}", v.tolist(), T0) for k, v in enumerate(x[:600])])
+    whole, dealt = ({(r.id, r.other_id) for r in similar.most_similar(df, 5, -1.0, cell_rows=c).collect()} for c in (600, 4))
+    assert dealt == whole
+
+
 def test_hadamard_is_orthonormal():
     h = similar.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16), atol=1e-6) and np.allclose(np.abs(h), 0.25)
