@@ -35,6 +35,13 @@ def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("search_text").alias("text"))
 
 
+def chunk_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, text)`` of everything a keyword search reads of a chunk: its page's title, its heading path, its search text."""
+    titles = pages(spark, sf).select("page_id", "title")
+    text = F.concat_ws("\n", "title", F.array_join("heading_path", " > "), "search_text")
+    return chunks(spark, sf).join(titles, "page_id", "left").select(F.col("chunk_id").alias("id"), text.alias("text"))
+
+
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return semantic.usable_vectors(table(spark, sf, "chunk_embeddings"), "chunk_id", "vector", DIM, "embedded_at")
 

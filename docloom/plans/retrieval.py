@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import terms
 from docloom.operators import evaluation, grounding, hybrid, intervals, lexical, semantic, setcover
-from docloom.plans.common import ASKED, CASES, CHUNKS, PAGES, RANGES, SPANS, VECTORS, asked_cases, cases, chunk_ranges, chunk_texts, chunk_vectors, chunks, pages, sql_bm25, sql_terms
+from docloom.plans.common import ASKED, CASES, CHUNKS, PAGES, RANGES, SPANS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_texts, chunk_vectors, chunks, pages, sql_bm25, sql_terms
 from docloom.sources.tables import table
 
 QUESTIONS = [(1, "archived pallet index of the remote worker pool"), (2, "складской порт и ночной терминал"), (3, "Schlüssel für Einträge und Plätze")]
@@ -102,7 +102,7 @@ def literal_offsets(spark, sf):
 
 
 def literal_priority_topk(spark, sf):
-    scores = lexical.bm25_scores(lexical.build_index(chunk_texts(spark, sf)), _case_queries(spark, sf))
+    scores = lexical.bm25_scores(lexical.build_index(chunk_fields(spark, sf)), _case_queries(spark, sf))
     found = lexical.literal_priority(scores, _literal_matches(spark, sf), 10)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("n_literals"), F.round("score", 6).alias("score"))
 

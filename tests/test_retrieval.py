@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from docloom.functions import literals, vectors
 from docloom.functions.text import latin_folding, percent_encoded, terms, utc_instant
 from docloom.operators import hybrid, lexical, semantic
+from docloom.plans import common, retrieval
+
+from . import oracle
 
 TEXTS = [("a", "Alpha beta beta"), ("b", "alpha gamma"), ("c", "gamma gamma delta"), ("d", "Café au lait, naïve"), ("e", ""), ("f", None), ("g", "alpha gamma"), ("h", "no match here at all")]
 
@@ -31,6 +34,31 @@ def test_bm25_agrees_with_sqlite(spark):
         assert all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
 
 
+def test_a_chunks_title_and_headings_are_indexed(spark, tmp_path):
+    pages = [(1, "Pallet atlas"), (2, None), (3, "Other")]
+    rows = [("a", 1, "s", ["Rack", "Night dock"], "alpha beta"), ("b", 2, "s", [], "beta pallet pallet"), ("c", 3, "s", None, "gamma"), ("d", 9, "s", ["Dock"], None)]
+    spark.createDataFrame(pages, "page_id long, title string").write.parquet(f"{tmp_path}/wiki_documents.parquet")
+    spark.createDataFrame(rows, "chunk_id string, page_id long, source string, heading_path array<string>, search_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(id unindexed, title, headings, text, tokenize='unicode61')")
+    con.executemany("insert into f values (?, ?, ?, ?)", [(i, dict(pages).get(p) or "", " > ".join(h or []), t or "") for i, p, _, h, t in rows])
+    own = lexical.build_index(common.chunk_fields(spark, str(tmp_path)))
+    for text in ("pallet", "dock beta", "gamma other"):
+        want = {r[0]: r[1] for r in con.execute("select id, bm25(f, 0.0, 1.0, 1.0, 1.0) from f where f match ?", (" OR ".join(text.split()),))}
+        got = {r.id: r.score for r in lexical.bm25_scores(own, queries(spark, text)).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
+
+
+@pytest.mark.skipif(not oracle.DATA.exists(), reason="the tables are not on this machine")
+def test_literal_priority_topk_finds_words_of_titles(spark, monkeypatch):
+    indexed, build = [], lexical.build_index
+    monkeypatch.setattr(lexical, "build_index", lambda texts: indexed.append(texts) or build(texts))
+    retrieval.literal_priority_topk(spark, str(oracle.DATA))
+    row = common.chunks(spark, str(oracle.DATA)).join(common.pages(spark, str(oracle.DATA)).select("page_id", "title"), "page_id").where("title <> ''").first()
+    text = indexed[0].where(F.col("id") == row.chunk_id).first().text
+    assert row.title in text and " > ".join(row.heading_path or []) in text and row.search_text in text
+
+
 def test_ties_go_to_the_smaller_id_and_scores_are_negative(spark):
     rows = lexical.bm25_top_k(index(spark), queries(spark, "gamma alpha"), 10).collect()
     assert [r.id for r in rows][:2] == ["b", "g"] and rows[0].score == rows[1].score < 0
