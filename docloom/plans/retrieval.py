@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import terms
 from docloom.operators import evaluation, grounding, hybrid, intervals, lexical, semantic, setcover
-from docloom.plans.common import ASKED, CASES, CHUNKS, PAGES, RANGES, SPANS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_texts, chunk_vectors, chunks, pages, sql_bm25, sql_terms
+from docloom.plans.common import ASKED, CASES, CHUNKS, PAGES, QUERY_SHARE, RANGES, SPANS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_texts, chunk_vectors, chunks, pages, sql_bm25, sql_terms
 from docloom.sources.tables import table
 
 QUESTIONS = [(1, "archived pallet index of the remote worker pool"), (2, "складской порт и ночной терминал"), (3, "Schlüssel für Einträge und Plätze")]
@@ -61,7 +61,10 @@ def _branches(spark, sf, semantic_k=10, lexical_k=10):
 
 
 def hybrid_topk(spark, sf):
-    fused = hybrid.fuse(*_branches(spark, sf), k=6)
+    return _fused_columns(hybrid.fuse(*_branches(spark, sf), k=6))
+
+
+def _fused_columns(fused):
     return fused.select(
         "query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"),
         F.col("semantic_rank").cast("long").alias("semantic_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"),
@@ -90,23 +93,36 @@ def literal_extract(spark, sf):
     return lexical.literals(cases(spark, sf).select("id", F.col("question").alias("text")), underscores=True)
 
 
-def _literal_matches(spark, sf):
-    asked = lexical.literals(_case_queries(spark, sf).select(F.col("query_id").alias("id"), "text"), underscores=True)
+def _literal_matches(spark, sf, queries):
+    asked = lexical.literals(queries.select(F.col("query_id").alias("id"), "text"), underscores=True)
     own = chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("page_id").alias("page_key"), F.col("source_ranges").alias("ranges"))
     text = pages(spark, sf).select(F.col("page_id").alias("page_key"), "markdown")
     return lexical.literal_matches(own, text, asked.select(F.col("id").alias("query_id"), "literal", "kind").distinct())
 
 
 def literal_offsets(spark, sf):
-    return _literal_matches(spark, sf)
+    return _literal_matches(spark, sf, _case_queries(spark, sf))
 
 
 def literal_priority_topk(spark, sf):
-    scores = lexical.bm25_scores(lexical.build_index(chunk_fields(spark, sf)), _case_queries(spark, sf))
-    found = lexical.literal_priority(scores, _literal_matches(spark, sf), 10)
+    found = _lexical_search(spark, sf, _case_queries(spark, sf))
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("n_literals"), F.round("score", 6).alias("score"))
 
 
+def _lexical_search(spark, sf, queries, k=10):
+    """The whole keyword search: BM25 over titles, headings and search text, and literal matches of all chunks before it."""
+    scores = lexical.bm25_scores(lexical.build_index(chunk_fields(spark, sf)), queries)
+    return lexical.literal_priority(scores, _literal_matches(spark, sf, queries), k)
+
+
+def hybrid_search_topk(spark, sf):
+    """Fused search whose lexical branch is the whole keyword search, asked by every chunk of the pages whose id is divisible by 20."""
+    asked = chunks(spark, sf).where(f"page_id % {QUERY_SHARE} = 0").select(F.col("chunk_id").alias("query_id"), F.array_join("heading_path", " ").alias("text"))
+    vectors = chunk_vectors(spark, sf)
+    near = semantic.exact_top_k(vectors, asked.join(vectors, asked.query_id == vectors.id).select("query_id", "vector"), 10, 128)
+    return _fused_columns(hybrid.fuse(near, _lexical_search(spark, sf, asked), k=6))
+
+
 # Intervals: the spans are the evidence of the cases, the ranges those of the chunks.
 
 
@@ -233,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_stats, bm25_topk, bm25_batch_topk, cosine_batch_topk, hybrid_topk, branch_union, rerank_topk, literal_ips, literal_extract,
-        literal_offsets, literal_priority_topk, merged_ranges, interval_cover, interval_atoms, missing_ranges, interval_clip, followup_input,
+        literal_offsets, literal_priority_topk, hybrid_search_topk, merged_ranges, interval_cover, interval_atoms, missing_ranges, interval_clip, followup_input,
         evidence_hit_at_5, eval_groups_dense, mode_transitions, lost_new_hits, loss_kinds, candidate_selection, set_cover_min, budget_pack,
         evidence_fragments, answer_validation,
     )

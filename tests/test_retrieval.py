@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import sqlite3
 
@@ -59,6 +60,23 @@ def test_literal_priority_topk_finds_words_of_titles(spark, monkeypatch):
     assert row.title in text and " > ".join(row.heading_path or []) in text and row.search_text in text
 
 
+def test_fused_search_has_literal_hits_that_keywords_miss(spark, tmp_path):
+    asked = ("q", 20, "s", 0, ["see /etc/app.conf"], "", [(0, 1)])
+    second = ("q2", 20, "s", 1, ["see"], "", [(0, 1)])
+    many = [(f"k{i:02d}", 1, "s", i, [], "see etc app conf", [(0, 1)]) for i in range(12)]
+    rows = [asked, second, ("z", 2, "s", 0, [], "unrelated words", [(0, 30)]), *many]
+    schema = "chunk_id string, page_id long, source string, ordinal int, heading_path array<string>, search_text string, source_ranges array<struct<start int, end int>>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/chunks.parquet")
+    pages = [(1, "s", "Many", "x"), (2, "s", "One", "the file /etc/app.conf is here"), (20, "s", "Asking", "y")]
+    spark.createDataFrame(pages, "page_id long, source string, title string, markdown string").write.parquet(f"{tmp_path}/wiki_documents.parquet")
+    rng = np.random.default_rng(1)
+    vectors = [(r[0], rng.normal(size=128).tolist(), dt.datetime(2026, 1, 1)) for r in rows]
+    spark.createDataFrame(vectors, "chunk_id string, vector array<float>, embedded_at timestamp").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    got = {(r.query_id, r.chunk_id): r for r in retrieval.hybrid_search_topk(spark, str(tmp_path)).collect()}
+    assert got["q", "z"].lexical_rank == 1 and {q for q, _ in got} == {"q", "q2"}
+    assert all(r.id != "z" for r in retrieval._branches(spark, str(tmp_path))[1].collect())
+
+
 def test_ties_go_to_the_smaller_id_and_scores_are_negative(spark):
     rows = lexical.bm25_top_k(index(spark), queries(spark, "gamma alpha"), 10).collect()
     assert [r.id for r in rows][:2] == ["b", "g"] and rows[0].score == rows[1].score < 0
