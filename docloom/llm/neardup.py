@@ -9,9 +9,9 @@ the blocks, two sketches that differ in at most ``2 * blocks - 1`` of their
 symbols collide in at least one of the ``3 * blocks`` tables - a guarantee, not a
 probability. With 10 blocks (radius 19 of 30) a pair of overlap 0.5 lies outside
 the radius *and* collides nowhere with probability 0.5 ** 10; a pair of overlap
-0.8 with probability 1.5e-10. Colliding pairs are held against a longer sketch of
-64 four-bit symbols (a pair at the threshold passes but for three standard
-deviations, about 0.15 %, others more surely) and then compared exactly.
+0.8 with probability 1.5e-10. Colliding pairs are held against parity sketches,
+whose distance never exceeds the sets' symmetric difference, so that no pair of
+the threshold is dropped, and then compared exactly.
 
 Texts with equal sets are one node, so groups of copies cost one row; the
 result is exact copies (node membership) plus links between different texts.
@@ -20,7 +20,6 @@ result is exact copies (node membership) plus links between different texts.
 from __future__ import annotations
 
 import functools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,12 @@ from pyspark.sql import functions as F
 
 from docloom.llm import jaccard
 from docloom.llm.components import components
+from docloom.llm.crosssplit import parity_sketches
 from docloom.llm.kernels import Words, binaries, by_chars, distinct_sorted, mix64, runs_of, signed
 from docloom.session import materialize
 
 BLOCK = 3
-#: Symbols of the comparison sketch, four bits each, and the 64-bit words that hold them.
+#: Four-bit symbols that ``agreement`` counts, and the 64-bit words that hold them, or hold a parity sketch.
 SHORT, SHORT_WORDS = 64, 4
 SHORT_NAMES = [f"c{i}" for i in range(SHORT_WORDS)]
 
@@ -77,16 +77,16 @@ def table_keys(sketch: np.ndarray) -> np.ndarray:
     return keys
 
 
-def short_forms(sketch: np.ndarray) -> np.ndarray:
-    """Four bits of each of SHORT symbols, packed into SHORT_WORDS words per row."""
-    bits = (mix64(sketch[:, :SHORT]) >> np.uint64(60)).reshape(len(sketch), SHORT_WORDS, -1)
-    return np.bitwise_or.reduce(bits << (np.arange(bits.shape[2], dtype=np.uint64) * np.uint64(4)), axis=2)
+def parity_forms(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Parity sketch of each set: it differs in no more bits than two sets differ in values."""
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    return parity_sketches(mix64(values), owner, len(begin) - 1)
 
 
-def least_agreement(threshold: float) -> int:
-    """Equal short symbols that a pair of this overlap has but for three standard deviations."""
-    p = threshold + (1 - threshold) / 16
-    return int(SHORT * p - 3 * math.sqrt(SHORT * p * (1 - p)))
+def may_overlap(x: str, y: str, threshold: float) -> Column:
+    """Whether two sets can have this overlap, by their sizes and parity sketches; true for every pair that has it."""
+    apart = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SHORT_NAMES)
+    return F.expr(apart) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
 
 
 def agreement(x: str, y: str) -> Column:
@@ -137,9 +137,9 @@ def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> D
         for batch in batches:
             kinds, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             for at, nodes, values, begin in _node_sets(texts, kinds, words, least_words):
-                sketch = sketches(values, begin, max(BLOCK * blocks, SHORT))
-                tables = table_keys(sketch[:, : BLOCK * blocks])
-                short = signed(short_forms(sketch))
+                sketch = sketches(values, begin, BLOCK * blocks)
+                tables = table_keys(sketch)
+                short = parity_forms(values, begin)
                 tables += kind_salts([kinds[i] for i in at.tolist()])[:, None]  # kinds never meet
                 width = tables.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -182,8 +182,8 @@ def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray
 def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of nodes that share a table key.
 
-    Pairs whose sizes cannot give the overlap, and pairs whose short forms agree
-    less than ``least_agreement``, are left out before they are shuffled.
+    Pairs whose sizes or parity sketches cannot give the overlap are left out
+    before they are shuffled.
     """
     keyed = nodes.select("node", "n", *SHORT_NAMES, F.explode("tables").alias("t"))
     x, y = keyed.alias("x"), keyed.alias("y")
@@ -194,7 +194,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
             (F.col("x.t") == F.col("y.t"))
             & (F.col("x.node") < F.col("y.node"))
             & fits
-            & (agreement("x", "y") >= least_agreement(threshold)),
+            & may_overlap("x", "y", threshold),
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()

@@ -46,6 +46,13 @@ def test_pairs_match_brute_force(spark, words, threshold):
     assert ("page", "b0", "copy1") in got
 
 
+def test_no_colliding_pair_of_the_threshold_is_dropped(spark):
+    # Pairs of overlap 0.5 that share a table key although few of their minimum hashes agree.
+    items = [("page", f"{s}{side}", " ".join(f"{s}x{i}" for i in at)) for s in (952, 6558, 11428) for side, at in (("a", range(44)), ("b", [*range(30), *range(50, 64)]))]
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(spark.createDataFrame(items, SCHEMA), words=3, threshold=0.5, least_words=8).collect()}
+    assert got == {("page", f"{s}a", f"{s}b") for s in (952, 6558, 11428)}
+
+
 def test_groups_hold_every_item_once(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
     rows = {(r.kind, r.key): r for r in neardup.near_duplicate_groups(df, words=3, threshold=0.5, least_words=8).collect()}
