@@ -214,7 +214,13 @@ class Restorer:
         self._utf8(joined, p, wa, wb, own, text_of, np.flatnonzero((inside | (lowest < DOUBTFUL - IMPROBABLE)) & _may_be_utf8(p, wa, wb)), changes, used)
         open_words = np.flatnonzero(inside)
         open_words = open_words[[w not in changes for w in open_words.tolist()]]
-        self._single(joined, p, wa, wb, own, text_of, open_words, len(some), changes, used)
+        every, utf8, mappings = open_words, set(changes), {}
+        while True:  # passages of one text may have been misread in several ways
+            known = len(changes)
+            more = self._single(joined, p, wa, wb, own, text_of, open_words, every, utf8, mappings, len(some), changes, used)
+            if len(changes) == known:
+                break
+            open_words = every[np.isin(text_of[every], more) & [w not in changes for w in every.tolist()]]
 
         of_text: dict[int, list[int]] = {k: [] for k in np.flatnonzero(lost).tolist()}
         for w in sorted(changes):
@@ -251,10 +257,13 @@ class Restorer:
                 proven = paths.get(int(text_of[w]), ())
                 changes |= {w: t for path, t in readings if path in proven}
 
-    def _single(self, joined, p, wa, wb, own, text_of, chosen, count, changes, used):
-        """The 8-bit mapping that explains a text's chosen words best, where one is proven."""
+    def _single(self, joined, p, wa, wb, own, text_of, chosen, every, utf8, mappings, count, changes, used):
+        """The 8-bit mapping that explains a text's chosen words best, where one is proven; the texts with one.
+
+        Of several ``mappings`` proven for a text, each word of ``every`` is read by the one that makes it most probable.
+        """
         if not len(chosen):
-            return
+            return np.empty(0, int)
         a, b, doc = wa[chosen], wb[chosen], text_of[chosen]
         letter, space = _letters()
         ends = np.stack((a, b), 1).ravel()
@@ -301,27 +310,28 @@ class Restorer:
             best[better], choice[better] = whole[better], number
         for k in np.flatnonzero(choice >= 0).tolist():
             wrong, right = name = names[choice[k]]
-            meant = inverse_mappings()[name]
+            mappings.setdefault(k, []).append(inverse_mappings()[name])
             done = []
-            for w in chosen[doc == k].tolist():
-                if (read := self._better(p, wa[w], wb[w], meant, own[w])) is not None:
+            for w in every[text_of[every] == k].tolist():
+                if (read := self._better(p, wa[w], wb[w], mappings[k], own[w])) is not None:
                     changes[w] = read
                     done.append(w)
             # Between two restored words of a line the mapping holds for every word that it makes more probable.
             for left, after in zip(done, done[1:]):
                 if after > left + 1 and "\n" not in joined[wb[left] : wa[after]]:
                     for w in range(left + 1, after):
-                        if w not in changes and (read := self._better(p, wa[w], wb[w], meant, own[w])) is not None:
+                        if w not in utf8 and (read := self._better(p, wa[w], wb[w], mappings[k], own[w])) is not None:
                             changes[w] = read
             used.setdefault(k, {})[f"{right} as {wrong}"] = None
-
+        return np.flatnonzero(choice >= 0)
 
     def _better(self, p, a, b, meant, own) -> str | None:
-        """What a mapping reads for a word, if that is possible and more probable."""
-        read = meant[p[a:b]]
-        if read.all() and self.pairs(np.concatenate((p[a - 1 : a], read, p[b : b + 1]))).sum() > own:
-            return "".join(map(chr, read.tolist()))
-        return None
+        """The most probable of what mappings read for a word, if that is possible and more probable than the word."""
+        best = None
+        for read in (m[p[a:b]] for m in meant):
+            if read.all() and (total := self.pairs(np.concatenate((p[a - 1 : a], read, p[b : b + 1]))).sum()) > own:
+                best, own = "".join(map(chr, read.tolist())), total
+        return best
 
 
 @functools.cache
@@ -374,8 +384,8 @@ def utf8_readings(word: str, depth: int = UTF8_DEPTH):
 def garbled_documents(documents: DataFrame) -> DataFrame:
     """``(doc_id, mappings, damaged, restored)`` of the documents with garbled characters.
 
-    ``mappings`` says what was read as what (null where nothing could be
-    restored), ``damaged`` whether garbled characters remain (replacement or
+    ``mappings`` says what was read as what, several where passages were misread
+    in several ways (null where nothing could be restored), ``damaged`` whether garbled characters remain (replacement or
     control characters), ``restored`` is the text with all restorable words
     replaced. Null, empty and ASCII texts are sound; repeated rows of a document
     count once in the result (in the pair counts every row counts); rows with a

@@ -45,6 +45,14 @@ def test_garbled_text_comes_back(restorer, written, read):
         assert found[0][0] == "A sound line before.\n" + text + "\nand one after"
 
 
+@pytest.mark.parametrize("first,second", [(("cp1251", "cp1252"), ("koi8_r", "cp1251")), (("koi8_r", "cp1251"), ("cp866", "cp1251"))])
+def test_passages_misread_in_two_ways_come_back(restorer, first, second):
+    bad = garble(RU[0], *first) + "\nA sound line between.\n" + garble(RU[1], *second)
+    found = restorer.restore([bad])
+    assert found[0][0] == RU[0] + "\nA sound line between.\n" + RU[1]
+    assert all(f"{written} as {read}" in found[0][1] for written, read in (first, second))
+
+
 def test_sound_texts_stay(restorer, texts):
     rare = ["Řádek patří službě, přečtěte si též", "Ångström, Ørsted and Łódź are rack names", "Допуск ±2 мкм при 25 °C, шаг ½ дюйма, знак § и ¶", "Each optional worker", "├── a\n│   └── b"]
     assert restorer.restore([*texts[:200], *rare, "", "ascii only"]) == {}
