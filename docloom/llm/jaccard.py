@@ -58,22 +58,91 @@ def place_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def exact_overlaps(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, shared, overlap)`` of the pairs whose sets overlap by ``threshold`` or more.
+def _placed(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Rows ``(place, f, a, b, feats)`` ordered by place: its payloads (f = 0, node in a), then its pairs (f = 1).
 
-    ``pairs``: distinct ``(a long, b long)``; ``sets``: ``(node long, feats
-    binary)``, feats the set's distinct sorted uint64 values, repeated rows of a
-    node allowed.
+    ``payloads``: ``(node long, feats binary)``, repeated rows of a node allowed.
     """
     placed = place_pairs(pairs)
     needs = placed.select("place", F.col("a").alias("node")).union(placed.select("place", F.col("b"))).distinct()
     rows = (
-        needs.join(sets, "node")
+        needs.join(payloads, "node")
         .select("place", F.lit(0).alias("f"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "feats")
         .union(placed.select("place", F.lit(1), "a", "b", F.lit(None).cast("binary")))
     )
-    spark = pairs.sparkSession
-    ordered = rows.repartition(parallelism(spark), "place").sortWithinPartitions("place", "f")
+    return rows.repartition(parallelism(pairs.sparkSession), "place").sortWithinPartitions("place", "f")
+
+
+#: Cells of a count form, four bits each, and the bytes of a form: the size of the set, then the cells.
+FORM_CELLS = 512
+FORM_BYTES = 4 + FORM_CELLS // 2
+#: Pairs of count forms held against each other at once.
+FORM_PAIRS = 4096
+
+
+def count_forms(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Form of each set of hashes: its size, and how many values fall in each cell (15 or more: 15).
+
+    One value changes one cell by one at most, so the cells of two sets never
+    differ by more in sum than the sets differ in values.
+    """
+    sets = len(begin) - 1
+    cell = np.repeat(np.arange(sets), np.diff(begin)) * FORM_CELLS + (values >> np.uint64(55)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=sets * FORM_CELLS), 15).astype(np.uint8).reshape(sets, -1)
+    out = np.empty((sets, FORM_BYTES), np.uint8)
+    out[:, :4] = np.diff(begin).astype("<i4").view(np.uint8).reshape(sets, 4)
+    out[:, 4:] = counts[:, ::2] << 4 | counts[:, 1::2]
+    return out
+
+
+def possible(sizes_x: np.ndarray, sizes_y: np.ndarray, apart: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two sets of these sizes that differ in ``apart`` values or more can overlap by ``threshold``."""
+    return apart <= (sizes_x + sizes_y) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def possible_overlaps(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+    """Those of the distinct pairs ``(a, b)`` that can overlap by ``threshold`` by their count forms; loses no pair that does.
+
+    ``forms``: ``(node long, feats binary)``, feats a count form.
+    """
+
+    def run(batches):
+        for table in groups_in_order(batches, ["place"]):
+            place, f, a, b = (table[c].to_numpy() for c in ("place", "f", "a", "b"))
+            held = np.flatnonzero(f == 0)
+            asked = np.flatnonzero(f == 1)
+            if not len(held) or not len(asked):
+                continue
+            number = np.cumsum(np.concatenate(([0], place[1:] != place[:-1])))  # of the place
+            nodes = np.unique(a[held])
+            keys = number[held] * len(nodes) + np.searchsorted(nodes, a[held])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            raw = np.frombuffer(b"".join(v.as_py() for v in table["feats"].take(pa.array(held[order]))), np.uint8).reshape(-1, FORM_BYTES)
+            sizes = np.ascontiguousarray(raw[:, :4]).view("<i4").ravel().astype(np.int64)
+            at = []
+            for side in (a, b):
+                rank = np.minimum(np.searchsorted(nodes, side[asked]), len(nodes) - 1)
+                at.append(np.minimum(np.searchsorted(keys, number[asked] * len(nodes) + rank), len(keys) - 1))
+            keep = np.zeros(len(asked), bool)
+            for lo in range(0, len(asked), FORM_PAIRS):
+                x, y = (one[lo : lo + FORM_PAIRS] for one in at)
+                p, q = raw[x, 4:], raw[y, 4:]
+                apart = sum(np.abs(u.astype(np.int8) - v.astype(np.int8)).sum(1, dtype=np.int64) for u, v in ((p >> 4, q >> 4), (p & 15, q & 15)))
+                keep[lo : lo + FORM_PAIRS] = possible(sizes[x], sizes[y], apart, threshold)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[asked[keep]]), pa.array(b[asked[keep]])], names=["a", "b"])
+
+    return _placed(pairs, forms).mapInArrow(run, "a long, b long")
+
+
+def exact_overlaps(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, shared, overlap)`` of the pairs whose sets overlap by ``threshold`` or more.
+
+    ``pairs``: distinct ``(a long, b long)``; ``sets``: ``(node long, feats
+    binary)``, feats the set's distinct sorted uint64 values, repeated rows of a
+    node allowed.
+    """
 
     def run(batches):
         for table in groups_in_order(batches, ["place"]):
@@ -95,7 +164,7 @@ def exact_overlaps(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataF
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b", "shared", "overlap"])
 
-    return ordered.mapInArrow(run, "a long, b long, shared long, overlap double")
+    return _placed(pairs, sets).mapInArrow(run, "a long, b long, shared long, overlap double")
 
 
 def shared_count(p: np.ndarray, q: np.ndarray) -> int:

@@ -9,9 +9,10 @@ the blocks, two sketches that differ in at most ``2 * blocks - 1`` of their
 symbols collide in at least one of the ``3 * blocks`` tables - a guarantee, not a
 probability. With 10 blocks (radius 19 of 30) a pair of overlap 0.5 lies outside
 the radius *and* collides nowhere with probability 0.5 ** 10; a pair of overlap
-0.8 with probability 1.5e-10. Colliding pairs are held against parity sketches,
-whose distance never exceeds the sets' symmetric difference, so that no pair of
-the threshold is dropped, and then compared exactly.
+0.8 with probability 1.5e-10. Colliding pairs are held against parity sketches where
+they collide, then against count forms (how many values fall in each of 512
+cells); neither differs by more than the sets differ in values, so that no pair
+of the threshold is dropped. What is left is compared exactly.
 
 Texts with equal sets are one node, so groups of copies cost one row; the
 result is exact copies (node membership) plus links between different texts.
@@ -34,8 +35,8 @@ from docloom.llm.kernels import Words, binaries, by_chars, distinct_sorted, mix6
 from docloom.session import materialize
 
 BLOCK = 3
-#: Four-bit symbols that ``agreement`` counts, and the 64-bit words that hold them, or hold a parity sketch.
-SHORT, SHORT_WORDS = 64, 4
+#: 64-bit words that hold a parity sketch.
+SHORT_WORDS = 4
 SHORT_NAMES = [f"c{i}" for i in range(SHORT_WORDS)]
 
 
@@ -89,16 +90,6 @@ def may_overlap(x: str, y: str, threshold: float) -> Column:
     return F.expr(apart) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
 
 
-def agreement(x: str, y: str) -> Column:
-    """Equal four-bit symbols of two short forms, counted in the JVM."""
-    parts = []
-    for i in range(SHORT_WORDS):
-        d = f"({x}.c{i} ^ {y}.c{i})"
-        folded = " | ".join(f"shiftrightunsigned({d}, {k})" if k else d for k in range(4))
-        parts.append(f"bit_count(({folded}) & {0x1111111111111111}L)")
-    return F.expr(f"{SHORT} - ({' + '.join(parts)})")
-
-
 def kind_salts(kinds: list[str]) -> np.ndarray:
     salt = {kind: xxhash.xxh3_64_intdigest(str(kind)) for kind in set(kinds)}
     return np.array([salt[k] for k in kinds], np.uint64)
@@ -131,7 +122,7 @@ def _node_sets(texts: list[str | None], kinds: list[str], words: int, least_word
 
 
 def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> DataFrame:
-    """``(kind, key, node, n, tables array<long>)`` of every text that takes part."""
+    """``(kind, key, node, n, tables array<long>, parity sketch, form binary)`` of every text that takes part."""
 
     def run(batches):
         for batch in batches:
@@ -150,11 +141,13 @@ def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> D
                         pa.array(np.diff(begin).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(signed(tables).ravel())),
                         *(pa.array(short[:, i]) for i in range(SHORT_WORDS)),
+                        binaries(jaccard.count_forms(values, begin).ravel(), np.arange(len(at) + 1) * jaccard.FORM_BYTES),
                     ],
-                    names=["kind", "key", "node", "n", "tables", *SHORT_NAMES],
+                    names=["kind", "key", "node", "n", "tables", *SHORT_NAMES, "form"],
                 )
 
-    return items.select("kind", "key", "text").where("key is not null").mapInArrow(run, f"kind string, key string, node long, n int, tables array<long>, {', '.join(c + ' long' for c in SHORT_NAMES)}")
+    sketch = ", ".join(f"{c} long" for c in SHORT_NAMES)
+    return items.select("kind", "key", "text").where("key is not null").mapInArrow(run, f"kind string, key string, node long, n int, tables array<long>, {sketch}, form binary")
 
 
 def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray) -> DataFrame:
@@ -218,8 +211,9 @@ def near_duplicate_links(
     """
     rows = materialize(item_nodes(items, words, least_words, blocks))
     members = rows.select("kind", "key", "node").distinct()
-    nodes = rows.drop("kind", "key").dropDuplicates(["node"])
-    pairs = materialize(candidate_pairs(nodes, threshold))
+    nodes = rows.drop("kind", "key", "form").dropDuplicates(["node"])
+    forms = rows.select("node", F.col("form").alias("feats")).dropDuplicates(["node"])
+    pairs = materialize(jaccard.possible_overlaps(materialize(candidate_pairs(nodes, threshold)), forms, threshold))
     wanted = jaccard.membership(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = jaccard.exact_overlaps(pairs, node_sets(items, words, least_words, wanted), threshold)
     return members, links.select("a", "b", "overlap")
