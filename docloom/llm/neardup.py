@@ -4,15 +4,14 @@ Every text is a set of word runs, sketched by ``3 * blocks`` minimum hashes
 (symbols of 64 bits). Each block of three symbols is covered by the structured
 bit masks of covering LSH for radius one: for every nonzero v of {0,1}^2 the
 mask keeps the symbols i with <i, v> = 1 over GF(2), so that of any two blocks
-differing in one symbol some mask keeps only equal symbols. By pigeonhole over
-the blocks, two sketches that differ in at most ``2 * blocks - 1`` of their
-symbols collide in at least one of the ``3 * blocks`` tables - a guarantee, not a
-probability. With 10 blocks (radius 19 of 30) a pair of overlap 0.5 lies outside
-the radius *and* collides nowhere with probability 0.5 ** 10; a pair of overlap
-0.8 with probability 1.5e-10. Colliding pairs are held against parity sketches where
-they collide, then against count forms (how many values fall in each of 512
-cells); neither differs by more than the sets differ in values, so that no pair
-of the threshold is dropped. What is left is compared exactly.
+differing in one symbol some mask keeps only equal symbols. A pair is a candidate
+when it collides in two blocks. By pigeonhole over the blocks, two sketches that
+differ in at most ``2 * blocks - 3`` of their symbols do so - a guarantee, not a
+probability. With 14 blocks (radius 25 of 42) a pair of overlap 0.5 lies outside
+the radius *and* collides in fewer than two blocks with probability 0.0009; a
+pair of overlap 0.8 with probability 2e-12. Colliding pairs are held against
+parity sketches, whose distance never exceeds the sets' symmetric difference, so
+that no pair of the threshold is dropped, and what is left is compared exactly.
 
 Texts with equal sets are one node, so groups of copies cost one row; the
 result is exact copies (node membership) plus links between different texts.
@@ -35,6 +34,8 @@ from docloom.llm.kernels import Words, binaries, by_chars, distinct_sorted, mix6
 from docloom.session import materialize
 
 BLOCK = 3
+#: Blocks in which a pair must collide; there may be 64 blocks at most.
+LEAST_BLOCKS = 2
 #: 64-bit words that hold a parity sketch.
 SHORT_WORDS = 4
 SHORT_NAMES = [f"c{i}" for i in range(SHORT_WORDS)]
@@ -122,7 +123,7 @@ def _node_sets(texts: list[str | None], kinds: list[str], words: int, least_word
 
 
 def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> DataFrame:
-    """``(kind, key, node, n, tables array<long>, parity sketch, form binary)`` of every text that takes part."""
+    """``(kind, key, node, n, tables array<long>, parity sketch)`` of every text that takes part."""
 
     def run(batches):
         for batch in batches:
@@ -141,13 +142,12 @@ def item_nodes(items: DataFrame, words: int, least_words: int, blocks: int) -> D
                         pa.array(np.diff(begin).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(signed(tables).ravel())),
                         *(pa.array(short[:, i]) for i in range(SHORT_WORDS)),
-                        binaries(jaccard.count_forms(values, begin).ravel(), np.arange(len(at) + 1) * jaccard.FORM_BYTES),
                     ],
-                    names=["kind", "key", "node", "n", "tables", *SHORT_NAMES, "form"],
+                    names=["kind", "key", "node", "n", "tables", *SHORT_NAMES],
                 )
 
     sketch = ", ".join(f"{c} long" for c in SHORT_NAMES)
-    return items.select("kind", "key", "text").where("key is not null").mapInArrow(run, f"kind string, key string, node long, n int, tables array<long>, {sketch}, form binary")
+    return items.select("kind", "key", "text").where("key is not null").mapInArrow(run, f"kind string, key string, node long, n int, tables array<long>, {sketch}")
 
 
 def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray) -> DataFrame:
@@ -173,25 +173,23 @@ def node_sets(items: DataFrame, words: int, least_words: int, wanted: np.ndarray
 
 
 def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of nodes that share a table key.
+    """Distinct pairs ``(a, b)``, a < b, of nodes that share table keys of ``LEAST_BLOCKS`` blocks.
 
     Pairs whose sizes or parity sketches cannot give the overlap are left out
     before they are shuffled.
     """
-    keyed = nodes.select("node", "n", *SHORT_NAMES, F.explode("tables").alias("t"))
+    block = (F.col("pos") / len(covering_masks(1))).cast("int")
+    keyed = nodes.select("node", "n", *SHORT_NAMES, F.posexplode("tables").alias("pos", "t")).select("node", "n", *SHORT_NAMES, "t", block.alias("block"))
     x, y = keyed.alias("x"), keyed.alias("y")
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(threshold - 1e-9)
-    return (
-        x.join(
-            y,
-            (F.col("x.t") == F.col("y.t"))
-            & (F.col("x.node") < F.col("y.node"))
-            & fits
-            & may_overlap("x", "y", threshold),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
+    met = x.join(
+        y,
+        (F.col("x.t") == F.col("y.t"))
+        & (F.col("x.node") < F.col("y.node"))
+        & fits
+        & may_overlap("x", "y", threshold),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.expr("shiftleft(1L, x.block)").alias("block"))
+    return met.groupBy("a", "b").agg(F.bit_or("block").alias("blocks")).where(F.bit_count("blocks") >= LEAST_BLOCKS).select("a", "b")
 
 
 def near_duplicate_links(
@@ -199,7 +197,7 @@ def near_duplicate_links(
     words: int = 5,
     threshold: float = 0.8,
     least_words: int = 1,
-    blocks: int = 10,
+    blocks: int = 14,
 ) -> tuple[DataFrame, DataFrame]:
     """Membership ``(kind, key, node)`` and links ``(a, b, overlap)`` between different nodes.
 
@@ -211,9 +209,8 @@ def near_duplicate_links(
     """
     rows = materialize(item_nodes(items, words, least_words, blocks))
     members = rows.select("kind", "key", "node").distinct()
-    nodes = rows.drop("kind", "key", "form").dropDuplicates(["node"])
-    forms = rows.select("node", F.col("form").alias("feats")).dropDuplicates(["node"])
-    pairs = materialize(jaccard.possible_overlaps(materialize(candidate_pairs(nodes, threshold)), forms, threshold))
+    nodes = rows.drop("kind", "key").dropDuplicates(["node"])
+    pairs = materialize(candidate_pairs(nodes, threshold))
     wanted = jaccard.membership(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = jaccard.exact_overlaps(pairs, node_sets(items, words, least_words, wanted), threshold)
     return members, links.select("a", "b", "overlap")

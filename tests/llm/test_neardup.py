@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from docloom.llm import jaccard, neardup
+from docloom.llm import neardup
 from docloom.llm.components import components
 
 
@@ -81,25 +81,15 @@ def test_covering_masks_cover_the_radius(radius):
         assert any(not set(mask) & set(differing) for mask in masks)
 
 
-def test_count_forms_never_differ_more_than_the_sets():
+def test_every_pair_within_the_radius_collides_in_two_blocks():
     rng = np.random.default_rng(0)
-    for size in (1, 50, 400, 20_000):  # the last one fills cells beyond 15
-        x, extra = rng.integers(0, 2**64, (2, size), dtype=np.uint64)
-        y = np.concatenate((x[: size // 3], extra))
-        forms = jaccard.count_forms(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]))
-        assert forms[0, :4].tobytes() == np.int32(len(x)).tobytes()
-        cells = np.stack([forms[:, 4:] >> 4, forms[:, 4:] & 15]).astype(int)
-        assert np.abs(cells[:, 0] - cells[:, 1]).sum() <= len(np.setxor1d(x, y))
-
-
-def test_possible_overlaps_keep_true_pairs_and_drop_others(spark):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
-    sets = [base, np.concatenate((base[:240], rng.integers(0, 2**64, 60, dtype=np.uint64))), rng.integers(0, 2**64, 300, dtype=np.uint64)]
-    forms = jaccard.count_forms(np.concatenate(sets), np.array([0, 300, 600, 900]))
-    held = spark.createDataFrame([(i, bytes(forms[i])) for i in range(3)] * 2, "node long, feats binary")
-    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
-    assert [tuple(r) for r in jaccard.possible_overlaps(pairs, held.distinct(), 0.6).collect()] == [(0, 1)]
+    blocks = 14
+    for _ in range(300):
+        x = rng.integers(0, 2**64, (1, 3 * blocks), dtype=np.uint64)
+        y = x.copy()
+        y[0, rng.permutation(3 * blocks)[: 2 * blocks - 3]] += np.uint64(1)
+        same = (neardup.table_keys(x) == neardup.table_keys(y)).reshape(blocks, -1).any(1)
+        assert same.sum() >= neardup.LEAST_BLOCKS
 
 
 def test_components_of_chains_and_stars(spark):
