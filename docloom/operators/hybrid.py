@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.lexical import top_k
@@ -28,6 +28,17 @@ def fuse(semantic: DataFrame, lexical: DataFrame, k: int = 6, constant: int = RR
     return fused.select("query_id", "id", "rank", "score", "semantic_rank", "lexical_rank")
 
 
+def candidate_union(branches: list[DataFrame], most: int) -> DataFrame:
+    """Distinct ``(query_id, id)`` of the branches; more than ``most`` of a query fail the job."""
+    union = branches[0].select("query_id", "id")
+    for other in branches[1:]:
+        union = union.union(other.select("query_id", "id"))
+    union = union.dropDuplicates(["query_id", "id"])
+    counted = union.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    fits = F.when(F.col("n") <= most, F.col("id")).otherwise(F.raise_error(F.lit(f"more than {most} candidates")).cast(union.schema["id"].dataType))
+    return counted.select("query_id", fits.alias("id"))
+
+
 def rerank(branches: list[DataFrame], scorer: Column, features: DataFrame, k: int) -> DataFrame:
     """Score the whole deduplicated union of the branches and keep the ``k`` best.
 
@@ -38,7 +49,11 @@ def rerank(branches: list[DataFrame], scorer: Column, features: DataFrame, k: in
     for other in branches[1:]:
         union = union.union(other.select("query_id", "id"))
     keys = [c for c in ("query_id", "id") if c in features.columns]
-    scored = union.dropDuplicates(["query_id", "id"]).join(features, keys, "left").withColumn("score", scorer)
+    return best_scored(union.dropDuplicates(["query_id", "id"]).join(features, keys, "left").withColumn("score", scorer), k)
+
+
+def best_scored(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``(query_id, id, score)``, equal scores: smaller id; a score that isn't finite fails the query."""
     sound = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
     checked = scored.withColumn("score", F.when(sound, F.col("score")).otherwise(F.raise_error(F.lit("rerank score is not finite")).cast("double")))
     return top_k(checked, k, F.desc("score"), F.col("id")).select("query_id", "id", "rank", "score")

@@ -1,53 +1,65 @@
-"""Keyword retrieval: postings, BM25 scores, literal priority, top-k."""
+"""Keyword retrieval: an index of texts by their terms, BM25 scores, literal priority, top-k."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.literals import extract_literals, occurrences
 from docloom.functions.text import terms
-from docloom.session import materialize, parallelism
+from docloom.operators.intervals import merge_ranges
+from docloom.operators.topk import Best
+from docloom.session import materialize
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Scores are compared on this many digits, so copies tie whatever order their terms were added in.
 DIGITS = 9
-#: Quoted literals that one pass over the pages looks for.
-LITERALS_PER_PASS = 1000
+#: Queries that travel at once, and literals that one row or one pass asks a page for.
+QUERIES_PER_PASS, LITERALS_PER_PASS = 2000, 1000
+#: Documents scored at once against all queries of a pass (16 MB of scores).
+SLICE = 1024
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings (term, id, tf, dl), lengths (id, dl) and one row of corpus statistics (n, avgdl).
+    """Documents ``(id, terms)``, repeated terms included: what postings, lengths and statistics come from.
 
-    A posting carries its document's length, so scoring joins nothing by id.
+    Searching for the best ``k`` scans documents, in which nothing is shuffled but
+    each task's best; postings serve checks, and scores of stated pairs.
     """
 
-    postings: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
+    documents: DataFrame
 
     def stored(self) -> "LexicalIndex":
-        """The same index read from tables in the shared folder, for more than one batch of queries."""
-        lengths = materialize(self.lengths)
-        return LexicalIndex(materialize(self.postings), lengths, _stats(lengths))
+        """The same index read from a table in the shared folder, for more than one batch of queries."""
+        return LexicalIndex(materialize(self.documents))
 
+    @property
+    def lengths(self) -> DataFrame:
+        return self.documents.select("id", F.size("terms").cast("long").alias("dl"))
 
-def build_index(texts: DataFrame) -> LexicalIndex:
-    """Index ``(id, text)``, one row per id. A text without terms counts as a document of length 0."""
-    tokens = texts.select("id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    sized = tokens.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
-    postings = sized.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    lengths = tokens.select("id", F.size("terms").cast("long").alias("dl"))
-    return LexicalIndex(postings, lengths, _stats(lengths))
+    @property
+    def postings(self) -> DataFrame:
+        """``(term, id, tf, dl)``."""
+        one = self.documents.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+        return one.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def _stats(lengths: DataFrame) -> DataFrame:
-    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def build_index(texts: DataFrame) -> LexicalIndex:
+    """Index ``(id, text)``, one row per id. A text without terms counts as a document of length 0."""
+    return LexicalIndex(texts.select("id", terms(F.coalesce("text", F.lit(""))).alias("terms")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -55,25 +67,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
-def document_frequencies(index: LexicalIndex) -> DataFrame:
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(index: LexicalIndex, wanted: DataFrame | None = None) -> DataFrame:
+    """``(term, df)``, of the terms of ``wanted`` only if it is given."""
+    one = index.documents.select(F.explode(F.array_distinct("terms")).alias("term"))
+    one = one if wanted is None else one.join(wanted.select("term").distinct(), "term", "left_semi")
+    return one.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """``(term, idf, avgdl)`` of the wanted terms that some document has."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    counted = document_frequencies(index, wanted).crossJoin(index.stats)  # one row of statistics
+    return counted.select("term", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"), "avgdl")
+
+
+def pair_scores(index: LexicalIndex, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(query_id, id, score)`` of stated distinct pairs ``(query_id, id)`` that share a term; lower is better."""
+    asked = query_terms(queries)
+    weighted = asked.join(term_weights(index, asked), "term")
+    own = index.documents.join(pairs.select("id").distinct(), "id", "left_semi")
+    postings = LexicalIndex(own).postings
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    met = pairs.select("query_id", "id").join(weighted, "query_id").join(postings, ["id", "term"])
+    return met.groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """``(query_id, id, score)`` of every document with a query term; lower is better, as scores are negative."""
+    """``(query_id, id, score)`` of every document with a query term: a full listing, for checks and small inputs."""
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    # Read twice below, for document frequencies and for impacts; written once, so texts are not cut into terms twice.
-    matched = materialize(index.postings.join(wanted, "term", "left_semi"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = matched.groupBy("term").agg(F.count("*").alias("df")).crossJoin(index.stats)  # one row of statistics
-    weights = weights.select("term", "avgdl", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    impacts = matched.join(weights, "term").select("term", "id", part.alias("part"))
-    # Postings are spread by id before queries multiply them: every (query, id) then sums up in one place, and
-    # only postings are shuffled.
-    impacts = impacts.repartition(parallelism(impacts.sparkSession), "id")
-    return asked.join(impacts, "term").groupBy("query_id", "id").agg((-F.sum("part")).alias("score"))
+    weighted = asked.join(term_weights(index, asked), "term")
+    return weighted.join(index.postings, "term").groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, *order) -> DataFrame:
@@ -83,8 +107,85 @@ def top_k(scores: DataFrame, k: int, *order) -> DataFrame:
 
 
 def bm25_top_k(index: LexicalIndex, queries: DataFrame, k: int = 10) -> DataFrame:
-    scores = bm25_scores(index, queries)
-    return top_k(scores, k, F.round("score", DIGITS), F.col("id"))
+    """``(query_id, id, score, rank)``: the ``k`` best documents of every query; equal scores: smaller id.
+
+    ``queries`` is a stated set ``(query_id, text)``. It travels in blocks of
+    bounded size; a block scans the documents once, every task adds up its
+    documents' scores and sends its own best ``k`` per query, so neither postings
+    nor scores of a common term are ever shuffled.
+    """
+    asked = query_terms(queries)
+    weights = term_weights(index, asked)
+    count = queries.count()
+    blocks = max(1, -(-count // QUERIES_PER_PASS))
+    keyed = asked.join(weights, "term")
+    if blocks > 1:
+        keyed = materialize(keyed)
+    parts = []
+    for number in range(blocks):
+        own = keyed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else keyed
+        found, shared = _scan(index, own, queries, k)
+        if blocks > 1:  # one block at a time on the driver and on the executors
+            found = materialize(found)
+            shared.destroy()
+        parts.append(found)
+    best = top_k(reduce(DataFrame.union, parts), k, F.desc("score"), F.col("id"))
+    return best.select("query_id", "id", (-F.col("score")).alias("score"), "rank")
+
+
+def _scan(index: LexicalIndex, keyed: DataFrame, queries: DataFrame, k: int):
+    """Each task's best ``(query_id, id, score)``, positive scores, and the broadcast it reads."""
+    rows = keyed.select("query_id", "term", "idf", "avgdl").collect()  # the terms of one block of queries
+    names = sorted({r[0] for r in rows})
+    number = {name: i for i, name in enumerate(names)}
+    vocabulary = sorted({r[1] for r in rows})
+    place = {term: i for i, term in enumerate(vocabulary)}
+    holders: list[list[int]] = [[] for _ in vocabulary]
+    idf = np.zeros(len(vocabulary))
+    for query, term, weight, _ in rows:
+        holders[place[term]].append(number[query])
+        idf[place[term]] = weight
+    avgdl = rows[0][3] if rows else 1.0
+    shared = index.documents.sparkSession.sparkContext.broadcast((names, vocabulary, [np.array(h) for h in holders], idf, avgdl))
+    id_type = to_arrow_type(index.documents.schema["id"].dataType)
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def scan(batches):
+        names, vocabulary, holders, idf, avgdl = shared.value
+        if not names:
+            return
+        best, known = Best(len(names), k), pa.array(vocabulary, pa.string())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                _score_slice(batch.slice(lo, SLICE), known, holders, idf, avgdl, best)
+        if (found := best.result()) is not None:
+            query, score, ids = found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[q] for q in query.tolist()], query_type), pa.array(ids.tolist(), id_type), pa.array(score)], names=["query_id", "id", "score"]
+            )
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.documents.schema['id'].dataType.simpleString()}, score double"
+    return index.documents.select("id", "terms").mapInArrow(scan, schema), shared
+
+
+def _score_slice(batch: pa.RecordBatch, known: pa.Array, holders: list, idf: np.ndarray, avgdl: float, best: Best) -> None:
+    lists = batch.column(1)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    term = pc.index_in(lists.flatten(), value_set=known)
+    document = np.repeat(np.arange(batch.num_rows), lengths)[term.is_valid().to_numpy(zero_copy_only=False)]
+    term = term.drop_null().to_numpy().astype(np.int64)
+    if not len(term):
+        return
+    pair, tf = np.unique(term * batch.num_rows + document, return_counts=True)
+    term, document = pair // batch.num_rows, pair % batch.num_rows
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[document] / avgdl))
+    scores = np.zeros((len(best.floor), batch.num_rows))
+    cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        scores[np.ix_(holders[term[lo]], document[lo:hi])] += impact[lo:hi]
+    touched = np.unique(document)
+    scores = np.round(scores[:, touched], DIGITS)
+    best.add(scores, np.array(batch.column(0).to_pylist())[touched], scores > 0)
 
 
 def literals(texts: DataFrame, underscores: bool = False) -> DataFrame:
@@ -110,57 +211,73 @@ def literal_matches(chunks: DataFrame, pages: DataFrame, wanted: DataFrame) -> D
     """``(query_id, id, literal, kind, start, end)``: literals of questions that stand whole inside a chunk's ranges.
 
     ``wanted``: ``(query_id, literal, kind)``; ``chunks``: ``(id, page_key,
-    ranges)``; ``pages``: ``(page_key, markdown)``. A literal with boundaries is
-    located by its longest term, so it only meets pages that hold that term;
-    quoted spans, which may begin inside a word, are searched in blocks of
-    bounded size. Boundaries are judged on the whole page.
+    ranges)``; ``pages``: ``(page_key, markdown)``. Every page is searched once and
+    its hits are joined to the ranges of its chunks. A literal with boundaries is
+    located by its longest term, so it only meets pages that hold that term, in
+    rows of bounded length; quoted spans, which may begin inside a word, are
+    searched in blocks of bounded size. Boundaries are judged on the whole page.
     """
     spark = chunks.sparkSession
-    distinct = wanted.select("literal", "kind").distinct().withColumn("terms", terms(F.col("literal")))
+    distinct = materialize(wanted.select("literal", "kind").distinct().withColumn("terms", terms(F.col("literal"))))
     keyed = distinct.where((F.size("terms") > 0) & (F.col("kind") != "quoted"))
     keyed = keyed.select("literal", "kind", F.expr("array_max(transform(terms, t -> struct(length(t) as size, t as term))).term").alias("term"))
+    slices = max(1, -(-keyed.count() // LITERALS_PER_PASS))
     located = (
         pages.select("page_key", F.explode(F.array_distinct(terms(F.col("markdown")))).alias("term"))
         .join(keyed, "term")
-        .groupBy("page_key")
+        .groupBy("page_key", F.pmod(F.xxhash64("literal"), F.lit(slices)).alias("slice"))
         .agg(F.collect_set(F.struct("literal", "kind")).alias("asked"))
     )
-    text = chunks.select("id", "page_key", "ranges").join(pages, "page_key")
+    key = pages.schema["page_key"].dataType.simpleString()
+    key_type = to_arrow_type(pages.schema["page_key"].dataType)
 
     def search(rows: DataFrame, block) -> DataFrame:
+        """``(page_key, literal, kind, start, end)`` of the literals of each row, or else of the block."""
+
         def run(batches):
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    ranges = merged(row["ranges"])
-                    for x in row.get("asked") or block.value:
-                        out += [(row["id"], x["literal"], x["kind"], s, e) for s, e in occurrences(row["markdown"] or "", x["literal"], x["kind"], ranges)]
+                lists = batch.column(2).to_pylist() if block is None else [block.value] * batch.num_rows
+                out = [
+                    (page, x["literal"], x["kind"], *at)
+                    for page, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists)
+                    for x in asked
+                    for at in occurrences(text or "", x["literal"], x["kind"])
+                ]
                 if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c) for c in columns[:3]), *(pa.array(c, pa.int32()) for c in columns[3:])],
-                        names=["id", "literal", "kind", "start", "end"],
-                    )
+                    kinds = [key_type, pa.string(), pa.string(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["page_key", "literal", "kind", "start", "end"])
 
-        return rows.mapInArrow(run, "id string, literal string, kind string, start int, end int")
+        return rows.mapInArrow(run, f"page_key {key}, literal string, kind string, start int, end int")
 
-    hits = search(text.join(located, "page_key").select("id", "ranges", "markdown", "asked"), None)
+    hits = search(pages.join(located, "page_key").select("page_key", "markdown", "asked"), None)
     loose = distinct.where((F.size("terms") == 0) | (F.col("kind") == "quoted")).select("literal", "kind")
-    for number in range(-(-loose.count() // LITERALS_PER_PASS)):
-        rows = loose.orderBy("literal", "kind").offset(number * LITERALS_PER_PASS).limit(LITERALS_PER_PASS).collect()
-        hits = hits.union(search(text.select("id", "ranges", "markdown"), spark.sparkContext.broadcast([r.asDict() for r in rows])))
-    return hits.join(wanted.select("query_id", "literal", "kind").distinct(), ["literal", "kind"]).select("query_id", "id", "literal", "kind", "start", "end")
-
-
-def merged(ranges: list) -> list[tuple[int, int]]:
-    """Sorted union of ``{start, end}`` ranges, touching ones joined."""
-    out: list[tuple[int, int]] = []
-    for r in sorted((r["start"], r["end"]) for r in ranges or () if r and r["start"] is not None and r["end"] is not None):
-        if out and r[0] <= out[-1][1]:
-            out[-1] = out[-1][0], max(r[1], out[-1][1])
-        else:
-            out.append(r)
-    return out
+    blocks = -(-loose.count() // LITERALS_PER_PASS)
+    for number in range(blocks):
+        own = loose.where(F.pmod(F.xxhash64("literal", "kind"), F.lit(blocks)) == number)
+        block = spark.sparkContext.broadcast([r.asDict() for r in own.collect()])  # about LITERALS_PER_PASS rows
+        found = search(pages.select("page_key", "markdown"), block)
+        if blocks > 1:
+            found = materialize(found)
+            block.destroy()
+        hits = hits.union(found)
+    ranges = chunks.select("id", "page_key", F.explode("ranges").alias("r")).select("id", "page_key", "r.start", "r.end")
+    inside = merge_ranges(ranges, ["id", "page_key"]).withColumnsRenamed({"start": "a", "end": "b"})
+    placed = hits.join(inside, "page_key").where("start >= a and end <= b").select("id", "literal", "kind", "start", "end")
+    return placed.join(wanted.select("query_id", "literal", "kind").distinct(), ["literal", "kind"]).select("query_id", "id", "literal", "kind", "start", "end")
+
+
+def lexical_search(index: LexicalIndex, queries: DataFrame, matches: DataFrame, k: int = 10) -> DataFrame:
+    """The whole keyword search: literal hits first, then BM25 (see literal_priority).
+
+    Chunks without a literal can only be needed among the best ``k`` by score, so
+    beside those only the chunks with a literal are scored.
+    """
+    hits = materialize(matches.groupBy("query_id", "id").agg(F.count_distinct("literal").alias("n_literals")))
+    near = bm25_top_k(index, queries, k).select("query_id", "id", "score")
+    scored = pair_scores(index, queries, hits)
+    # A chunk of both branches has equal scores but for the last digits.
+    scores = near.union(scored).groupBy("query_id", "id").agg(F.min(F.round("score", DIGITS)).alias("score"))
+    return ranked_with_literals(scores, hits, k)
 
 
 def literal_priority(scores: DataFrame, matches: DataFrame, k: int = 10) -> DataFrame:
@@ -168,7 +285,10 @@ def literal_priority(scores: DataFrame, matches: DataFrame, k: int = 10) -> Data
 
     Result: ``(query_id, id, rank, n_literals, score)``, score null where only a literal matched.
     """
-    counts = matches.groupBy("query_id", "id").agg(F.count_distinct("literal").alias("n_literals"))
+    return ranked_with_literals(scores, matches.groupBy("query_id", "id").agg(F.count_distinct("literal").alias("n_literals")), k)
+
+
+def ranked_with_literals(scores: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     both = scores.join(counts, ["query_id", "id"], "full").withColumn("n_literals", F.coalesce("n_literals", F.lit(0)))
     order = (F.desc("n_literals"), F.col("score").isNull(), F.round("score", DIGITS), F.col("id"))
     return top_k(both, k, *order).select("query_id", "id", "rank", "n_literals", "score")

@@ -12,9 +12,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.vectors import is_usable
 from docloom.operators.lexical import DIGITS, top_k
+from docloom.operators.topk import Best
+from docloom.session import materialize
 
-#: Numbers of query vectors that travel at once (32 MB); a larger set takes more passes.
-BLOCK_NUMBERS = 4_000_000
+#: Numbers of query vectors that travel at once (4 MB); a larger set takes more passes.
+BLOCK_NUMBERS = 524_288
+#: Vectors compared at once with all queries of a pass.
+ROWS = 1024
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int, time_col: str | None = None) -> DataFrame:
@@ -33,46 +37,53 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
     double precision; ties (on nine digits) go to the smaller id.
     """
     spark = vectors.sparkSession
-    per_block = max(1, BLOCK_NUMBERS // dim)
-    count = queries.count()
-    blocks = max(1, -(-count // per_block))
-    kind = vectors.schema["id"].dataType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    query_type = to_arrow_type(queries.schema["query_id"].dataType)
-
-    def one(number: int) -> DataFrame:
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else queries
-        rows = part.select("query_id", "vector").collect()  # about per_block rows
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(-1, dim)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)[:, None]))
-
-        def scan(batches):
-            names, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not names:
-                    continue
-                own = batch.column(0).to_pylist()
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-                order = np.array(own)
-                asked, near, scores = [], [], []
-                for lo in range(0, len(q), 256):
-                    for name, row in zip(names[lo : lo + 256], np.round(q[lo : lo + 256] @ x.T, DIGITS)):
-                        # Ties beyond the k-th score matter, so everything that reaches it is ordered.
-                        at = np.arange(len(row)) if len(row) <= k + 1 else np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1])
-                        best = at[np.lexsort((order[at], -row[at]))][: k + 1].tolist()
-                        best = [j for j in best if own[j] != name][:k]
-                        asked += [name] * len(best)
-                        near += [own[j] for j in best]
-                        scores.append(row[best])
-                if asked:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(asked, query_type), pa.array(near, batch.schema.field(0).type), pa.array(np.concatenate(scores))],
-                        names=["query_id", "id", "cosine"],
-                    )
-
-        return vectors.select("id", "vector").mapInArrow(scan, f"query_id {query_kind}, id {kind}, cosine double")
-
-    found = reduce(DataFrame.union, [one(n) for n in range(blocks)])
-    return top_k(found, k, F.desc("cosine"), F.col("id"))
+    blocks = max(1, -(-queries.count() // max(1, BLOCK_NUMBERS // dim)))
+    parts = []
+    for number in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else queries
+        rows = own.select("query_id", "vector").collect()  # about BLOCK_NUMBERS numbers
+        matrix = _unit(np.array([r[1] for r in rows], np.float64).reshape(-1, dim))
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], matrix))
+        found = _scan(vectors, queries, shared, k, dim)
+        if blocks > 1:  # one block at a time on the driver and on the executors
+            found = materialize(found)
+            shared.destroy()
+        parts.append(found)
+    return top_k(reduce(DataFrame.union, parts), k, F.desc("cosine"), F.col("id"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+
+
+def _scan(vectors: DataFrame, queries: DataFrame, shared, k: int, dim: int) -> DataFrame:
+    """Each task's best ``(query_id, id, cosine)``."""
+    kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((vectors, "id"), (queries, "query_id")))
+    id_type, query_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((vectors, "id"), (queries, "query_id")))
+
+    def scan(batches):
+        names, q = shared.value
+        if not names:
+            return
+        best = Best(len(names), k)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                ids = np.array(part.column(0).to_pylist())
+                x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+                scores = np.round(q @ x.T, DIGITS)
+                wanted = np.ones(scores.shape, bool)
+                here: dict = {}
+                for j, name in enumerate(ids.tolist()):
+                    here.setdefault(name, []).append(j)
+                for i, name in enumerate(names):
+                    if name in here:  # no query finds itself
+                        wanted[i, here[name]] = False
+                best.add(scores, ids, wanted)
+        if (found := best.result()) is not None:
+            query, score, ids = found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in query.tolist()], query_type), pa.array(ids.tolist(), id_type), pa.array(score)], names=["query_id", "id", "cosine"]
+            )
+
+    return vectors.select("id", "vector").mapInArrow(scan, f"query_id {query_kind}, id {kind}, cosine double")

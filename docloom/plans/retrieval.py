@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.text import terms
-from docloom.operators import evaluation, grounding, hybrid, intervals, lexical, semantic, setcover
-from docloom.plans.common import ASKED, CASES, CHUNKS, PAGES, QUERY_SHARE, RANGES, SPANS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_texts, chunk_vectors, chunks, pages, sql_bm25, sql_terms
+from docloom.operators import evaluation, grounding, hybrid, intervals, lexical, models, semantic, setcover
+from docloom.plans.common import (
+    ASKED, CASES, CHUNKS, PAGES, QUERY_SHARE, RANGES, SPANS, TEXTS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_vectors, chunks, pages,
+    sql_bm25, sql_index, sql_literals, sql_matches, sql_search, sql_terms,
+)
 from docloom.sources.tables import table
 
 QUESTIONS = [(1, "archived pallet index of the remote worker pool"), (2, "складской порт и ночной терминал"), (3, "Schlüssel für Einträge und Plätze")]
@@ -33,7 +36,7 @@ def _case_queries(spark, sf):
 
 
 def bm25_batch_topk(spark, sf):
-    found = lexical.bm25_top_k(lexical.build_index(chunk_texts(spark, sf)), _case_queries(spark, sf), 10)
+    found = lexical.bm25_top_k(lexical.build_index(chunk_fields(spark, sf)), _case_queries(spark, sf), 10)
     return found.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -48,16 +51,16 @@ def cosine_batch_topk(spark, sf):
 
 
 def _hybrid_queries(spark, sf):
-    """Chunk number 0 of every page whose id is divisible by 20: its vector, and its heading path as words."""
-    return chunks(spark, sf).where("page_id % 20 = 0 and ordinal = 0").select(F.col("chunk_id").alias("query_id"), F.array_join("heading_path", " ").alias("text"))
+    """Every chunk of the pages whose id is divisible by 20: its vector, and its heading path as words."""
+    return chunks(spark, sf).where(f"page_id % {QUERY_SHARE} = 0").select(F.col("chunk_id").alias("query_id"), F.array_join("heading_path", " ").alias("text"))
 
 
 def _branches(spark, sf, semantic_k=10, lexical_k=10):
+    """The candidates of both branches: cosine, and the whole keyword search."""
     asked = _hybrid_queries(spark, sf)
     vectors = chunk_vectors(spark, sf)
     near = semantic.exact_top_k(vectors, asked.join(vectors, asked.query_id == vectors.id).select("query_id", "vector"), semantic_k, 128)
-    words = lexical.bm25_top_k(lexical.build_index(chunk_texts(spark, sf)), asked, lexical_k)
-    return near, words
+    return near, _lexical_search(spark, sf, asked, lexical_k)
 
 
 def hybrid_topk(spark, sf):
@@ -77,16 +80,33 @@ def branch_union(spark, sf):
 
 
 def rerank_topk(spark, sf):
-    """Rerank by nearness to the length of a full chunk: a stand-in for a trained scorer, with the same contract."""
-    texts = chunk_texts(spark, sf).select("id", F.length("text").alias("size"))
-    scorer = F.round(1.0 / (1.0 + F.abs(F.col("size") - 1000)), 9)
-    found = hybrid.rerank(list(_branches(spark, sf)), scorer, texts, 6)
+    """The union of 120 cosine candidates and the best keyword hit, scored pair by pair and reordered.
+
+    The scorer stands where a trained cross-encoder would: the share of the
+    question's distinct terms that the chunk holds.
+    """
+    asked, texts = _hybrid_queries(spark, sf), chunk_fields(spark, sf)
+
+    def load():
+        def score(question: str, text: str) -> float:
+            wanted, held = set(question.split("\x1f")) - {""}, set(text.split("\x1f"))
+            return round(len(wanted & held) / len(wanted), 9) if wanted else 0.0
+
+        return score
+
+    def joined(column):
+        return F.array_join(terms(F.coalesce(column, F.lit(""))), "\x1f")
+
+    union = hybrid.candidate_union(list(_branches(spark, sf, 120, 1)), 121)
+    pairs = union.join(asked.select("query_id", joined(F.col("text")).alias("question")), "query_id").join(texts.select("id", joined(F.col("text")).alias("text")), "id")
+    scored = models.score_pairs(pairs, "question", "text", load).select("query_id", "id", "score")
+    found = hybrid.best_scored(scored, 6)
     return found.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.col("score"))
 
 
 def literal_ips(spark, sf):
     found = lexical.literals(pages(spark, sf).select(F.col("page_id").alias("id"), F.col("markdown").alias("text")))
-    return found.where("kind = 'ip' and literal not like '%:%'").groupBy("literal").agg(F.count_distinct("id").alias("n_pages"))
+    return found.where("kind = 'ip'").groupBy("literal").agg(F.count_distinct("id").alias("n_pages"))
 
 
 def literal_extract(spark, sf):
@@ -111,16 +131,7 @@ def literal_priority_topk(spark, sf):
 
 def _lexical_search(spark, sf, queries, k=10):
     """The whole keyword search: BM25 over titles, headings and search text, and literal matches of all chunks before it."""
-    scores = lexical.bm25_scores(lexical.build_index(chunk_fields(spark, sf)), queries)
-    return lexical.literal_priority(scores, _literal_matches(spark, sf, queries), k)
-
-
-def hybrid_search_topk(spark, sf):
-    """Fused search whose lexical branch is the whole keyword search, asked by every chunk of the pages whose id is divisible by 20."""
-    asked = chunks(spark, sf).where(f"page_id % {QUERY_SHARE} = 0").select(F.col("chunk_id").alias("query_id"), F.array_join("heading_path", " ").alias("text"))
-    vectors = chunk_vectors(spark, sf)
-    near = semantic.exact_top_k(vectors, asked.join(vectors, asked.query_id == vectors.id).select("query_id", "vector"), 10, 128)
-    return _fused_columns(hybrid.fuse(near, _lexical_search(spark, sf, asked), k=6))
+    return lexical.lexical_search(lexical.build_index(chunk_fields(spark, sf)).stored(), queries, _literal_matches(spark, sf, queries), k)
 
 
 # Intervals: the spans are the evidence of the cases, the ranges those of the chunks.
@@ -161,7 +172,7 @@ def _ranked(spark, sf, k, mode="plain"):
     if mode == "protocol":
         asked = evaluation.protocol_input(asked, F.lit(True)).withColumn("question", F.col("input"))
     queries = asked.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    return lexical.bm25_top_k(lexical.build_index(chunk_texts(spark, sf)), queries, k)
+    return _lexical_search(spark, sf, queries, k)
 
 
 def _hits(spark, sf, mode="plain"):
@@ -226,7 +237,7 @@ def set_cover_min(spark, sf):
 
 
 def budget_pack(spark, sf):
-    ranked = _ranked(spark, sf, 10).join(chunk_texts(spark, sf).select("id", F.size(terms(F.col("text"))).cast("long").alias("tokens")), "id")
+    ranked = _ranked(spark, sf, 10).join(chunk_fields(spark, sf).select("id", F.size(terms(F.col("text"))).cast("long").alias("tokens")), "id")
     packed = grounding.pack_budget(ranked, 600)
     return packed.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), "tokens", "used")
 
@@ -249,26 +260,30 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_stats, bm25_topk, bm25_batch_topk, cosine_batch_topk, hybrid_topk, branch_union, rerank_topk, literal_ips, literal_extract,
-        literal_offsets, literal_priority_topk, hybrid_search_topk, merged_ranges, interval_cover, interval_atoms, missing_ranges, interval_clip, followup_input,
+        literal_offsets, literal_priority_topk, merged_ranges, interval_cover, interval_atoms, missing_ranges, interval_clip, followup_input,
         evidence_hit_at_5, eval_groups_dense, mode_transitions, lost_new_hits, loss_kinds, candidate_selection, set_cover_min, budget_pack,
         evidence_fragments, answer_validation,
     )
 }
 
 _DOCS = "(select doc_id as id, text from documents qualify row_number() over (partition by doc_id order by source) = 1)"
-_TEXTS = f"(select chunk_id as id, search_text as text from {CHUNKS})"
+_TEXTS = TEXTS
 _ASKED = f"(select id as query_id, question as text from {ASKED})"
 _PROTOCOL = f"(select id as query_id, case when previous_question is not null then concat_ws(chr(10), previous_question, question) else question end as text from {ASKED})"
 _FIXED = "(select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ") t(query_id, text))"
-_HQ = f"(select chunk_id as query_id, array_to_string(heading_path, ' ') as text from {CHUNKS} where page_id % 20 = 0 and ordinal = 0)"
+_HQ = f"(select chunk_id as query_id, array_to_string(heading_path, ' ') as text from {CHUNKS} where page_id % {QUERY_SHARE} = 0)"
 
-_BRANCHES = f"""with hq as {_HQ}, vec as {VECTORS}, texts as {_TEXTS}, {sql_bm25("texts", "hq", 10)},
+def _sql_branches(semantic_k: int, lexical_k: int) -> str:
+    return f"""with hq as {_HQ}, vec as {VECTORS}, texts as {_TEXTS}, {sql_index("texts")}, {sql_search("words", "hq", lexical_k)},
 sem as (select hq.query_id, d.id, round(list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(d.v, d.v)), 9) as cosine
   from hq join vec q on q.id = hq.query_id join vec d on d.id <> hq.query_id),
-semantic as (select *, row_number() over (partition by query_id order by cosine desc, id) as rank from sem qualify rank <= 10)
+semantic as (select *, row_number() over (partition by query_id order by cosine desc, id) as rank from sem qualify rank <= {semantic_k})
 """
 
 
+_BRANCHES = _sql_branches(10, 10)
+
+
 def _islands(ranges: str) -> str:
     return f"""marked as (select page_id, s, e, coalesce(s > max(e) over (partition by page_id order by s, e rows between unbounded preceding and 1 preceding), true)::int as fresh from {ranges} where s < e),
 islands as (select *, sum(fresh) over (partition by page_id order by s, e rows unbounded preceding) as island from marked),
@@ -285,22 +300,11 @@ def _hit_sql(name: str, cut: int, bm25: str = "bm25") -> str:
 {name} as (select c.id as case_id, coalesce(h.hit, false) as hit from {ASKED} c left join (select case_id, bool_and(covered) as hit from {name}_s group by 1) h on h.case_id = c.id)"""
 
 
-def _prefixed(name: str, corpus: str, queries: str, k: int) -> str:
-    """The BM25 CTEs under other names, so that two query sets fit in one statement."""
-    out = sql_bm25(corpus, queries, k)
-    for cte in ("tokens", "postings", "lengths", "stats", "idfs", "asked", "scores", "bm25"):
-        out = out.replace(f"\n{cte} as", f"\n{name}_{cte} as")
-        for before in ("from ", "join ", ", "):
-            for after in (" ", ",", ")", "\n", "group"):
-                out = out.replace(f"{before}{cte}{after}", f"{before}{name}_{cte}{after}")
-    return out
-
-
-_EVAL = f"with texts as {_TEXTS}, ranges as {RANGES}, spans as {SPANS.format(cases=ASKED)}, {sql_bm25('texts', _ASKED, 50)}"
+_INDEX = f"with texts as {_TEXTS}, ranges as {RANGES}, spans as {SPANS.format(cases=ASKED)}, own as {_ASKED}, {sql_index('texts')}"
+_EVAL = f"{_INDEX}, {sql_search('bm25', 'own', 50)}"
 _MODES = (
-    f"with texts as {_TEXTS}, ranges as {RANGES}, spans as {SPANS.format(cases=ASKED)}, {_prefixed('a', 'texts', _ASKED, 5)}, {_prefixed('b', 'texts', _PROTOCOL, 5)}, "
-    + _hit_sql("plain", 5, "a_bm25") + ", " + _hit_sql("protocol", 5, "b_bm25")
-)
+    f"{_INDEX}, other as {_PROTOCOL}, {sql_search('a', 'own', 5)}, {sql_search('b', 'other', 5)}, " + _hit_sql("plain", 5, "a") + ", " + _hit_sql("protocol", 5, "b")
+)
 
 SQL = {
     "term_stats": f"with tokens as (select id, unnest({sql_terms(chr(39) + chr(39) + ' || coalesce(text, ' + chr(39) + chr(39) + ')')}) as term from {_DOCS}) select term, count(distinct id) as n_docs, count(*) as n_total from tokens group by 1",
@@ -310,11 +314,12 @@ SQL = {
 s as (select q.id as query_id, d.id, round(list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(d.v, d.v)), 9) as c from e q join e d on d.id <> q.id where q.id % 20 = 0)
 select query_id, id as vec_id, row_number() over (partition by query_id order by c desc, id) as rank, round(c, 6) as cosine from s qualify rank <= 10""",
     "hybrid_topk": _BRANCHES + """, fused as (select coalesce(s.query_id, b.query_id) as query_id, coalesce(s.id, b.id) as id, s.rank as semantic_rank, b.rank as lexical_rank,
-  coalesce(1.0::double / (60 + s.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) as score from semantic s full join bm25 b on b.query_id = s.query_id and b.id = s.id)
+  coalesce(1.0::double / (60 + s.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) as score from semantic s full join words b on b.query_id = s.query_id and b.id = s.id)
 select query_id, id as chunk_id, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank, round(score, 9) as score, semantic_rank, lexical_rank from fused qualify rank <= 6""",
-    "branch_union": _BRANCHES + "select query_id, id as chunk_id from semantic union select query_id, id from bm25",
-    "rerank_topk": _BRANCHES + """, u as (select query_id, id from semantic union select query_id, id from bm25),
-s as (select query_id, u.id, round(1.0::double / (1.0::double + abs(length(t.text) - 1000)), 9) as score from u join texts t on t.id = u.id)
+    "branch_union": _BRANCHES + "select query_id, id as chunk_id from semantic union select query_id, id from words",
+    "rerank_topk": _sql_branches(120, 1) + f""", u as (select query_id, id from semantic union select query_id, id from words),
+wt as (select query_id, list_distinct({sql_terms("text")}) as w from hq), ct as (select id, {sql_terms("coalesce(text, '')")} as c from texts),
+s as (select u.query_id, u.id, case when len(w) = 0 then 0.0 else round(len(list_filter(w, lambda x: list_contains(c, x))) / len(w)::double, 9) end as score from u join wt on wt.query_id = u.query_id join ct on ct.id = u.id)
 select query_id, id as chunk_id, row_number() over (partition by query_id order by score desc, id) as rank, score from s qualify rank <= 6""",
     "merged_ranges": f"""with ranges as {RANGES}, {_islands('ranges')} select page_id, s as start, e as "end" from merged""",
     "interval_cover": f"""with ranges as {RANGES}, {_islands('ranges')}, spans as {SPANS.format(cases=CASES)}
@@ -330,9 +335,12 @@ gaps as (select page_id, coalesce(lag(e) over (partition by page_id order by s,
 select page_id, cast(g as integer) as start, cast(s as integer) as "end" from gaps where g < s""",
     "interval_clip": f"""with ranges as {RANGES}, spans as (select distinct page_id, s, e from {SPANS.format(cases=CASES)})
 select distinct r.id, r.page_id, greatest(r.s, sp.s) as start, least(r.e, sp.e) as "end" from ranges r join spans sp on sp.page_id = r.page_id where greatest(r.s, sp.s) < least(r.e, sp.e)""",
-    "literal_ips": f"""with t as (select page_id, regexp_replace(markdown, '([^\\p{{L}}\\p{{N}}_.:])', '\\1\\1', 'g') as m from {PAGES}),
-f as (select page_id, unnest(regexp_extract_all(m, '(?:^|[^\\p{{L}}\\p{{N}}_.:])([0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}})(?:$|[^\\p{{L}}\\p{{N}}_:])', 1)) as literal from t)
-select literal, count(distinct page_id) as n_pages from f where len(list_filter(string_split(literal, '.'), lambda x: cast(x as integer) > 255 or (len(x) > 1 and x[1] = '0'))) = 0 group by 1""",
+    "literal_ips": f"""with src as (select page_id as id, markdown as text from {PAGES}), {sql_literals("found", "src")}
+select literal, count(distinct id) as n_pages from found where kind = 'ip' group by 1""",
+    "literal_extract": f"with src as (select id, question as text from {CASES}), {sql_literals('found', 'src')} select * from found",
+    "literal_offsets": f"with own as {_ASKED}, {sql_matches('found', 'own')} select * from found",
+    "literal_priority_topk": f"""with texts as {_TEXTS}, own as {_ASKED}, {sql_index('texts')}, {sql_search('found', 'own', 10)}
+select query_id, id, rank, n_literals, round(score, 6) as score from found""",
     "followup_input": f"select id, case when previous_question is not null then concat_ws(chr(10), previous_question, question) else question end as input from {CASES}",
     "evidence_hit_at_5": f"{_EVAL}, {_hit_sql('final', 5)} select case_id, hit from final",
     "eval_groups_dense": f"""{_EVAL}, {_hit_sql('final', 5)},
@@ -350,7 +358,7 @@ select w.case_id, case when not coalesce(i.ok, false) then 'impossible' when not
 from wide w join final f on f.case_id = w.case_id left join inv i on i.case_id = w.case_id""",
     "candidate_selection": f"""{_EVAL}, {', '.join(_hit_sql(f'h{c}', c) for c in (1, 3, 5, 10))},
 every as ({' union all '.join(f'select cast({c} as bigint) as cut, count(*) filter (where hit) as hits from h{c}' for c in (1, 3, 5, 10))}) select * from every order by hits desc, cut limit 1""",
-    "budget_pack": f"""with texts as {_TEXTS}, {sql_bm25('texts', _ASKED, 10)},
+    "budget_pack": f"""with texts as {_TEXTS}, own as {_ASKED}, {sql_index('texts')}, {sql_search('bm25', 'own', 10)},
 r as (select b.query_id, b.id as chunk_id, b.rank, l.dl as tokens, sum(l.dl) over (partition by b.query_id order by b.rank rows unbounded preceding) as used from bm25 b join lengths l on l.id = b.id)
 select query_id, chunk_id, rank, tokens, cast(used as bigint) as used from r where used <= 600""",
     "evidence_fragments": f"""with ranges as {RANGES}, marked as (select id, page_id, s, e, coalesce(s > max(e) over (partition by id, page_id order by s, e rows between unbounded preceding and 1 preceding), true)::int as fresh from ranges where s < e),

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -64,12 +65,26 @@ def test_empty_tables(spark):
     ],
 )
 def test_minimum_cover(options, full, want):
-    assert setcover.cover(options, full)[:2] == want
+    def atoms(mask):
+        return {i for i in range(6) if mask >> i & 1}
+
+    assert setcover.cover({n: atoms(m) for n, m in options.items()}, atoms(full))[:2] == want
+
+
+def test_minimum_cover_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        options = {f"c{i}": set(rng.sample(range(8), rng.randrange(1, 5))) for i in range(rng.randrange(1, 9))}
+        sizes = [n for n in range(1, len(options) + 1) if any(set().union(*c) >= set(range(8)) for c in itertools.combinations(options.values(), n))]
+        status, minimum, low, high, witness = setcover.cover(options, set(range(8)))
+        assert (status, minimum) == (("exact", sizes[0]) if sizes else ("impossible", None))
+        assert not sizes or set().union(*(options[n] for n in witness)) >= set(range(8)) and len(witness) == minimum == low == high
 
 
 def test_cover_gives_bounds_when_stopped():
-    status, minimum, low, high, witness = setcover.cover({c: 1 << i for i, c in enumerate("abcdef")}, 63, max_states=0)
-    assert (status, minimum, low, high, len(witness)) == ("unknown", None, 6, 6, 6)
+    options = {"ab": {1, 2}, "cd": {3, 4}, "ef": {5, 6}, "ac": {1, 3}, "be": {2, 5}, "df": {4, 6}, "abc": {1, 2, 3}}
+    status, minimum, low, high, witness = setcover.cover(options, {1, 2, 3, 4, 5, 6}, max_steps=0)
+    assert (status, minimum) == ("unknown", None) and low == 2 <= high == len(witness)
 
 
 def test_minimum_covers_of_cases(spark):

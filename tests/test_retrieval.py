@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import literals, vectors
 from docloom.functions.text import latin_folding, percent_encoded, terms, utc_instant
 from docloom.operators import hybrid, lexical, semantic
+from docloom.operators.topk import Best
 from docloom.plans import common, retrieval
 
 from . import oracle
@@ -72,9 +73,50 @@ def test_fused_search_has_literal_hits_that_keywords_miss(spark, tmp_path):
     rng = np.random.default_rng(1)
     vectors = [(r[0], rng.normal(size=128).tolist(), dt.datetime(2026, 1, 1)) for r in rows]
     spark.createDataFrame(vectors, "chunk_id string, vector array<float>, embedded_at timestamp").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
-    got = {(r.query_id, r.chunk_id): r for r in retrieval.hybrid_search_topk(spark, str(tmp_path)).collect()}
+    got = {(r.query_id, r.chunk_id): r for r in retrieval.hybrid_topk(spark, str(tmp_path)).collect()}
     assert got["q", "z"].lexical_rank == 1 and {q for q, _ in got} == {"q", "q2"}
-    assert all(r.id != "z" for r in retrieval._branches(spark, str(tmp_path))[1].collect())
+    assert all(r.id != "z" for r in lexical.bm25_top_k(lexical.build_index(common.chunk_fields(spark, str(tmp_path))), retrieval._hybrid_queries(spark, str(tmp_path))).collect())
+
+
+def test_the_scan_equals_the_full_listing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(f"d{i:03d}", " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(400)] + [("none", None), ("blank", "")]
+    own = lexical.build_index(spark.createDataFrame(texts, "id string, text string").repartition(3))
+    asked = queries(spark, *(" ".join(rng.choice(words, 4)) for _ in range(9)), "nothing", "")
+    want = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in lexical.top_k(lexical.bm25_scores(own, asked), 7, F.round("score", 9), F.col("id")).collect())
+    for per_pass, rows in ((2000, 1024), (2, 50)):
+        monkeypatch.setattr(lexical, "QUERIES_PER_PASS", per_pass)
+        monkeypatch.setattr(lexical, "SLICE", rows)
+        got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in lexical.bm25_top_k(own, asked, 7).collect())
+        assert got == want and len(got) == 63
+    assert lexical.bm25_top_k(lexical.build_index(spark.createDataFrame([], "id string, text string")), asked, 7).count() == 0
+
+
+def test_keyword_search_equals_scores_of_all_pairs(spark):
+    texts = [(f"d{i}", f"alpha{' beta' * (i % 3)} number w{i}") for i in range(40)]
+    own, asked = lexical.build_index(spark.createDataFrame(texts, "id string, text string")), queries(spark, "alpha beta", "w7 w8", "zzz")
+    hits = [(q, i, x, "path", 0, 1) for q, i, x in ((0, "d0", "a"), (0, "d3", "a"), (0, "d3", "b"), (2, "d5", "c"), (1, "d7", "a"))]
+    matches = spark.createDataFrame(hits, "query_id long, id string, literal string, kind string, start int, end int")
+    want = lexical.literal_priority(lexical.bm25_scores(own, asked), matches, 5)
+    got = lexical.lexical_search(own, asked, matches, 5)
+
+    def rows(df):
+        return sorted((r.query_id, r["rank"], r.id, r.n_literals, r.score and round(r.score, 6)) for r in df.collect())
+
+    assert rows(got) == rows(want) and rows(got)[0][2:4] == ("d3", 2)
+
+
+def test_best_rows_of_slices_are_the_best_rows():
+    rng = np.random.default_rng(0)
+    scores, ids = np.round(rng.random((6, 500)), 1), rng.permutation(500)
+    best = Best(6, 9)
+    for lo in range(0, 500, 37):
+        best.add(scores[:, lo : lo + 37], ids[lo : lo + 37], scores[:, lo : lo + 37] > 0.2)
+    query, score, found = best.result()
+    for q in range(6):
+        order = [i for i in np.lexsort((ids, -scores[q])) if scores[q, i] > 0.2][:9]
+        assert found[query == q].tolist() == ids[order].tolist() and score[query == q].tolist() == scores[q, order].tolist()
 
 
 def test_ties_go_to_the_smaller_id_and_scores_are_negative(spark):
@@ -148,8 +190,8 @@ def test_literals():
     assert found("`x y` and `node-7` and 999.1.1.1 fe80::1") == [("x y", "quoted"), ("node-7", "identifier"), ("fe80::1", "ip")]
     assert found("max_size_x") == [] and found("max_size_x", underscores=True) == [("max_size_x", "identifier")]
     text = "😀 10.0.0.1, 10.0.0.11 and 10.0.0.1.bak 10.0.0.1."
-    assert literals.occurrences(text, "10.0.0.1", "ip", [(0, len(text))]) == [(2, 10), (text.rindex("10.0.0.1"), text.rindex("10.0.0.1") + 8)]
-    assert literals.occurrences("aaa", "aa", "quoted", [(0, 3)]) == [(0, 2), (1, 3)]
+    assert literals.occurrences(text, "10.0.0.1", "ip") == [(2, 10), (text.rindex("10.0.0.1"), text.rindex("10.0.0.1") + 8)]
+    assert literals.occurrences("aaa", "aa", "quoted") == [(0, 2), (1, 3)]
 
 
 def test_literals_compete_before_the_cut(spark):
