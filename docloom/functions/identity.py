@@ -6,6 +6,9 @@ import hashlib
 import json
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def canonical_json(value: Any) -> str:
     """Sorted keys, no white space, no ASCII escapes, no NaN or infinity (ValueError)."""
@@ -18,3 +21,8 @@ def fingerprint(value: Any) -> str:
 
 def range_id(source: str, page_id: int, start: int, end: int) -> str:
     return hashlib.sha256(f"{source}:{page_id}:{start}:{end}".encode()).hexdigest()
+
+
+def pair_fingerprint(a: Column, b: Column) -> Column:
+    """SHA-256 of the canonical JSON of two texts, in the JVM."""
+    return F.sha2(F.encode(F.to_json(F.array(a, b)), "utf-8"), 256)

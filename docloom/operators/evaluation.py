@@ -71,6 +71,11 @@ def loss_kind(inventory, union, final):
     return F.when(~inventory, "impossible").when(~union, "candidate_loss").when(~final, "ranking_loss").otherwise("found")
 
 
+def diagnostic(supplied, packed):
+    """What to look at in a case: evidence not found, evidence that did not fit, or else the generated text (nulls: no evidence)."""
+    return F.when(~supplied, "retrieval_miss").when(~packed, "context_miss").otherwise("review_generation")
+
+
 def choose(candidates: DataFrame, *, order: list, eligible) -> DataFrame:
     """The single first eligible row in a lexicographic order of expressions."""
     return candidates.where(eligible).orderBy(*order).limit(1)
@@ -84,3 +89,43 @@ def latency_report(samples: DataFrame, keys: list[str], value: str) -> DataFrame
         F.max(value).alias("largest"),
         F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95"),
     )
+
+
+def compare_modes(hits: DataFrame, base: str) -> DataFrame:
+    """``(mode, cases, hits, hit_rate, won, lost)`` of ``(mode, case_id, hit)``; won and lost are against mode ``base``.
+
+    A mode that scores other cases than the base fails the job: such reports cannot be compared.
+    """
+    own = hits.where(F.col("mode") == base).select("case_id", F.col("hit").alias("base"))
+    sizes = hits.groupBy("mode").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(case_id))").alias("same"))
+    spread = sizes.agg(F.count_distinct("n", "same").alias("kinds"))
+    checked = F.when(F.col("kinds") == 1, F.col("case_id")).otherwise(F.raise_error(F.lit("the modes score different cases")).cast("string"))
+    joined = hits.crossJoin(spread).select("mode", checked.alias("case_id"), "hit").join(own, "case_id")  # one row of kinds
+    return joined.groupBy("mode").agg(
+        F.count("*").alias("cases"),
+        F.count_if("hit").alias("hits"),
+        F.round(F.try_divide(F.count_if("hit"), F.count("*")), 9).alias("hit_rate"),
+        F.count_if(F.col("hit") & ~F.col("base")).alias("won"),
+        F.count_if(~F.col("hit") & F.col("base")).alias("lost"),
+    )
+
+
+def candidate_report(hits: DataFrame, base: tuple[int, int, int]) -> DataFrame:
+    """Settings with their hits, lost and new hits against ``base``, and which one is chosen.
+
+    ``hits``: ``(semantic_k, lexical_k, literal_policy, case_id, hit, follows)``.
+    Chosen is the first by: more hits, none lost, more hits of follow-ups, fewer
+    changed policies, fewer candidates in all, fewer semantic ones, smaller policy.
+    """
+    keys = ["semantic_k", "lexical_k", "literal_policy"]
+    first = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(keys, base)])
+    old = hits.where(first).select("case_id", F.col("hit").alias("base"))
+    counted = hits.join(old, "case_id").groupBy(*keys).agg(
+        F.count_if(F.col("hit") & ~F.col("follows")).alias("hits"),
+        F.count_if(F.col("hit") & F.col("follows")).alias("follow_up_hits"),
+        F.count_if(F.col("base") & ~F.col("hit")).alias("lost"),
+        F.count_if(F.col("hit") & ~F.col("base")).alias("new"),
+    )
+    order = [F.desc("hits"), F.col("lost") > 0, F.desc("follow_up_hits"), F.col("literal_policy") != base[2], F.col("semantic_k") + F.col("lexical_k"), "semantic_k", "literal_policy"]
+    best = counted.orderBy(*order).limit(1).select(*keys, F.lit(True).alias("best"))
+    return counted.join(best, keys, "left").select(*keys, "hits", "follow_up_hits", "lost", "new", F.coalesce("best", F.lit(False)).alias("chosen"))

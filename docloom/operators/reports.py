@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,24 @@ def published(rows: DataFrame, updated: str, until: str, instant) -> DataFrame:
     """Rows whose strict instant is not after ``until``; unreadable or null instants are left out, never let in."""
     known = F.when(instant(F.col(updated)).isNotNull(), instant(F.col(updated)) <= F.lit(until)).otherwise(False)
     return rows.where(known)
+
+
+#: Fixed value: the only form in which a publishing time is read.
+PUBLISH_TIME = r"^[0-9]{4}-(0[1-9]|1[0-2])-([0-2][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.[0-9]{3}\+00:00$"
+
+
+def publishable(rows: DataFrame, now: str) -> DataFrame:
+    """Rows that may be published at ``now`` (in the form of PUBLISH_TIME), with all others left out.
+
+    ``content_type`` and ``editor`` must be Markdown, ``is_published`` true and
+    ``is_private`` false; an empty start or end is no limit, one that is null or in
+    another form lets nothing through.
+    """
+
+    def reached(column: str, inside) -> Column:
+        value = F.col(column)
+        return F.when(value == "", True).when(value.rlike(PUBLISH_TIME), inside(value)).otherwise(False)
+
+    markdown = (F.col("content_type") == "markdown") & (F.col("editor") == "markdown")
+    shown = F.coalesce(F.col("is_published"), F.lit(False)) & ~F.coalesce(F.col("is_private"), F.lit(True))
+    return rows.where(markdown & shown & reached("publish_start", lambda v: v <= F.lit(now)) & reached("publish_end", lambda v: v >= F.lit(now)))

@@ -24,3 +24,14 @@ def log_fields(lines: DataFrame, line: str, fields: dict[str, str]) -> DataFrame
     for name, pattern in fields.items():
         out = out.withColumn(name, F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).try_cast("double"))
     return out
+
+
+def first_stops(samples: DataFrame, keys: list[str], time: str, order: str, counter: str, most_gap_us: int, most_growth: float) -> DataFrame:
+    """``(keys, order, reason)``: the first sample of each group that stops its series, by its gap or its counter's growth.
+
+    Groups that never stop have no row; a null time or counter stops nothing.
+    """
+    rows = since_baseline(sample_gaps(samples, keys, time, order), keys, counter, time, order)
+    reason = F.when(F.col("gap_us") > most_gap_us, "gap").when(F.col("delta") > most_growth, "growth")
+    found = rows.withColumn("reason", reason).where("reason is not null")
+    return found.groupBy(*keys).agg(F.min_by(F.struct(order, "reason"), F.struct(time, order)).alias("first")).select(*keys, f"first.{order}", "first.reason")

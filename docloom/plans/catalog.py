@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import corpus, retrieval, telemetry
+from docloom.plans import builds, corpus, package, retrieval, telemetry
 
 FLAGSHIP = "hybrid_topk"
 
-QUERIES = corpus.QUERIES | retrieval.QUERIES | telemetry.QUERIES
-SQL = corpus.SQL | retrieval.SQL | telemetry.SQL
+QUERIES = builds.QUERIES | corpus.QUERIES | package.QUERIES | retrieval.QUERIES | telemetry.QUERIES
+SQL = builds.SQL | corpus.SQL | package.SQL | retrieval.SQL | telemetry.SQL

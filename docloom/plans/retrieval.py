@@ -113,8 +113,8 @@ def literal_extract(spark, sf):
     return lexical.literals(cases(spark, sf).select("id", F.col("question").alias("text")), underscores=True)
 
 
-def _literal_matches(spark, sf, queries):
-    asked = lexical.literals(queries.select(F.col("query_id").alias("id"), "text"), underscores=True)
+def _literal_matches(spark, sf, queries, underscores=True):
+    asked = lexical.literals(queries.select(F.col("query_id").alias("id"), "text"), underscores)
     own = chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("page_id").alias("page_key"), F.col("source_ranges").alias("ranges"))
     text = pages(spark, sf).select(F.col("page_id").alias("page_key"), "markdown")
     return lexical.literal_matches(own, text, asked.select(F.col("id").alias("query_id"), "literal", "kind").distinct())
@@ -236,9 +236,14 @@ def set_cover_min(spark, sf):
     return setcover.minimum_covers(options)
 
 
+def _packed(spark, sf, ranked):
+    """The longest part of each ranking whose terms fit the budget."""
+    sized = chunk_fields(spark, sf).select("id", F.size(terms(F.col("text"))).cast("long").alias("tokens"))
+    return grounding.pack_budget(ranked.join(sized, "id"), 600)
+
+
 def budget_pack(spark, sf):
-    ranked = _ranked(spark, sf, 10).join(chunk_fields(spark, sf).select("id", F.size(terms(F.col("text"))).cast("long").alias("tokens")), "id")
-    packed = grounding.pack_budget(ranked, 600)
+    packed = _packed(spark, sf, _ranked(spark, sf, 10))
     return packed.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), "tokens", "used")
 
 

@@ -37,13 +37,16 @@ def get_spark(app: str = "docloom", cpus: int | str = "*", **conf: str) -> Spark
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; a folder of this machine is
-    used only where that setting is missing, as in tests on one machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that runs on
+    this machine alone gets a folder of its own where the setting is missing; any
+    other refuses to run.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "docloom-checkpoint"))
     return spark.sparkContext.getCheckpointDir()
 

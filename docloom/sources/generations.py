@@ -8,12 +8,13 @@ rename through Hadoop's file system, atomic where the file system's rename is
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+POINTER, LOCK = "CURRENT", "BUILDING"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -24,22 +25,46 @@ def _fs(spark: SparkSession, path: str):
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equal as multisets of rows, in one aggregation (map columns cannot be compared)."""
-    signed = a.withColumn("_n", F.lit(1)).union(b.select(a.columns).withColumn("_n", F.lit(-1)))
-    return signed.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0").isEmpty()
+    keys = [F.struct(*a.columns).alias("row")]
+    signed = a.select(*keys, F.lit(1).alias("n")).union(b.select(a.columns).select(*keys, F.lit(-1)))
+    return signed.groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
+
+
+def new_name() -> str:
+    return f"gen-{uuid.uuid4().hex}"
+
+
+def write(spark: SparkSession, root: str, name: str, table: str, df: DataFrame) -> DataFrame:
+    """Write one table of a generation that is not current yet, and read it back."""
+    df.write.parquet(f"{root}/{name}/{table}")
+    return spark.read.parquet(f"{root}/{name}/{table}")
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], verify: bool = True) -> str:
-    """Write all tables as a new generation, read them back, then point to it; returns its name.
+    """Write all tables as a new generation, compare what was written, then point to it; returns its name.
 
-    On any failure the generation before stays current.
+    On any failure the generation before stays current and the candidate is removed.
     """
-    name = f"gen-{uuid.uuid4().hex}"
-    for table, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{table}")
-        if verify:
-            back = spark.read.parquet(f"{root}/{name}/{table}")
-            if back.count() != df.count():
+    name = new_name()
+    try:
+        for table, df in tables.items():
+            back = write(spark, root, name, table, df)
+            if verify and not same_rows(df, back):
                 raise ValueError(f"table {table} was not read back as written")
+    except BaseException:
+        remove(spark, f"{root}/{name}")
+        raise
+    point_to(spark, root, name)
+    return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _fs(spark, path)
+    fs.delete(hadoop.Path(path), True)
+
+
+def point_to(spark: SparkSession, root: str, name: str) -> None:
+    """Make a complete generation the current one, by one rename."""
     hadoop, fs = _fs(spark, root)
     draft = hadoop.Path(f"{root}/{POINTER}.{name}")
     out = fs.create(draft, True)
@@ -49,7 +74,20 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], verify
     options[0] = hadoop.Options.Rename.OVERWRITE
     context = hadoop.FileContext.getFileContext(hadoop.Path(root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     context.rename(draft, hadoop.Path(f"{root}/{POINTER}"), options)
-    return name
+
+
+@contextlib.contextmanager
+def builder_lock(spark: SparkSession, root: str):
+    """Held while a generation is built: a file that only one builder can create. A second builder gets a ValueError."""
+    hadoop, fs = _fs(spark, root)
+    path = hadoop.Path(f"{root}/{LOCK}")
+    fs.mkdirs(hadoop.Path(root))
+    if not fs.createNewFile(path):
+        raise ValueError(f"another build works on {root}")
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
