@@ -35,9 +35,14 @@ def vector_violations(spark, sf):
 
 
 def snapshot_inventory_diff(spark, sf):
-    """Pages of the last snapshot against the pages of the wiki."""
-    last = table(spark, sf, "document_snapshots").where("snapshot_no = 20").select("page_id").distinct()
-    return validation.inventory_difference(last, pages(spark, sf), ["page_id"], [])
+    """Pages of the last snapshot against the pages of the wiki, of which some are hidden, renamed or new here."""
+    own = table(spark, sf, "document_snapshots")
+    last = own.join(own.agg(F.max("snapshot_no").alias("snapshot_no")), "snapshot_no", "left_semi").select("page_id", "path").distinct()
+    there = pages(spark, sf).where("page_id % 37 <> 1").select(
+        F.when(F.col("page_id") % 37 == 2, -F.col("page_id")).otherwise(F.col("page_id")).alias("page_id"),
+        F.when(F.col("page_id") % 37 == 3, F.lit("elsewhere")).otherwise(F.col("path")).alias("path"),
+    )
+    return validation.inventory_difference(last.dropDuplicates(["page_id"]), there, ["page_id"], ["path"])
 
 
 def evidence_span_violations(spark, sf):
@@ -102,11 +107,30 @@ def chunk_markdown_packed(spark, sf):
     return _chunked(spark, sf, chunking.VERSIONS[1]).drop("segments", "source_ranges", "heading_path")
 
 
+def block_cover(spark, sf):
+    """Where each page's blocks begin and end, how much they hold, and the headings of pages without fences, rules and underlines."""
+    plain = F.col("markdown").rlike(r"(?m)^ {0,3}(```|~~~|=+[ \t]*\r?$|-+[ \t]*\r?$)|\|")
+    n = chunking.markdown_blocks(pages(spark, sf)).groupBy("page_id").agg(
+        F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("held"), F.count_if(F.col("kind") == "heading").alias("headings")
+    )
+    return n.join(pages(spark, sf).select("page_id", plain.alias("other")), "page_id").select("page_id", "first", "last", "held", F.when(~F.col("other"), F.col("headings")).alias("headings"))
+
+
 def chunk_invariants(spark, sf):
-    """Violations of the chunks made here: none."""
+    """Violations of the chunks made here, of which the first of some pages are spoiled: no others."""
     made = _chunked(spark, sf, chunking.VERSIONS[0]).where("error is null")
-    found = validation.chunk_violations(made, table(spark, sf, "wiki_documents"), table(spark, sf, "chunk_settings"))
-    return found
+    m = F.when(F.col("ordinal") == 0, F.col("page_id") % 29)
+    spoiled = made.withColumns(
+        {
+            "body_tokens": F.when(m == 3, 99_999).otherwise(F.col("body_tokens")),
+            "search_text": F.when(m == 4, F.concat("search_text", F.lit("x"))).otherwise(F.col("search_text")),
+            "ordinal": F.when(m == 5, 99_999).otherwise(F.col("ordinal")),
+            "source_ranges": F.when(m == 6, F.expr("filter(source_ranges, x -> false)")).otherwise(F.col("source_ranges")),
+        }
+    )
+    found = validation.chunk_violations(spoiled, table(spark, sf, "wiki_documents"), table(spark, sf, "chunk_settings"))
+    named = made.select(F.col("chunk_id").alias("key"), F.col("page_id").cast("string").alias("page"))
+    return found.join(named, "key", "left").select(F.coalesce("page", F.substring_index("key", "|", -1)).alias("page_id"), "rule")
 
 
 def generation_roundtrip(spark, sf):
@@ -114,8 +138,12 @@ def generation_roundtrip(spark, sf):
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
     made = {"documents": pages(spark, sf), "chunks": chunks(spark, sf).drop("segments", "source_ranges", "heading_path")}
     generations.publish(spark, root, made)
-    rows = [(name, generations.status(spark, root, list(made)), generations.same_rows(df, generations.read(spark, root, name))) for name, df in made.items()]
-    return spark.createDataFrame(rows, "table_name string, state string, same boolean")
+    parts = []
+    for name, df in made.items():
+        back = generations.read(spark, root, name)
+        state, same = generations.status(spark, root, list(made)), generations.same_rows(df, back)
+        parts.append(back.agg(F.lit(name).alias("table_name"), F.lit(state).alias("state"), F.lit(same).alias("same"), F.count("*").alias("n"), F.max("page_id").alias("last_page")))
+    return parts[0].union(parts[1])
 
 
 def p3_found(spark, sf):
@@ -131,7 +159,7 @@ QUERIES = {
     for f in (
         doc_normalize, doc_violations, chunk_violations, vector_violations, snapshot_inventory_diff, evidence_span_violations,
         reference_violations, fk_orphans, unique_violations, ordinal_contiguity, passage_text, chunk_blocks, chunk_markdown,
-        chunk_markdown_packed, chunk_invariants, generation_roundtrip, p3_found, p3_change_counts,
+        chunk_markdown_packed, block_cover, chunk_invariants, generation_roundtrip, p3_found, p3_change_counts,
     )
 }
 
@@ -204,8 +232,10 @@ union all select chunk_id, 'finite' from v where sized and not finite
 union all select chunk_id, 'unit' from v where sized and finite and abs(sqrt(list_dot_product(vector::double[], vector::double[])) - 1) > 1e-5
 union all select distinct chunk_id, 'no_chunk' from chunk_embeddings where chunk_id not in (select chunk_id from chunks)
 union all select distinct chunk_id, 'no_vector' from chunks where chunk_id not in (select chunk_id from chunk_embeddings)""",
-    "snapshot_inventory_diff": f"""select coalesce(a.page_id, b.page_id) as page_id, case when b.page_id is null then 'missing' else 'unexpected' end as difference
-from (select distinct page_id from document_snapshots where snapshot_no = 20) a full join {PAGES} b on a.page_id = b.page_id where a.page_id is null or b.page_id is null""",
+    "snapshot_inventory_diff": f"""with a as (select distinct page_id, path from document_snapshots where snapshot_no = (select max(snapshot_no) from document_snapshots)),
+b as (select case when page_id % 37 = 2 then -page_id else page_id end as page_id, case when page_id % 37 = 3 then 'elsewhere' else path end as path from {PAGES} where page_id % 37 <> 1)
+select * from (select coalesce(a.page_id, b.page_id) as page_id, case when b.page_id is null then 'missing' when a.page_id is null then 'unexpected' when a.path is distinct from b.path then 'different' end as difference
+from a full join b on a.page_id = b.page_id) where difference is not null""",
     "evidence_span_violations": f"""select * from (select case_id, s.page_id, s.s as start, s.e as "end",
   case when p.page_id is null or p.content_sha256 is null then 'no_page' when coalesce(lower(s.content_sha256) <> lower(p.content_sha256), true) then 'digest'
     when not coalesce(s.s >= 0 and s.s < s.e and s.e <= length(p.markdown), false) then 'range'
@@ -230,8 +260,13 @@ from {SPANS.format(cases=CASES)} s left join {PAGES} p on p.page_id = s.page_id)
 having min(l_linenumber) <> 1 or max(l_linenumber) <> count(distinct l_linenumber) or count(*) <> count(distinct l_linenumber)""",
     "passage_text": f"""select chunk_id, array_to_string(heading_path, ' > ') as heading, sha256(w) as passage_digest, length(w) as n_chars from
 (select c.*, 'passage: ' || coalesce(title, '') || chr(10) || array_to_string(heading_path, ' > ') || chr(10) || search_text as w from {CHUNKS} c join (select page_id, title from {PAGES}) p on p.page_id = c.page_id)""",
-    "chunk_invariants": "select cast(null as varchar) as key, cast(null as varchar) as rule where false",
-    "generation_roundtrip": "select * from (values ('documents', 'ok', true), ('chunks', 'ok', true)) t(table_name, state, same)",
+    "block_cover": f"""select page_id, 0 as first, cast(length(markdown) as integer) as last, length(markdown) as held,
+  case when not regexp_matches(markdown, '(?m)^ {{0,3}}(```|~~~|=+[ \\t]*\\r?$|-+[ \\t]*\\r?$)|\\|')
+    then len(list_filter(string_split(markdown, chr(10)), lambda x: regexp_full_match(x, ' {{0,3}}#{{1,6}}([ \\t][^\\r\\n]*)?\\r?'))) end as headings from {PAGES} where length(markdown) > 0""",
+    "chunk_invariants": f"""with p as (select cast(page_id as varchar) as page_id, page_id % 29 as m from {PAGES} where length(markdown) > 0)
+select page_id, 'body_budget' as rule from p where m = 3 union all select page_id, 'input_budget' from p where m = 3 union all select page_id, 'search_text' from p where m = 4
+union all select page_id, 'ordinals' from p where m = 5 union all select page_id, 'source_ranges' from p where m = 6""",
+    "generation_roundtrip": f"select 'documents' as table_name, 'ok' as state, true as same, count(*) as n, max(page_id) as last_page from {PAGES} union all select 'chunks', 'ok', true, count(*), max(page_id) from {CHUNKS}",
     "p3_found": _P3 + "select cast(snapshot_no as integer) as snapshot_no, page_id, change from changes",
     "p3_change_counts": _P3 + "select cast(snapshot_no as integer) as snapshot_no, change, count(*) as n from changes group by 1, 2",
 }

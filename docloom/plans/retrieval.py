@@ -203,7 +203,12 @@ def mode_transitions(spark, sf):
 
 
 def lost_new_hits(spark, sf):
-    return evaluation.lost_and_new(_hits(spark, sf), _hits(spark, sf, "protocol"))
+    """Cases whose evidence is still where it was frozen, judged by the pages' digests before and by the quoted texts now."""
+    spans = evaluation.evidence_spans(cases(spark, sf)).join(pages(spark, sf).select("page_id", F.col("content_sha256").alias("sha"), "markdown"), "page_id", "left")
+    text = F.substring(F.col("markdown"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("exact_text")
+    odd = F.expr("cast(substring(case_id, 2) as bigint) % 5 = 0")
+    judged = spans.groupBy("case_id").agg(F.bool_and(F.coalesce(F.col("content_sha256") == F.col("sha"), F.lit(False))).alias("before"), F.bool_and(F.coalesce(text, F.lit(False)) & ~odd).alias("now"))
+    return evaluation.lost_and_new(judged.select("case_id", F.col("before").alias("hit")), judged.select("case_id", F.col("now").alias("hit")))
 
 
 def loss_kinds(spark, sf):
@@ -233,7 +238,7 @@ def set_cover_min(spark, sf):
     atom = F.concat_ws(":", *(F.col(c).cast("string") for c in ("page_id", "start", "end")))
     inside = cut.join(ranges.withColumnsRenamed({"start": "a", "end": "b"}), "page_id", "left").withColumn("fits", (F.col("a") <= F.col("start")) & (F.col("b") >= F.col("end")))
     options = inside.select("case_id", atom.alias("atom"), F.when(F.col("fits"), F.col("id")).alias("id")).distinct()
-    return setcover.minimum_covers(options)
+    return setcover.minimum_covers(options).select("case_id", "status", "minimum")
 
 
 def _packed(spark, sf, ranked):
@@ -253,12 +258,22 @@ def evidence_fragments(spark, sf):
 
 
 def answer_validation(spark, sf):
-    """The safety cases' answers as generated objects, each against one piece of evidence named by its manifest."""
-    own = table(spark, sf, "safety_cases").dropDuplicates(["id"])
-    fragment = F.array(F.struct(F.sha2(F.coalesce("manifest", F.lit("")), 256).alias("chunk_id"), F.coalesce("manifest", F.lit("")).alias("title"), F.lit("").alias("heading"), F.lit("").alias("url"), F.array("answer").alias("fragments")))
+    """The safety cases' answers as generated objects, each against one piece of evidence named by its manifest.
+
+    Seven of sixteen get a fault that must be found, and some questions for clarification a sound form.
+    """
+    own = table(spark, sf, "safety_cases").dropDuplicates(["id"]).withColumn("m", F.expr("cast(substring(id, 2) as bigint) % 16"))
+    name = F.sha2(F.coalesce("manifest", F.lit("")), 256)
+    fragment = F.array(F.struct(name.alias("chunk_id"), F.coalesce("manifest", F.lit("")).alias("title"), F.lit("").alias("heading"), F.lit("").alias("url"), F.array("answer").alias("fragments")))
     kind = F.when(F.col("kind") == "refusal", "refuse").when(F.col("kind") == "clarification", "clarify").otherwise(F.col("kind"))
-    marked = F.regexp_replace("answer", r"\$[A-Z]\$", F.concat(F.lit("[chunk:"), F.sha2(F.coalesce("manifest", F.lit("")), 256), F.lit("]")))
-    return grounding.check_answers(own.select("id", F.to_json(F.struct(kind.alias("kind"), marked.alias("answer"))).alias("raw"), fragment.alias("evidence")))
+    marked = F.regexp_replace("answer", r"\$[A-Z]\$", F.concat(F.lit("[chunk:"), name, F.lit("]")))
+    more = {1: " https://x", 2: " [1]", 3: f" [chunk:{'f' * 64}]", 4: "\n```\nnot there\n```\n", 5: "\n```\nopen", 6: " sudo reboot"}
+    text = F.when((F.col("m") == 7) & (kind == "clarify"), F.lit("Which one?"))
+    for n, tail in more.items():
+        text = text.when(F.col("m") == n, F.concat(marked, F.lit(tail)))
+    raw = F.when(F.col("m") == 0, F.lit("{")).otherwise(F.to_json(F.struct(kind.alias("kind"), text.otherwise(marked).alias("answer"))))
+    found = grounding.check_answers(own.select("id", raw.alias("raw"), fragment.alias("evidence")))
+    return found.select("id", "answer", "insufficient", "n_sources", "error", F.size("sources").alias("listed"))
 
 
 QUERIES = {
@@ -355,7 +370,9 @@ select g.source_set, g.split, count(c.hit) as n, count(*) filter (where c.hit) a
   round(case when count(c.hit) > 0 then count(*) filter (where c.hit) / count(c.hit)::double end, 9) as hit_rate
 from g left join c on c.source_set = g.source_set and c.split = g.split group by 1, 2""",
     "mode_transitions": f"{_MODES} select 'plain' as mode_a, 'protocol' as mode_b, a.hit as hit_a, b.hit as hit_b, count(*) as n from plain a join protocol b on b.case_id = a.case_id group by 3, 4",
-    "lost_new_hits": f"""{_MODES} select a.case_id, case when a.hit then 'lost' else 'new' end as change from plain a join protocol b on b.case_id = a.case_id where a.hit <> b.hit""",
+    "lost_new_hits": f"""with j as (select s.case_id, bool_and(coalesce(s.content_sha256 = p.content_sha256, false)) as a,
+  bool_and(coalesce(substring(p.markdown, s.s + 1, s.e - s.s) = s.exact_text, false) and cast(substring(s.case_id, 2) as bigint) % 5 <> 0) as b
+  from {SPANS.format(cases=CASES)} s left join {PAGES} p on p.page_id = s.page_id group by 1) select case_id, case when a then 'lost' else 'new' end as change from j where a <> b""",
     "loss_kinds": f"""{_EVAL}, {_hit_sql('wide', 50)}, {_hit_sql('final', 5)}, {_islands('ranges')},
 inv as (select case_id, bool_and(covered) as ok from (select sp.case_id, sp.page_id, sp.s, sp.e, coalesce(bool_or(m.s <= sp.s and m.e >= sp.e), false) as covered
   from (select distinct case_id, page_id, s, e from spans) sp left join merged m on m.page_id = sp.page_id group by 1, 2, 3, 4) group by 1)
@@ -363,9 +380,26 @@ select w.case_id, case when not coalesce(i.ok, false) then 'impossible' when not
 from wide w join final f on f.case_id = w.case_id left join inv i on i.case_id = w.case_id""",
     "candidate_selection": f"""{_EVAL}, {', '.join(_hit_sql(f'h{c}', c) for c in (1, 3, 5, 10))},
 every as ({' union all '.join(f'select cast({c} as bigint) as cut, count(*) filter (where hit) as hits from h{c}' for c in (1, 3, 5, 10))}) select * from every order by hits desc, cut limit 1""",
+    "set_cover_min": f"""with recursive ranges as {RANGES}, spans as (select distinct case_id, page_id, s, e from {SPANS.format(cases=CASES)} where s < e),
+points as (select distinct page_id, unnest([s, e]) as p from ranges),
+cuts as (select sp.*, p from spans sp join points using (page_id) where p > s and p < e union select *, s from spans union select *, e from spans),
+atoms as (select case_id, page_id, s, e, p as a, n as b, dense_rank() over (partition by case_id order by page_id, p, n) as k from (select *, lead(p) over (partition by case_id, page_id, s, e order by p) as n from cuts) where n is not null),
+need as (select case_id, list_sort(list_distinct(list(k))) as every from atoms group by 1),
+options as (select o.case_id, list_sort(list_distinct(list(k))) as held from atoms o join ranges r on r.page_id = o.page_id and r.s <= o.a and r.e >= o.b group by o.case_id, r.id),
+reach as (select case_id, list_distinct(flatten(list(held))) as can from options group by 1),
+walk as (select case_id, 0 as n, every as missing from need
+  union select w.case_id, w.n + 1, list_filter(w.missing, lambda x: not list_contains(o.held, x)) from walk w join options o on o.case_id = w.case_id and list_contains(o.held, w.missing[1]) where len(w.missing) > 0 and w.n < 12)
+select n.case_id, case when len(list_filter(every, lambda x: not list_contains(coalesce(can, []), x))) > 0 then 'impossible' else 'exact' end as status,
+  case when len(list_filter(every, lambda x: not list_contains(coalesce(can, []), x))) = 0 then (select min(w.n) from walk w where w.case_id = n.case_id and len(w.missing) = 0) end as minimum
+from need n left join reach r on r.case_id = n.case_id""",
     "budget_pack": f"""with texts as {_TEXTS}, own as {_ASKED}, {sql_index('texts')}, {sql_search('bm25', 'own', 10)},
 r as (select b.query_id, b.id as chunk_id, b.rank, l.dl as tokens, sum(l.dl) over (partition by b.query_id order by b.rank rows unbounded preceding) as used from bm25 b join lengths l on l.id = b.id)
 select query_id, chunk_id, rank, tokens, cast(used as bigint) as used from r where used <= 600""",
+    "answer_validation": f"""with c as (select distinct id, kind, answer, cast(substring(id, 2) as bigint) % 16 as m, regexp_matches(answer, '\\$[A-Z]\\$') as cites from safety_cases),
+r as (select *, case when m = 0 then 'generated_json' when m = 4 then 'code_source' when m = 5 then 'code_fence' when m = 1 then 'generated_source_link' when m = 2 then 'citation_marker' when m = 3 then 'citation_unknown'
+  when kind = 'answer' and not cites then 'citation_missing' when kind = 'refusal' then null when m = 6 then 'code_prose' when kind = 'clarification' and m <> 7 then 'clarify_format' end as error from c)
+select id, case when error is not null then '{grounding.FALLBACK}' when kind = 'refusal' then '{grounding.REFUSAL}' when kind = 'clarification' then 'Which one?' else regexp_replace(answer, '\\$[A-Z]\\$', '[1]', 'g') end as answer,
+  error is not null or kind <> 'answer' as insufficient, case when error is not null or kind = 'answer' then 1 else 0 end as n_sources, error, case when error is not null or kind = 'answer' then 1 else 0 end as listed from r""",
     "evidence_fragments": f"""with ranges as {RANGES}, marked as (select id, page_id, s, e, coalesce(s > max(e) over (partition by id, page_id order by s, e rows between unbounded preceding and 1 preceding), true)::int as fresh from ranges where s < e),
 m as (select id, page_id, min(s) as s, max(e) as e from (select *, sum(fresh) over (partition by id, page_id order by s, e rows unbounded preceding) as island from marked) group by id, page_id, island)
 select m.id as chunk_id, m.s as start, m.e as "end", sha256(substring(p.markdown, m.s + 1, m.e - m.s)) as digest from m join {PAGES} p on p.page_id = m.page_id where m.s >= 0 and m.e <= length(p.markdown)""",
