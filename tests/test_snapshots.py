@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from docloom.operators.bitmaps import OrdinalBitmap
-from docloom.operators.snapshots import snapshot_changes
+from docloom.operators.snapshots import advance, load_state, snapshot_changes
 
 SCHEMA = "snapshot_no int, page_id long, content_sha256 string, updated_at string"
 
@@ -69,7 +70,32 @@ def test_offsets_decide_the_newest_row(spark):
 
 
 def test_empty_table(spark):
-    assert snapshot_changes(spark.createDataFrame([], SCHEMA)).collect() == []
+    none = spark.createDataFrame([], SCHEMA)
+    assert snapshot_changes(none).collect() == [] and advance(none)[1] is None
+
+
+def test_later_snapshots_need_only_the_stored_state(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(s, k, rng.choice(["aa", "bb", None]), f"2026-01-{s:02d}T00:00:00Z") for s in (1, 2, 3, 4, 6, 7) for k in range(60 + 5 * s) if rng.random() < 0.8]
+    whole = sorted(tuple(r) for r in snapshot_changes(spark.createDataFrame(rows, SCHEMA), shards=3).collect())
+    assert set(whole) == brute(rows)
+    got, state, ordinals = [], None, {}
+    for low, high in ((1, 2), (3, 3), (4, 6), (7, 7)):
+        changes, after = advance(spark.createDataFrame([r for r in rows if low <= r[0] <= high], SCHEMA), state, shards=3)
+        after.store(str(tmp_path / f"s{high}"))
+        state = load_state(spark, str(tmp_path / f"s{high}"))
+        got += [tuple(r) for r in changes.collect()]
+        now = {r.k: r.ordinal for r in state.rows.collect()}
+        assert ordinals.items() <= now.items() and state.last == high
+        ordinals = now
+    assert sorted(got) == whole
+    with pytest.raises(ValueError):
+        advance(spark.createDataFrame(rows[:1], SCHEMA), state)
+
+
+def test_repeats_of_a_hot_key_are_combined_before_the_exchange(spark):
+    hot = spark.range(30_000).selectExpr("1 + id % 2 as s", "7L as k", "if(id = 29999, 'new', 'old') as h", "if(id = 29999, '2026-01-02T00:00:00Z', '2026-01-01T00:00:00Z') as t")
+    assert [tuple(r) for r in snapshot_changes(hot.toDF("snapshot_no", "page_id", "content_sha256", "updated_at")).collect()] == [(2, 7, "changed")]
 
 
 SETS = st.one_of(st.sets(st.integers(0, 300_000), max_size=60), st.integers(0, 9).map(lambda k: set(range(k * 7000, k * 7000 + 6000))))
