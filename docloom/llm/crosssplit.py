@@ -13,6 +13,7 @@ verified on the whole shingle sets.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import strip_lower
 from docloom.llm import jaccard
-from docloom.llm.kernels import Words, binaries, by_chars, code_points, distinct_sorted, mix64, signed
+from docloom.llm.kernels import binaries, by_chars, code_points, distinct_sorted, fold, mix64, signed
 from docloom.session import materialize
 
 COUNTERS = 1 << 20
@@ -31,8 +32,12 @@ PARITY_BITS = 256
 PARITY = [f"b{i}" for i in range(PARITY_BITS // 64)]
 
 
-def normal_form(some: Words, i: int) -> str:
-    return " ".join(some.word(j) for j in range(some.first[i], some.first[i + 1]))
+_WORD = re.compile(r"\w+")
+
+
+def normal_form(text: str) -> str:
+    """The text's words, folded, joined by single blanks."""
+    return " ".join(_WORD.findall(fold(text)))
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +64,7 @@ def _batches(batches, size):
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for lo, hi in by_chars(texts):
-            some = Words([t or "" for t in texts[lo:hi]])
-            forms = [normal_form(some, i) for i in range(hi - lo)]
+            forms = [normal_form(t or "") for t in texts[lo:hi]]
             values, begin = shingles(forms, size)
             yield batch.column(0).slice(lo, hi - lo), forms, values, begin
 
@@ -69,15 +73,13 @@ def _nodes(forms: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in forms), np.uint64, len(forms))
 
 
-def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int = 5, threshold: float = 0.6) -> DataFrame:
-    """``(id_eval, id_train, overlap)``: all pairs whose questions overlap by ``threshold`` or more.
+def cross_split_links(evaluation: DataFrame, training: DataFrame, size: int = 5, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Membership ``(id, held, node)`` and links ``(a, b, overlap)`` between the two sides' different questions.
 
-    Both inputs have ``id`` and ``question``. The overlap is taken on distinct
-    ``size``-character substrings of the words joined by single blanks. Rows with
-    a null id, and questions that are null or too short for one substring, take
-    no part; repeated rows of an id count once; equal questions are compared once
-    and expanded at the end; other columns are ignored.
+    ``a`` is a node of the evaluation side, ``b`` one of the training side (the
+    same node where a question stands on both); see cross_split_overlaps.
     """
+
     spark = evaluation.sparkSession
     rows = evaluation.select("id", "question", F.lit(True).alias("held")).union(training.select("id", "question", F.lit(False)))
     rows = rows.where("id is not null and question is not null")
@@ -140,8 +142,8 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int =
                     names=["g", "held", "node", "n", "p", *PARITY],
                 )
 
-    index = sets.mapInArrow(prefixes, "g long, held boolean, node long, n int, p int, " + ", ".join(b + " long" for b in PARITY))
-    x, y = index.where("held").alias("x"), index.where("not held").alias("y")
+    schema = "g long, held boolean, node long, n int, p int, " + ", ".join(b + " long" for b in PARITY)
+    x, y = (sets.where(side).mapInArrow(prefixes, schema).alias(name) for side, name in (("held", "x"), ("not held", "y")))
     need = (F.col("x.n") + F.col("y.n")) * F.lit(threshold / (1 + threshold)) - 1e-6
     apart = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in PARITY))
     pairs = materialize(
@@ -158,10 +160,22 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int =
     every = sets.select("node", "feats")
     different = jaccard.exact_overlaps(pairs.where("a <> b"), every, threshold).select("a", "b", "overlap")
     same = pairs.where("a = b").select("a", "b", F.lit(1.0).alias("overlap"))
-    members = items.select("id", "held", "node").distinct()
+    return items.select("id", "held", "node").distinct(), different.union(same)
+
+
+def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, size: int = 5, threshold: float = 0.6) -> DataFrame:
+    """``(id_eval, id_train, overlap)``: all pairs whose questions overlap by ``threshold`` or more.
+
+    Both inputs have ``id`` and ``question``. The overlap is taken on distinct
+    ``size``-character substrings of the words joined by single blanks. Rows with
+    a null id, and questions that are null or too short for one substring, take
+    no part; repeated rows of an id count once; equal questions are compared once
+    and expanded at the end; other columns are ignored.
+    """
+    members, links = cross_split_links(evaluation, training, size, threshold)
     a = members.where("held").select(F.col("node").alias("a"), F.col("id").alias("id_eval"))
     b = members.where("not held").select(F.col("node").alias("b"), F.col("id").alias("id_train"))
-    return different.union(same).join(a, "a").join(b, "b").select("id_eval", "id_train", "overlap")
+    return links.join(a, "a").join(b, "b").select("id_eval", "id_train", "overlap")
 
 
 def evaluation_questions(cases: DataFrame, safety: DataFrame) -> DataFrame:
@@ -178,16 +192,25 @@ def training_questions(cases: DataFrame) -> DataFrame:
     return cases.where(strip_lower(F.col("split")) == "tuning").select("id", "question", "source_set")
 
 
-def overlap_report(found: DataFrame, evaluation: DataFrame, training: DataFrame) -> DataFrame:
+def overlap_report(evaluation: DataFrame, training: DataFrame, **options) -> DataFrame:
     """Per split and source set: cases, cases that overlap the other side, and pairs.
 
     The counts cover every (split, source_set) of either side, those without
-    overlaps too; a null source set is reported as ``none``.
+    overlaps too; a null source set is reported as ``none``. Pairs are counted from
+    the sizes of classes of equal questions, never listed.
     """
+    members, links = cross_split_links(evaluation, training, **options)
+    sizes = members.groupBy("node", "held").agg(F.count("*").alias("n"))
+
+    def overlapping(own: str, other: str, held: bool) -> DataFrame:
+        """``(node, held, n)``: cases of the other side that each node of one side overlaps."""
+        there = sizes.where(F.col("held") != held).select(F.col("node").alias(other), "n")
+        return links.join(there, other).groupBy(F.col(own).alias("node")).agg(F.sum("n").alias("n")).withColumn("held", F.lit(held))
+
+    per_node = overlapping("a", "b", True).unionByName(overlapping("b", "a", False))
+    counts = members.join(per_node, ["node", "held"]).groupBy("id", "held").agg(F.sum("n").alias("pairs"))
     sides = evaluation.select("id", "split", "source_set").union(training.select("id", F.lit("tuning"), "source_set"))
     cases = sides.where("id is not null").distinct().withColumn("source_set", F.coalesce("source_set", F.lit("none")))
-    pairs = found.select(F.col("id_eval").alias("id"), F.lit(True).alias("held")).union(found.select("id_train", F.lit(False)))
-    counts = pairs.groupBy("id", "held").agg(F.count("*").alias("pairs"))
     joined = cases.withColumn("held", F.col("split") != "tuning").join(counts, ["id", "held"], "left")
     return joined.groupBy("split", "source_set").agg(
         F.count("*").alias("cases"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")

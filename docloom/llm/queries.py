@@ -70,7 +70,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, safety = table(spark, sf_dir, "eval_cases"), table(spark, sf_dir, "safety_cases")
     held, training = crosssplit.evaluation_questions(cases, safety), crosssplit.training_questions(cases)
-    return crosssplit.overlap_report(crosssplit.cross_split_overlaps(held, training), held, training)
+    return crosssplit.overlap_report(held, training)
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,10 @@
 import random
 
 from docloom.llm import crosssplit
-from docloom.llm.kernels import Words
 
 
 def grams(text, size=5):
-    some = Words([text or ""])
-    form = crosssplit.normal_form(some, 0)
+    form = crosssplit.normal_form(text or "")
     return {form[i : i + size] for i in range(len(form) - size + 1)}
 
 
@@ -59,8 +57,14 @@ def test_empty_sides_and_clashing_columns(spark):
 
 
 def test_report_counts_every_group(spark):
-    held = spark.createDataFrame([("a", "q", "holdout", "live"), ("b", "q", "safety", None)], "id string, question string, split string, source_set string")
-    training = spark.createDataFrame([("t", "q", "live")], "id string, question string, source_set string")
-    found = spark.createDataFrame([("a", "t", 1.0)], "id_eval string, id_train string, overlap double")
-    rows = {(r.split, r.source_set): (r.cases, r.overlapping, r.pairs) for r in crosssplit.overlap_report(found, held, training).collect()}
+    held = spark.createDataFrame([("a", "long question", "holdout", "live"), ("b", "other words", "safety", None)], "id string, question string, split string, source_set string")
+    training = spark.createDataFrame([("t", "long question", "live")], "id string, question string, source_set string")
+    rows = {(r.split, r.source_set): (r.cases, r.overlapping, r.pairs) for r in crosssplit.overlap_report(held, training).collect()}
     assert rows == {("holdout", "live"): (1, 1, 1), ("safety", "none"): (1, 0, 0), ("tuning", "live"): (1, 1, 1)}
+
+
+def test_report_counts_classes_of_copies_without_listing_pairs(spark):
+    held = spark.range(3000).selectExpr("concat('h', id) as id", "if(id < 2000, 'the same question here', 'another one there') as question", "'holdout' as split", "'live' as source_set")
+    training = spark.range(2500).selectExpr("concat('t', id) as id", "'the same question, here' as question", "'live' as source_set")
+    rows = {r.split: (r.cases, r.overlapping, r.pairs) for r in crosssplit.overlap_report(held, training).collect()}
+    assert rows == {"holdout": (3000, 2000, 2000 * 2500), "tuning": (2500, 2500, 2000 * 2500)}
