@@ -42,6 +42,13 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(wiki_items(spark, sf_dir), table(spark, sf_dir, "chunk_settings"))
 
 
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut item with what its pieces hold, counted on their texts."""
+    settings = table(spark, sf_dir, "chunk_settings")
+    found = splitting.piece_totals(p2_pieces(spark, sf_dir), settings)
+    return found.drop("pieces")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5, least=0.85)
     return near.select(F.least("id", "other_id").alias("chunk_id_a"), F.greatest("id", "other_id").alias("chunk_id_b")).distinct()
@@ -90,7 +97,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_report,
+        p1_found, p1_report, p2_found, p2_pieces, p2_totals, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_report,
         p7_selection, p7_shares, p8_found, p8_restored,
     )
 }
@@ -131,6 +138,8 @@ select s.split, s.source_set, count(*) as cases, count(c.n) as overlapping, cast
 from sides s left join counts c on c.id = s.id and c.training = (s.split = 'tuning') group by 1, 2""",
     "p2_found": f"""select distinct 'page' as item_kind, cast(page_id as varchar) as item_key from wiki_documents join chunk_settings using (source) where {_TOKENS.format('markdown')} > maximum
 union all select distinct 'chunk', chunk_id from chunks join chunk_settings using (source) where {_TOKENS.format('search_text')} > maximum""",
+    "p2_totals": f"""with i as (select distinct 'page' as item_kind, cast(page_id as varchar) as item_key, markdown as t, source from wiki_documents union select distinct 'chunk', chunk_id, search_text, source from chunks)
+select item_kind, item_key, {_TOKENS.format('t')} as tokens, length(t) as n_chars, true as within, true as shared from i join chunk_settings using (source) where {_TOKENS.format('t')} > maximum""",
     "p5_found": f"""with pr as {_runs('cast(page_id as varchar)', 'markdown', 3, 'wiki_documents', 8)}, pr_n as (select key, count(*) as n from pr group by 1),
 cr as {_runs('chunk_id', 'search_text', 3, 'chunks', 8)}, cr_n as (select key, count(*) as n from cr group by 1)
 {_PAIRS5.format(kind='page', r='pr')} union all {_PAIRS5.format(kind='chunk', r='cr')}""",

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.kernels import MARK, OTHER, WORD, by_chars, char_classes, code_points, mix64
+from docloom.session import materialize
 
 HARD, SENTENCE, LINE, PARAGRAPH, HEADING, END = range(6)
 KINDS = ["token", "sentence", "line", "paragraph", "heading", "end"]
@@ -84,10 +85,11 @@ def valley_depths(cells: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not len(at):
         return np.empty(0)
     alike = np.empty(len(at), np.float32)
-    for lo in range(0, int(at[-1]) + 1, SLAB):
-        mine = (at >= lo) & (at < lo + SLAB)
-        if not mine.any():
+    edges = np.searchsorted(at, np.arange(0, int(at[-1]) + 1 + SLAB, SLAB))  # boundaries are in order, so a slab has a slice of them
+    for lo, i, j in zip(range(0, int(at[-1]) + 1, SLAB), edges[:-1].tolist(), edges[1:].tolist()):
+        if i == j:
             continue
+        mine = slice(i, j)
         base = max(lo - BLOCK, 0)
         part = cells[base : lo + SLAB + BLOCK]
         bags = np.zeros((len(part) + 1, CELLS), np.float32)
@@ -134,13 +136,19 @@ def split_oversized(items: DataFrame, settings: DataFrame, with_text: bool = Tru
     share exactly ``overlap`` tokens (one less than the maximum at most; null
     counts as 0). Items within their maximum, null texts, sources without
     settings or with a null or non-positive maximum give no rows; repeated rows
-    of an item give one set of pieces; other columns are ignored.
+    of an item give one set of pieces (of several texts of a key one counts, by a
+    fixed rule); other columns are ignored. Only the texts of repeated keys are
+    shuffled.
     """
     limits = settings.where("maximum > 0").groupBy("source").agg(
         F.min("maximum").cast("int").alias("maximum"), F.max(F.coalesce("overlap", F.lit(0))).cast("int").alias("overlap")
     )
     # No item has more tokens than code points, so shorter texts never reach Python.
-    rows = items.select("kind", "key", "source", "text").join(limits, "source").where("key is not null and length(text) > maximum")
+    every = items.select("kind", "key", "source", "text").where("key is not null")
+    repeated = materialize(every.groupBy("kind", "key").count().where("count > 1").select("kind", "key"))
+    alone = every.join(repeated, ["kind", "key"], "left_anti")
+    copies = every.join(repeated, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.max(F.struct(F.xxhash64("text", "source").alias("h"), "text", "source")).alias("one"))
+    rows = alone.unionByName(copies.select("kind", "key", "one.source", "one.text")).join(limits, "source").where("length(text) > maximum")
 
     def run(batches):
         for batch in batches:
@@ -161,8 +169,41 @@ def split_oversized(items: DataFrame, settings: DataFrame, with_text: bool = Tru
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "item_kind string, item_key string, source string, piece_no int, start int, end int, tokens int, boundary string"
-    pieces = rows.mapInArrow(run, schema + (", text string" if with_text else ""))
-    return pieces.dropDuplicates(["item_kind", "item_key", "piece_no"])
+    return rows.select("kind", "key", "source", "text", "maximum", "overlap").mapInArrow(run, schema + (", text string" if with_text else ""))
+
+
+def piece_totals(pieces: DataFrame, settings: DataFrame) -> DataFrame:
+    """What an item's pieces hold, counted on their texts by another rule than the one that cut them.
+
+    ``(item_kind, item_key, pieces, tokens, n_chars, within, shared)``: ``tokens``
+    without the overlaps, ``within``: no piece is over the maximum, ``shared``: the
+    overlaps of all pieces hold as many tokens as asked.
+    """
+    counted = F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    limits = settings.where("maximum > 0").groupBy("source").agg(F.min("maximum").alias("maximum"), F.max(F.coalesce("overlap", F.lit(0))).alias("overlap"))
+    by = Window.partitionBy("item_kind", "item_key").orderBy("piece_no")
+    again = F.lag("end").over(by) - F.col("start")  # code points that the piece before holds too
+    one = pieces.withColumns({"n": counted, "again": again}).withColumn("twice", F.size(F.regexp_extract_all(F.substring(F.col("text"), F.lit(1), F.coalesce("again", F.lit(0))), F.lit(TOKEN), F.lit(0))))
+    asked = F.least("overlap", F.col("maximum") - 1)
+    return (
+        one.join(limits, "source")
+        .groupBy("item_kind", "item_key")
+        .agg(
+            F.count("*").alias("pieces"),
+            (F.sum("n") - F.sum("twice")).alias("tokens"),
+            F.max("end").cast("long").alias("n_chars"),
+            F.max(F.col("n")).alias("most"),
+            F.max("maximum").alias("maximum"),
+            F.bool_and((F.col("piece_no") == 0) | (F.col("twice") == asked)).alias("shared"),
+        )
+        .select("item_kind", "item_key", "pieces", "tokens", "n_chars", (F.col("most") <= F.col("maximum")).alias("within"), "shared")
+    )
+
+
+#: The token rule as a pattern of the JVM, for checks.
+TOKEN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 
 
 def _split(texts: list[str], maximum: list[int], overlap: list[int]):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from docloom.llm import splitting
@@ -55,3 +56,24 @@ def test_operator_handles_dirty_rows(spark):
         ("page", "1", "a b c d ", 4), ("page", "1", "d e f g ", 4), ("page", "1", "g h", 2),
     ]
     assert splitting.split_oversized(df.limit(0), limits).count() == 0 and splitting.split_oversized(df, limits.limit(0)).count() == 0
+
+
+def test_two_texts_of_a_key_never_mix(spark):
+    rows = [("page", "1", "a b c d e f g", "s"), ("page", "1", "x y z u v w", "s")] * 3
+    df = spark.createDataFrame(rows, "kind string, key string, text string, source string")
+    limits = spark.createDataFrame([("s", 3, 1)], "source string, maximum int, overlap int")
+    pieces = splitting.split_oversized(df, limits)
+    whole = {"a b c d e f g", "x y z u v w"}
+    texts = [r.text for r in pieces.orderBy("piece_no").collect()]
+    assert any(all(t in w for t in texts) for w in whole)
+    row = splitting.piece_totals(pieces, limits).first()
+    assert row.within and row.shared and row.tokens in (6, 7)
+
+
+def test_valleys_of_long_texts_equal_those_of_one_slab(monkeypatch):
+    rng = np.random.default_rng(2)
+    cells = rng.integers(-1, splitting.CELLS, 3000).astype(np.int16)
+    at = np.sort(rng.choice(np.arange(1, 3000), 400, replace=False))
+    want = splitting.valley_depths(cells, at)
+    monkeypatch.setattr(splitting, "SLAB", 97)
+    assert np.allclose(splitting.valley_depths(cells, at), want, atol=1e-5)
