@@ -6,11 +6,12 @@ search looks at blocks of two words: a shift table says how far the window may
 move when a block ends it, blocks that end no pattern prefix skip up to
 ``window - 1`` words, and blocks with shift zero select a suffix bucket whose
 patterns are compared with the text directly. Documents stream through one
-narrow stage; only the test set travels, in passes of bounded size.
+narrow stage; only the test set travels, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.kernels import Words, by_chars, mix64
+from docloom.session import materialize
 
-#: Code points of test items per pass; more items make more passes over the documents.
-CHARS_PER_PASS = 1_000_000
+#: Code points of test items per scan of the documents; 1.4 million took 0.3 GB of a Python worker.
+CHARS_PER_SCAN = 2_000_000
 
 
 def blocks_of(words: np.ndarray) -> np.ndarray:
@@ -68,18 +70,35 @@ class WuManber:
 
 
 def matchers(items: list[tuple], run: int) -> list[WuManber]:
-    """One matcher for the runs of long items and one for the short items."""
+    """One matcher for the runs of long items, and one for each class of short items (1, 2-3, 4-7, ... words).
+
+    A matcher's window is its shortest pattern, so very short items never narrow
+    the window of longer ones.
+    """
     some = Words([text or "" for _, text in items])
-    groups: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+    groups: dict[int, tuple[dict, dict]] = {}
     for i, (item, _) in enumerate(items):
         lo, hi = int(some.first[i]), int(some.first[i + 1])
         size = min(run, hi - lo)
-        patterns, hashes = groups[size < run]
-        for at in range(lo, hi - size + 1 if size else lo):
+        if not size:
+            continue
+        patterns, hashes = groups.setdefault(run if size == run else size.bit_length() - run, ({}, {}))
+        for at in range(lo, hi - size + 1):
             words = tuple(some.word(k) for k in range(at, at + size))
             patterns.setdefault(words, set()).add(item)
             hashes[words] = some.hash[at : at + size]
-    return [WuManber(p, h) for p, h in groups if p]
+    return [WuManber(p, h) for _, (p, h) in sorted(groups.items(), key=lambda x: x[0])]
+
+
+#: The matchers of the scan that this Python worker is at.
+_built: dict[str, list[WuManber]] = {}
+
+
+def _matchers_of(name: str, items: list[tuple], run: int) -> list[WuManber]:
+    if name not in _built:
+        _built.clear()
+        _built[name] = matchers(items, run)
+    return _built[name]
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
@@ -87,20 +106,23 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run: int = 12) -> Da
 
     An item of fewer than ``run`` words must stand whole. Null and empty texts on
     either side never match; repeated rows count once; rows with a null id are
-    ignored; without items the result is empty. Other columns are ignored.
+    ignored; without items the result is empty. Other columns are ignored. Test
+    items travel CHARS_PER_SCAN code points at a time, and every scan cuts the
+    documents into words once; with several scans only one scan's items are on
+    the driver and the executors at a time.
     """
     spark = documents.sparkSession
     known = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-int(chars) // CHARS_PER_PASS))
+    scans = max(1, -(-int(chars) // CHARS_PER_SCAN))
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
 
     def one(number: int) -> DataFrame:
-        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number)
-        shared = spark.sparkContext.broadcast(sorted(tuple(r) for r in part.collect()))  # at most about CHARS_PER_PASS
+        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(scans)) == number)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(tuple(r) for r in part.collect())))  # about CHARS_PER_SCAN
 
         def find(batches):
-            search = matchers(shared.value, run)
+            search = _matchers_of(*shared.value, run)
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 found = set()
@@ -112,9 +134,13 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run: int = 12) -> Da
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found))], names=["doc_id", "item_id"])
 
-        return texts.mapInArrow(find, "doc_id long, item_id long")
+        leaks = texts.mapInArrow(find, "doc_id long, item_id long")
+        if scans > 1:
+            leaks = materialize(leaks)
+            shared.destroy()
+        return leaks
 
-    return reduce(DataFrame.union, [one(n) for n in range(passes)]).distinct()
+    return reduce(DataFrame.union, [one(n) for n in range(scans)]).distinct()
 
 
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:

@@ -41,10 +41,10 @@ def test_matches_brute_force(spark):
     assert (302, 102) in rows and (303, 102) not in rows
 
 
-def test_several_passes_find_the_same(spark, monkeypatch):
+def test_several_scans_find_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, f"alpha{k} beta gamma") for k in range(20)], "item_id long, text string")
     documents = spark.createDataFrame([(k, f"x alpha{k} beta gamma y") for k in range(0, 20, 2)], "doc_id long, text string")
-    monkeypatch.setattr(leak, "CHARS_PER_PASS", 50)
+    monkeypatch.setattr(leak, "CHARS_PER_SCAN", 50)
     assert {tuple(r) for r in leak.leaked_passages(documents, items).collect()} == {(k, k) for k in range(0, 20, 2)}
 
 
@@ -54,3 +54,9 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert leak.leaked_passages(one, none_i).count() == 0 and leak.leaked_passages(none_d, none_i).count() == 0
     assert leak.leak_report(leak.leaked_passages(one, none_i), none_i).count() == 0
+
+
+def test_short_items_do_not_narrow_the_window_of_longer_ones():
+    items = [(1, "one"), (2, "two words"), (3, "a b c"), (4, " ".join(f"w{i}" for i in range(7))), (5, " ".join(f"x{i}" for i in range(20))), (6, "")]
+    found = leak.matchers(items, 12)
+    assert sorted(m.window for m in found) == [1, 2, 7, 12]
