@@ -12,22 +12,23 @@ differ from the raked ones by no more than a few documents.
 
 from __future__ import annotations
 
-import base64
-import functools
+import os
+import warnings
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.tokens import encoding
 from docloom.session import materialize
 
-#: Fixed value: the published split pattern of the byte-level vocabularies.
-SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Languages that are cells of their own; others share one.
-LANGUAGES = ["de", "en", "es", "fr", "it", "pl", "pt", "ru", "sr", "tr", "uk", "zh"]
-TOPIC_CELLS = 64
+#: Least share of the pool's tokens with which a language or a topic is a cell of its own; the others of its kind share one.
+#: The shares bound the number of cells, whatever the data holds.
+LEAST_LANGUAGE, LEAST_TOPIC = 0.001, 0.005
+OTHER = "other"
 #: Documents in a sampling stratum, on average.
 STRATUM = 5000
 #: Random starts of the systematic sample that a stratum chooses from.
@@ -35,33 +36,47 @@ STARTS = 24
 ROUNDS, TOLERANCE = 200, 1e-9
 
 
-@functools.lru_cache(4)
-def encoder(path: str):
-    """The tokenizer of a .tiktoken vocabulary file, loaded once per worker."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("vocabulary", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def sized_documents(documents: DataFrame, sources: DataFrame, vocabulary: str) -> DataFrame:
-    """``(doc_id, source, lang, topic, tokens)`` of the documents of some sources, one row per document."""
-    lang = F.substring_index(F.regexp_replace(F.lower(F.col("lang")), r"(?U)\s", ""), "-", 1)
-    topic = F.pmod(F.xxhash64(F.coalesce(F.substring_index("path", "/", 1), F.lit(""))), F.lit(TOPIC_CELLS)).cast("int")
+    """``(doc_id, source, lang, topic, tokens)`` of the documents of some sources, one row per document.
+
+    The language without case, blanks and region, the topic the first part of the
+    path; empty where there is none. The vocabulary file travels with the job.
+    """
+    lang = F.coalesce(F.substring_index(F.regexp_replace(F.lower(F.col("lang")), r"(?U)\s", ""), "-", 1), F.lit(""))
+    topic = F.coalesce(F.substring_index("path", "/", 1), F.lit(""))
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     rows = (
         documents.where("doc_id is not null and text is not null and text <> ''")
-        .select("doc_id", "source", F.when(lang.isin(LANGUAGES), lang).otherwise("other").alias("lang"), topic.alias("topic"), "text")
+        .select("doc_id", "source", lang.alias("lang"), topic.alias("topic"), "text")
         .join(sources.select("source").distinct(), "source", "left_semi")
     )
 
     def run(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts, pa.int64())], names=["doc_id", "source", "lang", "topic", "tokens"])
 
-    return rows.select("doc_id", "source", "lang", "topic", "text").mapInArrow(run, "doc_id long, source string, lang string, topic int, tokens long").dropDuplicates(["doc_id"])
+    return rows.select("doc_id", "source", "lang", "topic", "text").mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long").dropDuplicates(["doc_id"])
+
+
+def cells_of(sized: DataFrame, least_language: float = LEAST_LANGUAGE, least_topic: float = LEAST_TOPIC) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two small tables ``(lang, lang_cell)`` and ``(topic, topic_cell)`` of the values with cells of their own, and the
+    documents with their cells.
+
+    A value is a cell of its own from its least share of all tokens on, so there
+    are at most 1 / share of them; every other value is in the cell ``other``.
+    """
+    out = sized
+    tables = []
+    for column, least in (("lang", least_language), ("topic", least_topic)):
+        counted = sized.groupBy(column).agg(F.sum("tokens").alias("n"))
+        large = counted.crossJoin(counted.agg(F.sum("n").alias("whole"))).where(F.col("n") >= F.col("whole") * least)  # one row of the whole
+        own = large.select(column, F.col(column).alias(f"{column}_cell"))
+        tables.append(own)
+        out = out.join(F.broadcast(own), column, "left").withColumn(f"{column}_cell", F.coalesce(f"{column}_cell", F.lit(OTHER)))  # at most 1 / least rows
+    return *tables, out
 
 
 def rake(tokens: np.ndarray, source: np.ndarray, lang: np.ndarray, topic: np.ndarray, shares: np.ndarray, caps: np.ndarray, total: float) -> np.ndarray:
@@ -70,7 +85,10 @@ def rake(tokens: np.ndarray, source: np.ndarray, lang: np.ndarray, topic: np.nda
     mass = tokens.astype(float)
     target = shares * total
     keep = [(ids, np.bincount(ids, tokens) / tokens.sum() * total) for ids in (lang, topic)]
-    for _ in range(ROUNDS):
+    for number in range(ROUNDS + 1):
+        if number == ROUNDS:
+            warnings.warn(f"the marginals still moved by {np.abs(mass - before).sum() / total:.2g} of the mix after {ROUNDS} rounds", RuntimeWarning, stacklevel=2)
+            break
         before = mass.copy()
         for ids, want in keep:
             have = np.bincount(ids, mass, len(want))
@@ -123,7 +141,7 @@ def _weights(cells: "np.ndarray", targets: list, total_tokens: float | None) ->
             tokens, source, np.array([langs.index(c[1]) for c in mine]), np.array([topics.index(c[2]) for c in mine]), shares, caps, total
         )
         out += [
-            (int(mix), c[0], c[1], int(c[2]), float(w), int(max(1, -(-docs[s] // STRATUM)))) for c, s, w in zip(mine, source.tolist(), weights.tolist())
+            (int(mix), c[0], c[1], c[2], float(w), int(max(1, -(-docs[s] // STRATUM)))) for c, s, w in zip(mine, source.tolist(), weights.tolist())
         ]
     return out
 
@@ -131,7 +149,7 @@ def _weights(cells: "np.ndarray", targets: list, total_tokens: float | None) ->
 def mix_sources(
     documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total_tokens: float | None = None, seed: int = 7
 ) -> DataFrame:
-    """``(mix_id, source, doc_id, tokens, copies)``: the documents of every mix.
+    """``(mix_id, source, doc_id, tokens, copies, lang_cell, topic_cell)``: the documents of every mix.
 
     The size of a mix is ``total_tokens`` (default: all tokens of its sources),
     less where a small source could not fill its share within ``max_repeats``.
@@ -139,18 +157,21 @@ def mix_sources(
     targets with a null or non-positive share or repeat cap ask for nothing. Of
     repeated targets of a source in a mix, shares add and the least cap counts.
     Null or empty texts and null ids take no part, repeated rows of a document
-    are one document, unknown or null languages share a cell, null paths share a
-    topic; other columns are ignored. Equal inputs give equal mixes.
+    are one document, null languages and paths are empty ones; other columns are
+    ignored. Equal inputs give equal mixes. Languages and topics with a small share
+    of the pool share a cell (see cells_of), which ``lang_cell`` and ``topic_cell``
+    of the result name.
     """
     spark = documents.sparkSession
     asked = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(
         F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")
     )
-    sized = materialize(sized_documents(documents, asked, vocabulary).where("tokens > 0"))
-    # At most sources x (languages + 1) x TOPIC_CELLS rows: a fixed number per asked source.
+    *_, sized = cells_of(materialize(sized_documents(documents, asked, vocabulary).where("tokens > 0")))
+    sized = sized.select("doc_id", "source", F.col("lang_cell").alias("lang"), F.col("topic_cell").alias("topic"), "tokens")
+    # At most sources x 1 / LEAST_LANGUAGE x 1 / LEAST_TOPIC rows, and far fewer in sum: a fixed number per asked source.
     cells = [tuple(r) for r in sized.groupBy("source", "lang", "topic").agg(F.sum("tokens"), F.count("*")).collect()]
     weights = _weights(sorted(cells), [tuple(r) for r in asked.collect()], total_tokens)
-    table = spark.createDataFrame(weights, "mix_id int, source string, lang string, topic int, weight double, strata int")
+    table = spark.createDataFrame(weights, "mix_id int, source string, lang string, topic string, weight double, strata int")
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("strata"))
     rows = sized.join(table, ["source", "lang", "topic"]).withColumn("part", part)
     rows = rows.withColumn("whole", F.floor("weight")).withColumn("rest", F.col("weight") - F.floor("weight"))
@@ -173,7 +194,7 @@ def mix_sources(
         rows.join(best, stratum)
         .withColumn("copies", (F.col("whole") + taken(F.col("start"))).cast("int"))
         .where("copies > 0")
-        .select("mix_id", "source", "doc_id", "tokens", "copies")
+        .select("mix_id", "source", "doc_id", "tokens", "copies", F.col("lang").alias("lang_cell"), F.col("topic").alias("topic_cell"))
     )
 
 
@@ -191,3 +212,54 @@ def reached_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce(F.col("tokens") / F.sum("tokens").over(whole), F.lit(0.0)).alias("reached_share"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "documents", "copies", "most_repeats")),
     )
+
+
+def reached_marginals(documents: DataFrame, selection: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(mix_id, axis, cell, pool_share, reached_share, merged)``: languages and topics of every mix against its pool.
+
+    The pool are the documents of the mix' sources; ``merged`` counts the values
+    that share a cell. Source targets and caps come first, so the reached shares may
+    have to leave those of the pool.
+    """
+    asked = targets.where("mix_id is not null and source is not null and target_share > 0 and max_repeats > 0").select("mix_id", "source").distinct()
+    *_, sized = cells_of(materialize(sized_documents(documents, asked, vocabulary).where("tokens > 0")))
+    pool = sized.join(asked, "source")
+    out = None
+    for axis in ("lang", "topic"):
+        cell = f"{axis}_cell"
+        have = pool.groupBy("mix_id", cell).agg(F.sum("tokens").alias("pool"), F.count_distinct(axis).alias("merged"))
+        got = selection.groupBy("mix_id", cell).agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"))
+        whole = Window.partitionBy("mix_id")
+        one = have.join(got, ["mix_id", cell], "left").select(
+            "mix_id",
+            F.lit(axis).alias("axis"),
+            F.col(cell).alias("cell"),
+            (F.col("pool") / F.sum("pool").over(whole)).alias("pool_share"),
+            F.coalesce(F.col("reached") / F.sum("reached").over(whole), F.lit(0.0)).alias("reached_share"),
+            "merged",
+        )
+        out = one if out is None else out.union(one)
+    return out
+
+
+def mix_checks(selection: DataFrame, documents: DataFrame, targets: DataFrame, tolerance: float = 0.002, most_documents: int = 3) -> DataFrame:
+    """``(mix_id, source, share, close, capped)`` of every asked source.
+
+    ``share``: its target share of those that have documents; ``close``: the mix
+    misses it by ``tolerance`` of all its tokens at most, or by ``most_documents``
+    of the size of its largest document; ``capped``: no document stands in it too often.
+    """
+    asked = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(
+        F.sum("target_share").alias("target"), F.min("max_repeats").alias("most")
+    )
+    there = documents.where("doc_id is not null and text <> ''").select("source").distinct().withColumn("has", F.lit(True))
+    counted = F.when(F.col("has") & (F.col("target") > 0) & (F.col("most") > 0), F.col("target")).otherwise(0.0)
+    whole = Window.partitionBy("mix_id")
+    own = asked.join(there, "source", "left").withColumn("counted", F.coalesce(counted, F.lit(0.0)))
+    own = own.withColumn("share", F.coalesce(F.try_divide("counted", F.sum("counted").over(whole)), F.lit(0.0)))
+    got = selection.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n"), F.max("copies").alias("copies"), F.max("tokens").alias("largest"))
+    got = got.select("mix_id", "source", F.col("n").alias("tokens"), "copies", "largest")
+    joined = own.join(got, ["mix_id", "source"], "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "all": F.coalesce(F.sum("tokens").over(whole), F.lit(0))})
+    off = F.abs(F.col("tokens") - F.col("share") * F.col("all"))
+    close = off <= F.greatest(F.lit(tolerance) * F.col("all"), most_documents * F.coalesce(F.max("largest").over(whole), F.lit(0)))
+    return joined.select("mix_id", "source", F.round("share", 9).alias("share"), close.alias("close"), (F.coalesce("copies", F.lit(0)) <= F.greatest(F.coalesce("most", F.lit(0)), F.lit(0))).alias("capped"))

@@ -66,6 +66,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(p7_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached_marginals(table(spark, sf_dir, "documents"), p7_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_checks(p7_selection(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -98,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_report, p2_found, p2_pieces, p2_totals, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_report,
-        p7_selection, p7_shares, p8_found, p8_restored,
+        p7_selection, p7_shares, p7_marginals, p7_checks, p8_found, p8_restored,
     )
 }
 
@@ -144,6 +152,9 @@ select item_kind, item_key, {_TOKENS.format('t')} as tokens, length(t) as n_char
 cr as {_runs('chunk_id', 'search_text', 3, 'chunks', 8)}, cr_n as (select key, count(*) as n from cr group by 1)
 {_PAIRS5.format(kind='page', r='pr')} union all {_PAIRS5.format(kind='chunk', r='cr')}""",
     "p6_found": _LEAKS + " select doc_id, item_id from leaks",
+    "p7_checks": """with a as (select mix_id, source, sum(target_share) as target, min(max_repeats) as most from mix_targets where mix_id is not null and source is not null group by 1, 2),
+c as (select *, case when target > 0 and most > 0 and source in (select source from documents where text <> '') then target else 0 end as counted from a)
+select mix_id, source, round(coalesce(counted / sum(counted) over (partition by mix_id), 0), 9) as share, true as close, true as capped from c""",
     "p6_report": _LEAKS + """ select i.item_id, i.kind, i.lang, coalesce(n, 0) as documents from (select distinct item_id, kind, lang from heldout_items) i
   left join (select item_id, count(*) as n from leaks group by 1) l on l.item_id = i.item_id""",
 }

@@ -35,6 +35,20 @@ def test_shares_and_caps(spark, documents):
     assert shares[1, "nosuch"] == 0 and shares[3, "big"] == 0
     assert shares[2, "tiny"] == pytest.approx(0.5, abs=0.02)
     assert sorted(map(tuple, mixing.mix_sources(documents, targets).collect())) == sorted(map(tuple, rows))
+    checks = mixing.mix_checks(chosen, documents, targets, 0.02).collect()
+    assert len(checks) == 7 and all(r.close and r.capped for r in checks)
+
+
+def test_languages_and_topics_keep_the_pools_shares_where_sources_allow(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, "word " * int(rng.integers(20, 60)), ["en", "ru", "de"][k % 3] if k % 500 else f"rare{k}", ["a", "b"][k % 2], f"{'xyz'[k // 7 % 3]}/p", 1, 1) for k in range(3000)]
+    documents = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([(1, "a", 0.7, 3), (1, "b", 0.3, 3)], TARGETS)
+    chosen = mixing.mix_sources(documents, targets)
+    found = {(r.axis, r.cell): r for r in mixing.reached_marginals(documents, chosen, targets).collect()}
+    assert {c for a, c in found if a == "lang"} == {"en", "ru", "de", "other"} and {c for a, c in found if a == "topic"} == set("xyz")
+    assert found["lang", "other"].merged == 6
+    assert all(abs(r.pool_share - r.reached_share) < 0.01 for r in found.values())
 
 
 def test_empty_inputs(spark, documents):
