@@ -3,11 +3,14 @@
 Adjacent character pairs are scored by their share of the corpus' mutual
 information, p(ab) * log(p(ab) / (p(a) p(b))): pairs of garbled text may be
 strongly tied to each other, but their share is small. Per document the
-maximum-scoring segments of improbability isolate the suspicious runs, and only
-the words inside those runs are tried with the inverse mappings: bytes of one
-8-bit encoding read as another, and UTF-8 read as an 8-bit encoding, up to three
-times over. A mapping is accepted if the restored characters are clearly more
-probable in the corpus than the garbled ones.
+maximum-scoring segments of improbability isolate the suspicious runs, at one
+level for bytes of one 8-bit encoding read as another and at a weaker one for
+UTF-8 read as an 8-bit encoding (up to three times over), which proves itself by
+its form. Only words inside those runs are tried with the inverse mappings. A
+mapping is accepted if the restored characters are clearly more probable in the
+corpus than the garbled ones. Control and replacement characters always make a
+run. Once a mapping is proven for two words of a line, the words between them
+are part of its passage and are restored where that makes them more probable.
 
 Pair counts are taken over all documents. The alphabet is the fixed repertoire
 of the encodings below (other characters count by their general category), so
@@ -196,22 +199,18 @@ class Restorer:
         edge = np.diff((p > 127).view(np.int8), prepend=np.int8(0))
         wa, wb = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         bounds = np.stack((wa - 1, wb), 1).ravel()  # a word's pairs include its two neighbours
-        lowest, own = np.minimum.reduceat(s, bounds)[::2], np.add.reduceat(s, bounds)[::2]
+        own = np.add.reduceat(s, bounds)[::2]
         text_of = np.searchsorted(begin, wa, side="right") - 1
-        lost = np.bincount(text_of, np.maximum.reduceat(_lost()[p], np.stack((wa, wb), 1).ravel())[::2], len(some)) > 0
-
-        weights = np.clip(-s, -6, 6)
-        weights[begin[1:] - 1] = -1e6  # no segment crosses two texts
-        inside = np.zeros(len(wa) + 1, np.int32)
-        if segments := maximal_segments(weights):
-            sa, se = (np.array(c) for c in zip(*segments))
-            np.add.at(inside, np.searchsorted(wb, sa, side="right"), 1)
-            np.add.at(inside, np.searchsorted(wa, se, side="right"), -1)
-        inside = np.cumsum(inside)[:-1] > 0
+        # A pair with a control or replacement character is as improbable as can be, however often the corpus holds it.
+        gone = _lost()[p] > 0
+        s[gone | np.append(gone[1:], False)] = FLOOR - IMPROBABLE
+        inside = self.words_in_runs(s, begin, wa, wb, 0)
+        doubtful = self.words_in_runs(s, begin, wa, wb, DOUBTFUL - IMPROBABLE)
+        lost = np.bincount(text_of[inside], np.maximum.reduceat(_lost()[p], np.stack((wa, wb), 1).ravel())[::2][inside], len(some)) > 0
 
         changes: dict[int, str] = {}
         used: dict[int, dict[str, None]] = {}
-        self._utf8(joined, p, wa, wb, own, text_of, np.flatnonzero((inside | (lowest < DOUBTFUL - IMPROBABLE)) & _may_be_utf8(p, wa, wb)), changes, used)
+        self._utf8(joined, p, wa, wb, own, text_of, np.flatnonzero(doubtful & _may_be_utf8(p, wa, wb)), changes, used)
         open_words = np.flatnonzero(inside)
         open_words = open_words[[w not in changes for w in open_words.tolist()]]
         every, utf8, mappings = open_words, set(changes), {}
@@ -235,6 +234,20 @@ class Restorer:
             found[some[k]] = restored, ", ".join(used.get(k, ())) or None, bool(_LOST.search(restored))
         return found
 
+    def words_in_runs(self, s: np.ndarray, begin: np.ndarray, wa: np.ndarray, wb: np.ndarray, level: float) -> np.ndarray:
+        """Whether each word ``[wa, wb)`` meets a maximum-scoring segment of pairs that score below ``level``.
+
+        No segment crosses two texts, which begin at ``begin``.
+        """
+        weights = np.clip(level - s, -6, 6)
+        weights[begin[1:] - 1] = -1e6
+        steps = np.zeros(len(wa) + 1, np.int32)
+        if segments := maximal_segments(weights):
+            sa, se = (np.array(c) for c in zip(*segments))
+            np.add.at(steps, np.searchsorted(wb, sa, side="right"), 1)
+            np.add.at(steps, np.searchsorted(wa, se, side="right"), -1)
+        return np.cumsum(steps)[:-1] > 0
+
     def _utf8(self, joined, p, wa, wb, own, text_of, words, changes, used):
         paths: dict[int, set] = {}
         tried: dict[int, list] = {}
