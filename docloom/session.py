@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Setting under which the shuffle files of a finished query are deleted at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[str, str]] = []
 
 
@@ -52,10 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
+    """Write ``df`` to the shared folder and read it back, cutting its lineage.
+
+    What was shuffled for the table is deleted once it is written: nothing reads it again.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
