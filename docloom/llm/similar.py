@@ -222,9 +222,9 @@ def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col:
     parts = parallelism(spark)
     blocks = cell_blocks(vectors, dim, id_col, tables, probes, cell_rows)
     first = np.concatenate(([0], np.cumsum(blocks * (blocks + 1) // 2)))  # first task of each cell
-    newest = vector_nodes(vectors, dim, id_col, time_col, True).repartition(parts, "id").sortWithinPartitions("id", F.desc("t"), F.desc("node"))
+    versions = vector_nodes(vectors, dim, id_col, time_col, True).repartition(parts, "id").sortWithinPartitions("id", F.desc("t"), F.desc("node"))
 
-    def to_cells(batches):
+    def newest(batches):
         last = None
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -240,22 +240,27 @@ def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col:
             node = batch.column(2).to_numpy()
             _, one = np.unique(node, return_index=True)  # copies combine before the exchange
             batch = batch.take(pa.array(one))
-            node, scale = node[one], batch.column(4).to_numpy()
-            x = _joined(pa.chunked_array([batch.column(3)]), np.int16, dim) * scale[:, None]
-            for t in range(tables):
-                cells = nearest_axes(x, t * 31, probes) + t * 2 * dim
-                for p in range(cells.shape[1]):
-                    cell = cells[:, p]
-                    block = blocks_of(node, cell, blocks[cell])
-                    for other in range(blocks[cell].max()):
-                        at = np.flatnonzero(other < blocks[cell])
-                        task = first[cell[at]] + pair_number(block[at], np.full(len(at), other))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(task), pa.array(block[at].astype(np.int32)), *batch.select(["node", "codes", "scale"]).take(pa.array(at)).columns],
-                            names=["task", "block", "node", "codes", "scale"],
-                        )
-
-    in_tasks = newest.mapInArrow(to_cells, "task long, block int, node long, codes binary, scale float").repartition(parts, "task").sortWithinPartitions("task")
+            yield batch.select(["node", "codes", "scale"])
+
+    nodes = materialize(versions.mapInArrow(newest, "node long, codes binary, scale float"))
+
+    def to_cells(batches, t):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, scale = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            x = _joined(pa.chunked_array([batch.column(1)]), np.int16, dim) * scale[:, None]
+            cells = nearest_axes(x, t * 31, probes) + t * 2 * dim
+            for p in range(cells.shape[1]):
+                cell = cells[:, p]
+                block = blocks_of(node, cell, blocks[cell])
+                for other in range(blocks[cell].max()):
+                    at = np.flatnonzero(other < blocks[cell])
+                    task = first[cell[at]] + pair_number(block[at], np.full(len(at), other))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(task), pa.array(block[at].astype(np.int32)), *batch.take(pa.array(at)).columns],
+                        names=["task", "block", "node", "codes", "scale"],
+                    )
 
     def search(batches):
         for table in groups_in_order(batches, ["task"]):
@@ -271,7 +276,12 @@ def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col:
                 if len(row):
                     yield _lists(own, row, other, score)
 
-    lists = in_tasks.mapInArrow(search, "node long, found binary").repartition(parts, "node").sortWithinPartitions("node")
+    found = []
+    for t in range(tables):  # the copies that meet in one table's cells are gone before the next table's are made
+        copies = nodes.mapInArrow(functools.partial(to_cells, t=t), "task long, block int, node long, codes binary, scale float")
+        met = copies.repartition(parts, "task").sortWithinPartitions("task")
+        found.append(materialize(met.mapInArrow(search, "node long, found binary")))
+    lists = functools.reduce(DataFrame.union, found).repartition(parts, "node").sortWithinPartitions("node")
 
     def merge(batches):
         for table in groups_in_order(batches, ["node"]):
