@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import crosssplit, encoding, leak, mixing, neardup, similar, splitting
+from docloom.operators import semantic
 from docloom.sources.tables import table
 
 
@@ -49,8 +50,23 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("pieces")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5, least=0.85, tables=2, probes=6, levels=2)
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours that p4_found's search gives every twentieth chunk against brute force over all vectors, and whether nine of ten are there."""
+    asked = F.expr("chunk_id rlike '^[0-9a-f]{8}' and conv(substring(chunk_id, 1, 8), 16, 10) % 20 = 0")
+    vectors = semantic.usable_vectors(table(spark, sf_dir, "chunk_embeddings"), "chunk_id", "vector", 128, "embedded_at")
+    queries = vectors.where(F.expr("id rlike '^[0-9a-f]{8}' and conv(substring(id, 1, 8), 16, 10) % 20 = 0")).withColumnRenamed("id", "query_id")
+    true = semantic.exact_top_k(vectors, queries, 5, 128).where("cosine >= 0.85").select(F.col("query_id").alias("id"), F.col("id").alias("other_id"), F.lit(True).alias("true"))
+    got = _near(spark, sf_dir).withColumnRenamed("id", "chunk_id").where(asked).select(F.col("chunk_id").alias("id"), "other_id", F.lit(True).alias("got"))
+    both = true.join(got, ["id", "other_id"], "left")
+    return both.agg(F.count_distinct("id").alias("asked"), F.count("*").alias("wanted"), (F.count("got") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = similar.most_similar(table(spark, sf_dir, "chunk_embeddings"), k=5, least=0.85)
+    near = _near(spark, sf_dir)
     return near.select(F.least("id", "other_id").alias("chunk_id_a"), F.greatest("id", "other_id").alias("chunk_id_b")).distinct()
 
 
@@ -105,7 +121,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_found, p2_pieces, p2_totals, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_report,
+        p1_found, p1_report, p2_found, p2_pieces, p2_totals, p4_found, p4_neighbours, p4_recall, p5_found, p5_groups, p6_found, p6_report,
         p7_selection, p7_shares, p7_marginals, p7_checks, p8_found, p8_restored,
     )
 }
@@ -148,6 +164,24 @@ from sides s left join counts c on c.id = s.id and c.training = (s.split = 'tuni
 union all select distinct 'chunk', chunk_id from chunks join chunk_settings using (source) where {_TOKENS.format('search_text')} > maximum""",
     "p2_totals": f"""with i as (select distinct 'page' as item_kind, cast(page_id as varchar) as item_key, markdown as t, source from wiki_documents union select distinct 'chunk', chunk_id, search_text, source from chunks)
 select item_kind, item_key, {_TOKENS.format('t')} as tokens, length(t) as n_chars, true as within, true as shared from i join chunk_settings using (source) where {_TOKENS.format('t')} > maximum""",
+    "p4_recall": """with v as (select chunk_id as id, arg_max(vector, embedded_at)::double[] as v from chunk_embeddings where chunk_id is not null and len(vector) = 128
+  and len(list_filter(vector, lambda x: not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1),
+q as (select * from v where regexp_matches(id, '^[0-9a-f]{8}') and cast('0x' || substring(id, 1, 8) as bigint) % 20 = 0),
+s as (select q.id, v.id as other, round(list_dot_product(q.v, v.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(v.v, v.v)), 9) as c from q join v on v.id <> q.id),
+t as (select * from s qualify row_number() over (partition by id order by c desc, other) <= 5)
+select count(distinct id) as asked, count(*) as wanted, true as enough from t where c >= 0.85""",
+    "p5_groups": f"""with recursive w as (select distinct 'page' as kind, cast(page_id as varchar) as key, {_WORDS.format('markdown')} as w from wiki_documents union select distinct 'chunk', chunk_id, {_WORDS.format('search_text')} from chunks),
+r as (select distinct kind, key, array_to_string(w[i:i + 4], ' ') as run from (select kind, key, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+s as (select kind, key, md5(string_agg(run, '|' order by run)) as node, count(*) as n from r group by 1, 2),
+nodes as (select kind, node, min(n) as n, min(key) as least, count(*) as copies from s group by 1, 2),
+nr as (select distinct s.kind, s.node, r.run from r join s on s.kind = r.kind and s.key = r.key),
+o as (select a.kind, a.node as x, b.node as y, count(*) as o from nr a join nr b on a.kind = b.kind and a.run = b.run and a.node < b.node group by 1, 2, 3),
+links as (select o.kind, x, y from o join nodes a on a.kind = o.kind and a.node = x join nodes b on b.kind = o.kind and b.node = y where o >= 0.8 * (a.n + b.n - o) - 1e-9),
+edges as (select * from links union all select kind, y, x from links),
+reach as (select kind, node, node as other from nodes union select reach.kind, reach.node, e.y from reach join edges e on e.kind = reach.kind and e.x = reach.other),
+named as (select r.kind, r.node, min(n.least) as group_id from reach r join nodes n on n.kind = r.kind and n.node = r.other group by 1, 2)
+select s.kind, s.key, g.group_id, n.copies, coalesce(l.links, 0) as links from s join nodes n on n.kind = s.kind and n.node = s.node join named g on g.kind = s.kind and g.node = s.node
+  left join (select kind, x, count(*) as links from edges group by 1, 2) l on l.kind = s.kind and l.x = s.node""",
     "p5_found": f"""with pr as {_runs('cast(page_id as varchar)', 'markdown', 3, 'wiki_documents', 8)}, pr_n as (select key, count(*) as n from pr group by 1),
 cr as {_runs('chunk_id', 'search_text', 3, 'chunks', 8)}, cr_n as (select key, count(*) as n from cr group by 1)
 {_PAIRS5.format(kind='page', r='pr')} union all {_PAIRS5.format(kind='chunk', r='cr')}""",

@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector, by multiprobe cross-polytope hashing.
 
 Unit vectors are turned by three rounds of random signs and fast Hadamard
-transforms and assigned to the nearest signed axes: the nearest axis is the home
-cell, the next ones are its probes. Rows sit in ``probes`` cells of every table,
-so two vectors meet when any of their nearest axes agree. A cell is always
+transforms and assigned to the nearest signed axes: the nearest axis (or the pair
+of nearest axes of two rotations) is the home cell, the next ones are its probes.
+Rows sit in ``probes`` cells of every table, so two vectors meet when any of these
+agree. A cell is always
 compared whole, so how crowded it is changes no result: its rows are dealt to
 blocks of bounded size, and every pair of blocks is a task of its own. The
 vectors travel as 16-bit fixed-point numbers (cosine error about 4e-6).
@@ -27,6 +28,8 @@ from docloom.session import materialize, parallelism
 
 #: Rows of a block. A cell of more is dealt to several blocks, and each row travels once per block of its cell.
 CELL_ROWS = 65536
+#: Axes of each rotation that a cell of several rotations is made of.
+AXES = 4
 #: Rows and columns of cosines held at once.
 TILE_ROWS, TILE_COLS = 512, 8192
 
@@ -51,15 +54,31 @@ def _signs(seed: int, dim: int) -> np.ndarray:
     return np.where(bits & np.uint64(1), 1, -1).astype(np.float32).reshape(3, dim)
 
 
-def nearest_axes(x: np.ndarray, seed: int, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row after pseudo-rotation ``seed``, nearest first."""
+def ranked_axes(x: np.ndarray, seed: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``count`` nearest signed axes of each row after pseudo-rotation ``seed``, nearest first, and the row's parts along them."""
     for s in _signs(seed, x.shape[1]):
         x = hadamard(x * s)
     size = np.abs(x)
-    probes = min(probes, x.shape[1])
-    near = np.argpartition(-size, probes - 1, axis=1)[:, :probes]
+    count = min(count, x.shape[1])
+    near = np.argpartition(-size, count - 1, axis=1)[:, :count]
     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(size, near, 1), axis=1, kind="stable"), 1)
-    return near * 2 + (np.take_along_axis(x, near, 1) < 0)
+    return near * 2 + (np.take_along_axis(x, near, 1) < 0), np.take_along_axis(size, near, 1)
+
+
+def nearest_axes(x: np.ndarray, seed: int, probes: int) -> np.ndarray:
+    return ranked_axes(x, seed, probes)[0]
+
+
+def table_cells(x: np.ndarray, table: int, probes: int, levels: int) -> np.ndarray:
+    """The ``probes`` cells of each row in a table: one axis of each of ``levels`` rotations, those with the largest parts in sum first."""
+    cells, parts = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
+    for level in range(levels):
+        axes, size = ranked_axes(x, (table * levels + level) * 31, probes if levels == 1 else min(probes, AXES))
+        cells = (cells[:, :, None] * (2 * x.shape[1]) + axes[:, None, :]).reshape(len(x), -1)
+        parts = (parts[:, :, None] + size[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(-parts, axis=1, kind="stable")[:, :probes]
+        cells, parts = np.take_along_axis(cells, best, 1), np.take_along_axis(parts, best, 1)
+    return cells
 
 
 def blocks_of(nodes: np.ndarray, salt, blocks) -> np.ndarray:
@@ -198,29 +217,33 @@ def vector_nodes(vectors: DataFrame, dim: int, id_col: str, time_col: str, with_
     return rows.mapInArrow(run, f"id {kind}, t long, node long" + (", codes binary, scale float" if with_codes else ""))
 
 
-def cell_blocks(vectors: DataFrame, dim: int, id_col: str, tables: int, probes: int, cell_rows: int) -> np.ndarray:
+def cell_blocks(vectors: DataFrame, dim: int, id_col: str, tables: int, probes: int, levels: int, cell_rows: int) -> np.ndarray:
     """Number of blocks of every cell of every table, at least 1, by counting the rows before versions and copies are dropped."""
 
+    size = (2 * dim) ** levels
+
     def run(batches):
-        counts = np.zeros(tables * 2 * dim, np.int64)
+        counts = np.zeros(tables * size, np.int64)
         for batch in batches:
             _, x = usable(batch, dim)
             for t in range(tables if len(x) else 0):
-                counts += np.bincount(nearest_axes(x, t * 31, probes).ravel() + t * 2 * dim, minlength=len(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["cell", "n"])
+                counts[t * size : (t + 1) * size] += np.bincount(table_cells(x, t, probes, levels).ravel(), minlength=size)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
     counted = vectors.where(F.col(id_col).isNotNull()).select("vector").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    blocks = np.ones(tables * 2 * dim, np.int64)
-    for row in counted.collect():  # one row a cell, whatever the data
-        blocks[row["cell"]] = max(1, -(-row["n"] // cell_rows))
+    blocks = np.ones(tables * size, np.int64)
+    crowded = counted.where(F.col("n") > cell_rows).collect()  # one row a cell at most, whatever the data
+    for row in crowded:
+        blocks[row["cell"]] = -(-row["n"] // cell_rows)
     return blocks
 
 
-def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col: str, time_col: str, tables: int, probes: int, cell_rows: int) -> DataFrame:
+def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col: str, time_col: str, tables: int, probes: int, levels: int, cell_rows: int) -> DataFrame:
     """``(node, other, cosine)``: the best ``k`` other nodes of every node, in one row per neighbour."""
     spark = vectors.sparkSession
     parts = parallelism(spark)
-    blocks = cell_blocks(vectors, dim, id_col, tables, probes, cell_rows)
+    blocks = cell_blocks(vectors, dim, id_col, tables, probes, levels, cell_rows)
     first = np.concatenate(([0], np.cumsum(blocks * (blocks + 1) // 2)))  # first task of each cell
     versions = vector_nodes(vectors, dim, id_col, time_col, True).repartition(parts, "id").sortWithinPartitions("id", F.desc("t"), F.desc("node"))
 
@@ -250,7 +273,7 @@ def node_neighbours(vectors: DataFrame, k: int, least: float, dim: int, id_col:
                 continue
             node, scale = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             x = _joined(pa.chunked_array([batch.column(1)]), np.int16, dim) * scale[:, None]
-            cells = nearest_axes(x, t * 31, probes) + t * 2 * dim
+            cells = table_cells(x, t, probes, levels) + t * (2 * dim) ** levels
             for p in range(cells.shape[1]):
                 cell = cells[:, p]
                 block = blocks_of(node, cell, blocks[cell])
@@ -316,6 +339,7 @@ def most_similar(
     time_col: str = "embedded_at",
     tables: int = 1,
     probes: int = 4,
+    levels: int = 1,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``(id, other_id, rank, cosine)``: for every id its ``k`` most similar other ids, best first.
@@ -325,8 +349,9 @@ def most_similar(
     times: one of the vectors by a fixed rule), so repeated rows count once.
     Equal cosines: smaller id first; ids of equal vectors have cosine 1. Only
     neighbours of cosine ``least`` or more come out. More ``tables`` and
-    ``probes`` find more of the distant neighbours; ``cell_rows`` bounds the work
-    of one task and changes no result. Null ids and unusable
+    ``probes`` find more of the distant neighbours; more ``levels`` (rotations that
+    must agree) make smaller cells, which takes more tables for the same recall;
+    ``cell_rows`` bounds the work of one task and changes no result. Null ids and unusable
     vectors take no part, an empty table gives no rows, other columns are
     ignored. Recall is below 1 (README), all else is exact.
     """
@@ -334,7 +359,7 @@ def most_similar(
     members = materialize(newest.select("id", F.col("m.node").alias("node")))
     ranked_members = members.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1)
     classes = ranked_members.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    near = node_neighbours(vectors, k, least, dim, id_col, time_col, tables, probes, cell_rows)
+    near = node_neighbours(vectors, k, least, dim, id_col, time_col, tables, probes, levels, cell_rows)
     others = near.join(classes.withColumnRenamed("node", "other"), "other").select("node", F.explode("ids").alias("other_id"), "cosine")
     copies = classes.where(F.size("ids") > 1).select("node", F.explode("ids").alias("other_id"), F.lit(1.0).cast("float").alias("cosine"))
     order = Window.partitionBy("node").orderBy(F.desc("cosine"), "other_id")

@@ -85,3 +85,31 @@ def test_crowded_cells_are_compared_whole(spark):
 def test_hadamard_is_orthonormal():
     h = similar.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16), atol=1e-6) and np.allclose(np.abs(h), 0.25)
+
+
+def test_recall_of_the_production_parameters(spark):
+    x = vectors(300, 8, seed=4)
+    ids = np.array([f"c{k:04d}" for k in range(len(x))])
+    got = {(r.id, r.other_id) for r in similar.most_similar(frame(spark, [(i, v.tolist(), T0) for i, v in zip(ids.tolist(), x)]), 5, 0.85, tables=2, probes=6, levels=2).collect()}
+    want = brute(ids, x, 5, 0.85)
+    assert len(got & want) >= 0.97 * len(want) and len(want) > 3000 and len(got - want) <= 0.02 * len(want)
+
+
+def test_work_of_clustered_vectors_stays_near_linear():
+    def compared(groups):
+        x = vectors(groups, 10)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        sizes = np.unique(similar.table_cells(x, 0, 6, 2).ravel(), return_counts=True)[1].astype(float)
+        return (sizes**2).sum()
+
+    small, large = compared(500), compared(2000)
+    assert large < 8 * small and large < 0.02 * 20_000**2
+
+
+def test_cells_of_two_rotations_are_pairs_of_their_axes():
+    x = np.random.default_rng(1).normal(size=(50, 64)).astype(np.float32)
+    cells = similar.table_cells(x, 3, 5, 2)
+    a, b = (similar.nearest_axes(x, (3 * 2 + level) * 31, 4) for level in range(2))
+    assert (cells[:, 0] == a[:, 0] * 128 + b[:, 0]).all()
+    assert all(len(set(row)) == 5 for row in cells.tolist())
+    assert all(c // 128 in a[i] and c % 128 in b[i] for i, row in enumerate(cells.tolist()) for c in row)
