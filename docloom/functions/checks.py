@@ -38,10 +38,15 @@ def holds_lines(text: Column, command: Column) -> Column:
     return F.coalesce((F.trim(command) != "") & F.contains(plain(text), plain(command)), F.lit(False))
 
 
-def validate_query(question: object, k: object) -> None:
-    """ValueError unless the question is non-blank text without NUL that encodes, and ``k`` a positive integer."""
+def require_count(k: object) -> None:
+    """ValueError unless ``k`` is a positive integer (a bool is none)."""
     if type(k) is not int or k < 1:
         raise ValueError("k must be a positive integer")
+
+
+def validate_query(question: object, k: object) -> None:
+    """ValueError unless the question is non-blank text without NUL that encodes, and ``k`` a positive integer."""
+    require_count(k)
     if not isinstance(question, str) or not question.strip() or "\0" in question:
         raise ValueError("the question must be text")
     question.encode("utf-8")

@@ -117,3 +117,18 @@ def passage(title: str, headings: tuple[str, ...] | list[str], text: str) -> str
 
 def query_text(question: str) -> str:
     return f"query: {question}"
+
+
+def smallest_reaching(size, limit: int, most: int) -> int | None:
+    """The least n from 0 to ``most`` with ``size(n) >= limit`` for a size that never falls; None if there is none.
+
+    The bound is doubled until it reaches the limit and then halved in, so a size
+    that is costly to take is taken some 2 log n times.
+    """
+    high = 1
+    while high < most and size(high) < limit:
+        high *= 2
+    high = min(high, most)
+    if size(high) < limit:
+        return None
+    return bisect.bisect_left(range(high + 1), limit, key=size)

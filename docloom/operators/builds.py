@@ -51,9 +51,9 @@ def semantic_table(chunks: DataFrame, documents: DataFrame, load: Callable) -> D
 
 def table_fingerprint(table: DataFrame, columns: list[str]) -> DataFrame:
     """One row ``(rows, fingerprint)`` that does not depend on order; repeated rows count."""
-    digest = F.xxhash64(*columns), F.xxhash64(F.lit("second half"), *columns)
-    sums = (F.sum(d.cast("decimal(38,0)")) for d in digest)
-    return table.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*"), *sums), 256).alias("fingerprint"))
+    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
+    halves = (F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16))
+    return table.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *halves), 256).alias("fingerprint"))
 
 
 def metadata(spark: SparkSession, about: dict[str, str], documents: int, chunks: int, when: dt.datetime) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docloom.functions.checks import require_count
 from docloom.functions.literals import extract_literals, occurrences
 from docloom.functions.text import terms
 from docloom.operators.intervals import merge_ranges
@@ -114,6 +115,7 @@ def bm25_top_k(index: LexicalIndex, queries: DataFrame, k: int = 10) -> DataFram
     documents' scores and sends its own best ``k`` per query, so neither postings
     nor scores of a common term are ever shuffled.
     """
+    require_count(k)
     asked = query_terms(queries)
     weights = term_weights(index, asked)
     count = queries.count()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docloom.functions.checks import require_count
 from docloom.functions.vectors import is_usable
 from docloom.operators.lexical import DIGITS, top_k
 from docloom.operators.topk import Best
@@ -36,6 +37,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
     once and every task sends only its own best ``k`` per query. Cosines are
     double precision; ties (on nine digits) go to the smaller id.
     """
+    require_count(k)
     spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // max(1, BLOCK_NUMBERS // dim)))
     parts = []

@@ -35,3 +35,19 @@ def first_stops(samples: DataFrame, keys: list[str], time: str, order: str, coun
     reason = F.when(F.col("gap_us") > most_gap_us, "gap").when(F.col("delta") > most_growth, "growth")
     found = rows.withColumn("reason", reason).where("reason is not null")
     return found.groupBy(*keys).agg(F.min_by(F.struct(order, "reason"), F.struct(time, order)).alias("first")).select(*keys, f"first.{order}", "first.reason")
+
+
+def load_gate(samples: DataFrame, group: str, value: str, idle: str, most_ratio: float = 2.0, least_samples: int = 20) -> DataFrame:
+    """``(group, samples, p95, ratio, passes)``: whether each group's nearest-rank 95th percentile is at most
+    ``most_ratio`` times that of the idle group, with enough finite samples in both.
+
+    Values that are null or not finite count as a failed group.
+    """
+    sound = F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+    found = samples.groupBy(group).agg(
+        F.count_if(sound).alias("samples"), F.count_if(~sound).alias("unsound"), F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95")
+    )
+    base = found.where(F.col(group) == idle).select(F.col("p95").alias("base"), F.col("samples").alias("base_samples"))  # one row
+    ratio = F.try_divide("p95", "base")
+    passes = (ratio <= most_ratio) & (F.col("samples") >= least_samples) & (F.col("base_samples") >= least_samples) & (F.col("unsound") == 0)
+    return found.join(base, how="left").select(group, "samples", "p95", F.round(ratio, 9).alias("ratio"), F.coalesce(passes, F.lit(False)).alias("passes"))

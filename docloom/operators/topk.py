@@ -21,6 +21,8 @@ class Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> None:
         """``scores``: queries x rows; only entries of ``wanted`` (same shape) count. ``ids``: of the rows."""
+        if not np.isfinite(scores).all():
+            raise ValueError("a score isn't finite")
         passing = wanted & (scores >= self.floor[:, None])
         if scores.shape[1] > self.k:
             # The k-th best of these rows bounds what can come out; ties with it stay, as ids decide.

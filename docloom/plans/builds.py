@@ -140,6 +140,11 @@ def chunk_lookup(spark, sf):
     return stored.where(F.col("chunk_id") == F.lit(first)).select("chunk_id", "page_id", "ordinal", F.length("search_text").alias("n_chars"))
 
 
+def corpus_fingerprint(spark, sf):
+    """One fingerprint of all pages, whatever their order."""
+    return builds.table_fingerprint(pages(spark, sf), ["source", "page_id", "content_sha256", "updated_at"])
+
+
 def token_count_violations(spark, sf):
     """Chunks whose stated number of tokens is not the number of words and signs of their text."""
     counted = F.size(F.regexp_extract_all("search_text", F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)))
@@ -221,7 +226,7 @@ def candidate_grid(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_build, rechunked_build, index_violations, chunk_output_violations, snapshot_json, strict_json_lines, generated_shapes, chunk_lookup, token_count_violations,
+        index_build, rechunked_build, index_violations, chunk_output_violations, snapshot_json, strict_json_lines, generated_shapes, chunk_lookup, corpus_fingerprint, token_count_violations,
         chunk_segments, prompt_messages, pair_fingerprints, stop_reasons, mode_comparison, candidate_grid,
     )
 }
@@ -264,6 +269,8 @@ union all select 'no-' || id, 'terms_unexpected' from c where m = 4 union all se
     "strict_json_lines": "select event_id, event_id % 50 > 3 as strict from events",
     "generated_shapes": "select id, cast(substring(id, 2) as bigint) % 9 > 4 and kind is not null and answer is not null as fits from (select distinct id, kind, answer from safety_cases)",
     "chunk_lookup": f"select chunk_id, page_id, ordinal, cast(length(search_text) as integer) as n_chars from {CHUNKS} where chunk_id = (select min(chunk_id) from chunks)",
+    "corpus_fingerprint": f"""with r as (select sha256(concat_ws('|', coalesce(source, chr(0)), coalesce(cast(page_id as varchar), chr(0)), coalesce(content_sha256, chr(0)), coalesce(updated_at, chr(0)))) as h from {PAGES})
+select count(*) as rows, sha256(concat_ws(':', cast(count(*) as varchar), cast(sum(cast('0x' || substring(h, 1, 15) as hugeint)) as varchar), cast(sum(cast('0x' || substring(h, 16, 15) as hugeint)) as varchar))) as fingerprint from r""",
     "token_count_violations": f"""select * from (select chunk_id, cast(body_tokens as bigint) as stated, len(regexp_extract_all(search_text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')) as counted from {CHUNKS})
 where coalesce(stated <> counted, true)""",
     "chunk_segments": f"""select chunk_id, cast(position - 1 as integer) as position, s.kind as kind, s.start as start, s."end" as "end", s.role as role, s.reason as reason,

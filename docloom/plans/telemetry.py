@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.checks import holds_lines, is_origin, origin_of
 from docloom.functions.text import INSTANT, utc_instant
 from docloom.operators import evaluation, intervals, reports, telemetry
 from docloom.plans.common import CASES, PAGES, SPANS, cases, pages
+from docloom.session import ensure_checkpoint_dir
 from docloom.sources.tables import table
+from docloom.streaming import snapshots as streams
 
 
 def latency_stats_p95(spark, sf):
@@ -47,6 +51,20 @@ def report_totals(spark, sf):
     return found.where("coalesce(in_splits <> questions, true) or coalesce(in_categories <> questions, true)")
 
 
+def load_gate(spark, sf):
+    return telemetry.load_gate(table(spark, sf, "events"), "event_type", "value", "view")
+
+
+def event_windows(spark, sf):
+    """Count, sum and largest value per event type and six hours, computed as a stream that ends with the data."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = streams.table_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
+    windows = streams.event_windows(rows, "6 hours", late="40 days")
+    streams.replace_batches(windows, f"{folder}/rows", f"{folder}/progress").awaitTermination()
+    found = spark.read.parquet(f"{folder}/rows")
+    return found.select("start", "event_type", "n", F.round("total", 4).alias("total"), "largest")
+
+
 ORDER = ["click", "view", "click", "absent"]
 UNTIL = "2026-03-01T00:00:00.000000Z"
 
@@ -113,13 +131,17 @@ def command_lines(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        latency_stats_p95, sample_gaps, counter_deltas, log_fields, tag_counters, split_counters, report_totals, ordered_selection, arm_ratios,
+        latency_stats_p95, load_gate, event_windows, sample_gaps, counter_deltas, log_fields, tag_counters, split_counters, report_totals, ordered_selection, arm_ratios,
         first_warm_pairs, differing_fingerprints, repeat_difference, published_pages, page_origins, case_manifest, evidence_complete, command_lines,
     )
 }
 
 SQL = {
     "latency_stats_p95": "select event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as largest, quantile_disc(value, 0.95) as p95 from events where value is not null group by 1",
+    "load_gate": """with f as (select event_type, count(*) filter (where isfinite(value)) as samples, count(*) filter (where not coalesce(isfinite(value), false)) as unsound, quantile_disc(value, 0.95) as p95 from events group by 1),
+b as (select p95 as base, samples as bs from f where event_type = 'view')
+select event_type, samples, p95, round(p95 / base, 9) as ratio, coalesce(p95 / base <= 2 and samples >= 20 and bs >= 20 and unsound = 0, false) as passes from f, b""",
+    "event_windows": "select time_bucket(interval '6 hours', ts, timestamp '2024-01-01') as start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as largest from events where ts is not null group by 1, 2",
     "sample_gaps": "select event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_us from events",
     "counter_deltas": "select event_id, round(value - first_value(value) over (partition by user_id order by ts, event_id), 6) as delta from events",
     "log_fields": """select event_id, try_cast(nullif(regexp_extract(props, '"k": (-?\\d+)', 1), '') as double) as k, try_cast(nullif(regexp_extract(props, '"absent": (\\d+)', 1), '') as double) as missing from events""",

@@ -50,12 +50,35 @@ def read_json_snapshot(spark: SparkSession, path: str, strict: bool = True) -> D
     return rows.json(path, multiLine=True).select("source", F.explode("documents").alias("d")).select("source", "d.*")
 
 
-def read_jdbc_view(spark: SparkSession, url: str, view: str, properties: dict[str, str] | None = None, partition_by: str = "page_id", bounds: tuple[int, int, int] | None = None) -> DataFrame:
-    """The fixed columns of a database view; ``bounds`` (least, most, parts) reads it in parallel ranges."""
-    quoted = ".".join('"' + part.replace('"', '""') + '"' for part in view.split("."))
-    query = f"(select page_id, locale, path, title, markdown, updated_at from {quoted}) v"
-    options = {"column": partition_by, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": bounds[2]} if bounds else {}
-    return spark.read.jdbc(url, query, properties=properties or {}, **options)
+VIEW_COLUMNS = ("page_id", "locale", "path", "title", "markdown", "updated_at")
+
+
+def read_jdbc_view(
+    spark: SparkSession,
+    url: str,
+    view: str,
+    properties: dict[str, str] | None = None,
+    partition_by: str = "page_id",
+    bounds: tuple[int, int, int] | None = None,
+    timeout_s: int = 60,
+    quoted_columns: bool = False,
+) -> DataFrame:
+    """The fixed columns of a database view; ``bounds`` (least, most, parts) reads it in parallel ranges.
+
+    Statements end after ``timeout_s``, connections are opened read-only where the
+    driver has such a property, and a part that fails fails the whole read.
+    ``quoted_columns``: names are case-sensitive in the database.
+    """
+
+    def quoted(name: str) -> str:
+        return '"' + name.replace('"', '""') + '"'
+
+    columns = ", ".join(map(quoted, VIEW_COLUMNS) if quoted_columns else VIEW_COLUMNS)
+    query = f"(select {columns} from {'.'.join(map(quoted, view.split('.')))}) v"
+    options = {"readOnly": "true", **(properties or {}), "queryTimeout": str(timeout_s)}
+    if bounds:
+        options |= dict(zip(("lowerBound", "upperBound", "numPartitions"), map(str, bounds))) | {"partitionColumn": partition_by}
+    return spark.read.format("jdbc").options(url=url, dbtable=query, **options).load()
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ def event_windows(events: DataFrame, window: str = "5 minutes", slide: str | Non
     )
 
 
-def newest_rows(rows: DataFrame, key: str, time: str, late: str = "30 days") -> DataFrame:
+def delivered_once(rows: DataFrame, key: str, time: str, late: str = "30 days") -> DataFrame:
     """Each delivered row once: repeated deliveries of (key, time) within the watermark are dropped."""
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key, time])
 
@@ -35,3 +35,24 @@ def newest_rows(rows: DataFrame, key: str, time: str, late: str = "30 days") ->
 def for_each_batch(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None]):
     """Run ``write(batch, number)`` on every micro-batch available now; exactly once if ``write`` replaces by number."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+
+def replace_batches(stream: DataFrame, folder: str, progress: str):
+    """Run what is available now and leave each result in ``folder``, whole: a batch replaces the one before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+
+
+def newest_rows(rows: DataFrame, key: str, time: str) -> DataFrame:
+    """The newest row of every key so far, for ``outputMode("complete")`` or a batch; rows without key or time are left out.
+
+    One state row a key is kept: the key's largest (time, row), so deliveries may
+    come in any order and any number of times.
+    """
+    columns = [c for c in rows.columns if c not in (key, time)]
+    known = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    newest = known.groupBy(key).agg(F.max(F.struct(F.col(time).alias("t"), *columns)).alias("row"))
+    return newest.select(key, F.col("row.t").alias(time), *(F.col(f"row.`{c}`").alias(c) for c in columns))
