@@ -100,11 +100,11 @@ def _chunked(spark, sf, version):
 
 
 def chunk_markdown(spark, sf):
-    return _chunked(spark, sf, chunking.VERSIONS[0]).drop("segments", "source_ranges", "heading_path")
+    return _chunked(spark, sf, chunking.VERSIONS[0])
 
 
 def chunk_markdown_packed(spark, sf):
-    return _chunked(spark, sf, chunking.VERSIONS[1]).drop("segments", "source_ranges", "heading_path")
+    return _chunked(spark, sf, chunking.VERSIONS[1])
 
 
 def block_cover(spark, sf):
@@ -136,7 +136,7 @@ def chunk_invariants(spark, sf):
 def generation_roundtrip(spark, sf):
     """Publish pages and chunks as a generation, and compare what is read back."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
-    made = {"documents": pages(spark, sf), "chunks": chunks(spark, sf).drop("segments", "source_ranges", "heading_path")}
+    made = {"documents": pages(spark, sf), "chunks": chunks(spark, sf)}
     generations.publish(spark, root, made)
     parts = []
     for name, df in made.items():
