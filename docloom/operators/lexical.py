@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.checks import require_count
-from docloom.functions.literals import extract_literals, occurrences
+from docloom.functions.literals import extract_literals, stands_whole
 from docloom.functions.text import terms
 from docloom.operators.intervals import merge_ranges
 from docloom.operators.topk import Best
@@ -23,8 +23,8 @@ from docloom.session import materialize
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Scores are compared on this many digits, so copies tie whatever order their terms were added in.
 DIGITS = 9
-#: Queries that travel at once, and literals that one row or one pass asks a page for.
-QUERIES_PER_PASS, LITERALS_PER_PASS = 2000, 1000
+#: Queries, and literals, that travel at once.
+QUERIES_PER_PASS, LITERALS_PER_PASS = 2000, 20_000
 #: Documents scored at once against all queries of a pass (16 MB of scores).
 SLICE = 1024
 
@@ -213,61 +213,58 @@ def literal_matches(chunks: DataFrame, pages: DataFrame, wanted: DataFrame) -> D
     """``(query_id, id, literal, kind, start, end)``: literals of questions that stand whole inside a chunk's ranges.
 
     ``wanted``: ``(query_id, literal, kind)``; ``chunks``: ``(id, page_key,
-    ranges)``; ``pages``: ``(page_key, markdown)``. Every page is searched once and
-    its hits are joined to the ranges of its chunks. A literal with boundaries is
-    located by its longest term, so it only meets pages that hold that term, in
-    rows of bounded length; quoted spans, which may begin inside a word, are
-    searched in blocks of bounded size. Boundaries are judged on the whole page.
+    ranges)``; ``pages``: ``(page_key, markdown)``, full copies of a row allowed. The
+    literals travel in blocks of bounded size as one automaton each, which finds
+    all of them in one pass over a page; boundaries are judged on the whole page.
+    Only hits are shuffled, to be joined to the ranges of their page's chunks.
     """
     spark = chunks.sparkSession
-    distinct = materialize(wanted.select("literal", "kind").distinct().withColumn("terms", terms(F.col("literal"))))
-    keyed = distinct.where((F.size("terms") > 0) & (F.col("kind") != "quoted"))
-    keyed = keyed.select("literal", "kind", F.expr("array_max(transform(terms, t -> struct(length(t) as size, t as term))).term").alias("term"))
-    slices = max(1, -(-keyed.count() // LITERALS_PER_PASS))
-    located = (
-        pages.select("page_key", F.explode(F.array_distinct(terms(F.col("markdown")))).alias("term"))
-        .join(keyed, "term")
-        .groupBy("page_key", F.pmod(F.xxhash64("literal"), F.lit(slices)).alias("slice"))
-        .agg(F.collect_set(F.struct("literal", "kind")).alias("asked"))
-    )
-    key = pages.schema["page_key"].dataType.simpleString()
-    key_type = to_arrow_type(pages.schema["page_key"].dataType)
-
-    def search(rows: DataFrame, block) -> DataFrame:
-        """``(page_key, literal, kind, start, end)`` of the literals of each row, or else of the block."""
-
-        def run(batches):
-            for batch in batches:
-                lists = batch.column(2).to_pylist() if block is None else [block.value] * batch.num_rows
-                out = [
-                    (page, x["literal"], x["kind"], *at)
-                    for page, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists)
-                    for x in asked
-                    for at in occurrences(text or "", x["literal"], x["kind"])
-                ]
-                if out:
-                    kinds = [key_type, pa.string(), pa.string(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["page_key", "literal", "kind", "start", "end"])
-
-        return rows.mapInArrow(run, f"page_key {key}, literal string, kind string, start int, end int")
-
-    hits = search(pages.join(located, "page_key").select("page_key", "markdown", "asked"), None)
-    loose = distinct.where((F.size("terms") == 0) | (F.col("kind") == "quoted")).select("literal", "kind")
-    blocks = -(-loose.count() // LITERALS_PER_PASS)
+    distinct = materialize(wanted.select("literal", "kind").distinct())
+    key, key_type = pages.schema["page_key"].dataType.simpleString(), to_arrow_type(pages.schema["page_key"].dataType)
+    blocks = max(1, -(-distinct.count() // LITERALS_PER_PASS))
+    parts = []
     for number in range(blocks):
-        own = loose.where(F.pmod(F.xxhash64("literal", "kind"), F.lit(blocks)) == number)
-        block = spark.sparkContext.broadcast([r.asDict() for r in own.collect()])  # about LITERALS_PER_PASS rows
-        found = search(pages.select("page_key", "markdown"), block)
+        own = distinct.where(F.pmod(F.xxhash64("literal", "kind"), F.lit(blocks)) == number)
+        block = spark.sparkContext.broadcast(sorted(tuple(r) for r in own.collect()))  # about LITERALS_PER_PASS rows
+        found = pages.select("page_key", "markdown").mapInArrow(_literal_search(block, key_type), f"page_key {key}, literal string, kind string, start int, end int")
         if blocks > 1:
             found = materialize(found)
             block.destroy()
-        hits = hits.union(found)
-    ranges = chunks.select("id", "page_key", F.explode("ranges").alias("r")).select("id", "page_key", "r.start", "r.end")
-    inside = merge_ranges(ranges, ["id", "page_key"]).withColumnsRenamed({"start": "a", "end": "b"})
+        parts.append(found)
+    hits = reduce(DataFrame.union, parts).distinct()
+    ranges = chunks.join(hits.select("page_key").distinct(), "page_key", "left_semi").select("id", "page_key", F.explode("ranges").alias("r"))
+    inside = merge_ranges(ranges.select("id", "page_key", "r.start", "r.end"), ["id", "page_key"]).withColumnsRenamed({"start": "a", "end": "b"})
     placed = hits.join(inside, "page_key").where("start >= a and end <= b").select("id", "literal", "kind", "start", "end")
     return placed.join(wanted.select("query_id", "literal", "kind").distinct(), ["literal", "kind"]).select("query_id", "id", "literal", "kind", "start", "end")
 
 
+def _literal_search(block, key_type):
+    def run(batches):
+        import ahocorasick
+
+        by_text: dict[str, list[str]] = {}
+        for literal, kind in block.value:
+            if literal:
+                by_text.setdefault(literal, []).append(kind)
+        if not by_text:
+            return
+        automaton = ahocorasick.Automaton()
+        for literal, kinds in by_text.items():
+            automaton.add_word(literal, (literal, kinds))
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for last, (literal, kinds) in automaton.iter(text or ""):
+                    start, end = last + 1 - len(literal), last + 1
+                    out += [(page, literal, kind, start, end) for kind in kinds if stands_whole(text, start, end, kind)]
+            if out:
+                kinds = [key_type, pa.string(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["page_key", "literal", "kind", "start", "end"])
+
+    return run
+
+
 def lexical_search(index: LexicalIndex, queries: DataFrame, matches: DataFrame, k: int = 10) -> DataFrame:
     """The whole keyword search: literal hits first, then BM25 (see literal_priority).
 

@@ -6,24 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import latin_folding
+from docloom.functions.vectors import is_usable
 from docloom.operators import semantic
+from docloom.session import remembered, spread
 from docloom.sources.tables import table
 
 DIM = 128
 QUERY_SHARE = 20
 
 
+def _split(spark: SparkSession, sf: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a table whose key stands once, and the rows of repeated keys.
+
+    Only keys are counted, so the rows that stand once are never shuffled.
+    """
+    rows = table(spark, sf, name)
+    repeated = remembered(spark, ("repeated", sf, name, key), lambda: rows.groupBy(key).count().where("count > 1").select(key))
+    return spread(rows).join(repeated, key, "left_anti"), rows.join(repeated, key, "left_semi")
+
+
+def _once(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    alone, copies = _split(spark, sf, name, key)
+    return alone.unionByName(copies.dropDuplicates([key]))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """One row per page: redelivered rows are full copies."""
-    return table(spark, sf, "wiki_documents").dropDuplicates(["page_id"])
+    return _once(spark, sf, "wiki_documents", "page_id")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").dropDuplicates(["chunk_id"])
+    return _once(spark, sf, "chunks", "chunk_id")
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "eval_cases").dropDuplicates(["id"])
+    return _once(spark, sf, "eval_cases", "id")
 
 
 def asked_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +56,9 @@ def chunk_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return semantic.usable_vectors(table(spark, sf, "chunk_embeddings"), "chunk_id", "vector", DIM, "embedded_at")
+    alone, versions = _split(spark, sf, "chunk_embeddings", "chunk_id")
+    one = alone.where(F.col("chunk_id").isNotNull() & is_usable(F.col("vector"), DIM)).select(F.col("chunk_id").alias("id"), "vector")
+    return one.union(semantic.usable_vectors(versions, "chunk_id", "vector", DIM, "embedded_at"))
 
 
 def chunk_ranges(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ from docloom.plans.common import (
     ASKED, CASES, CHUNKS, PAGES, QUERY_SHARE, RANGES, SPANS, TEXTS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_vectors, chunks, pages,
     sql_bm25, sql_index, sql_literals, sql_matches, sql_search, sql_terms,
 )
+from docloom.session import spread
 from docloom.sources.tables import table
 
 QUESTIONS = [(1, "archived pallet index of the remote worker pool"), (2, "складской порт и ночной терминал"), (3, "Schlüssel für Einträge und Plätze")]
@@ -116,7 +117,7 @@ def literal_extract(spark, sf):
 def _literal_matches(spark, sf, queries, underscores=True):
     asked = lexical.literals(queries.select(F.col("query_id").alias("id"), "text"), underscores)
     own = chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("page_id").alias("page_key"), F.col("source_ranges").alias("ranges"))
-    text = pages(spark, sf).select(F.col("page_id").alias("page_key"), "markdown")
+    text = spread(table(spark, sf, "wiki_documents").select(F.col("page_id").alias("page_key"), "markdown"))
     return lexical.literal_matches(own, text, asked.select(F.col("id").alias("query_id"), "literal", "kind").distinct())
 
 

@@ -71,9 +71,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_remembered: dict[tuple, DataFrame] = {}
+
+
+def remembered(spark: SparkSession, name: tuple, make) -> DataFrame:
+    """A small table that is written once per application, under a name; ``release`` forgets it."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _remembered:
+        _remembered[key] = materialize(make())
+    return _remembered[key]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this application has written with ``materialize``; results that read them end with it."""
     jvm, done = spark.sparkContext._jvm, 0
+    for key in [k for k in _remembered if k[0] == spark.sparkContext.applicationId]:
+        del _remembered[key]
     for item in [x for x in _written if x[0] == spark.sparkContext.applicationId]:
         path = jvm.org.apache.hadoop.fs.Path(item[1])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -87,6 +100,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give fewer tasks than there are; otherwise as it is, without an exchange."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
 _shipped: set[str] = set()
 
 
