@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.evaluation import nearest_rank
+
 
 def sample_gaps(samples: DataFrame, keys: list[str], time: str, order: str) -> DataFrame:
     """Adds ``gap_us``: microseconds since the group's previous sample, null for the first."""
@@ -45,8 +47,9 @@ def load_gate(samples: DataFrame, group: str, value: str, idle: str, most_ratio:
     """
     sound = F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
     found = samples.groupBy(group).agg(
-        F.count_if(sound).alias("samples"), F.count_if(~sound).alias("unsound"), F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95")
+        F.count_if(sound).alias("samples"), F.count_if(~sound).alias("unsound")
     )
+    found = found.join(nearest_rank(samples, [group], value, 0.95).withColumnRenamed("value", "p95"), group, "left")
     base = found.where(F.col(group) == idle).select(F.col("p95").alias("base"), F.col("samples").alias("base_samples"))  # one row
     ratio = F.try_divide("p95", "base")
     passes = (ratio <= most_ratio) & (F.col("samples") >= least_samples) & (F.col("base_samples") >= least_samples) & (F.col("unsound") == 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.text import terms
+from docloom.functions.tokens import WORDS
 from docloom.operators import evaluation, grounding, hybrid, intervals, lexical, models, semantic, setcover
 from docloom.plans.common import (
     ASKED, CASES, CHUNKS, PAGES, QUERY_SHARE, RANGES, SPANS, TEXTS, VECTORS, asked_cases, cases, chunk_fields, chunk_ranges, chunk_vectors, chunks, pages,
@@ -258,6 +259,22 @@ def evidence_fragments(spark, sf):
     return found.select(F.col("id").alias("chunk_id"), "start", "end", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
 
 
+def prompt_packing(spark, sf):
+    """How many of each asked case's evidence texts fit a window of 150 tokens with the question, and what the prompt takes."""
+    texts = F.transform("evidence", lambda e: F.struct(e.id.alias("chunk_id"), F.lit("t").alias("title"), F.lit("h").alias("heading"), F.transform(e.spans, lambda s: s.exact_text).alias("fragments")))
+    asked = cases(spark, sf).where("size(evidence) > 0 and not question like '%\"%'").select(F.col("id").alias("query_id"), "question", texts.alias("evidence"))
+    found = grounding.pack_prompts(asked, "Answer from the context only.", WORDS, 150)
+    return found.select("query_id", F.size("packed").alias("packed"), "error")
+
+
+def manifest_violations(spark, sf):
+    """Rankings of chunks in which an id is repeated, is no chunk id, or belongs to a chunk whose ranges its page does not hold."""
+    own = chunks(spark, sf).select(F.col("page_id").cast("string").alias("query_id"), F.col("chunk_id").alias("id"), (F.col("page_id") % 40).alias("m"))
+    ranked = own.where("m <> 1").select("query_id", "id").union(own.where("m = 2").select("query_id", "id")).union(own.where("m = 1").select("query_id", F.substring("id", 1, 9)))
+    spoiled = chunk_ranges(spark, sf).withColumn("end", F.when(F.col("page_id") % 40 == 3, 99_999_999).otherwise(F.col("end")))
+    return grounding.manifest_violations(ranked, spoiled, pages(spark, sf))
+
+
 def answer_validation(spark, sf):
     """The safety cases' answers as generated objects, each against one piece of evidence named by its manifest.
 
@@ -283,7 +300,7 @@ QUERIES = {
         term_stats, bm25_topk, bm25_batch_topk, cosine_batch_topk, hybrid_topk, branch_union, rerank_topk, literal_ips, literal_extract,
         literal_offsets, literal_priority_topk, merged_ranges, interval_cover, interval_atoms, missing_ranges, interval_clip, followup_input,
         evidence_hit_at_5, eval_groups_dense, mode_transitions, lost_new_hits, loss_kinds, candidate_selection, set_cover_min, budget_pack,
-        evidence_fragments, answer_validation,
+        evidence_fragments, prompt_packing, manifest_violations, answer_validation,
     )
 }
 
@@ -396,6 +413,16 @@ from need n left join reach r on r.case_id = n.case_id""",
     "budget_pack": f"""with texts as {_TEXTS}, own as {_ASKED}, {sql_index('texts')}, {sql_search('bm25', 'own', 10)},
 r as (select b.query_id, b.id as chunk_id, b.rank, l.dl as tokens, sum(l.dl) over (partition by b.query_id order by b.rank rows unbounded preceding) as used from bm25 b join lengths l on l.id = b.id)
 select query_id, chunk_id, rank, tokens, cast(used as bigint) as used from r where used <= 600""",
+    "prompt_packing": f"""with c as (select id, question, evidence from {CASES} where len(evidence) > 0 and question not like '%"%'),
+s as (select id, n, 2 + len(regexp_extract_all(cast(to_json([{{'role': 'system', 'content': 'Answer from the context only.'}}, {{'role': 'user', 'content': cast(to_json({{'question': question,
+  'CONTEXT': list_transform(evidence[1:n], lambda e: {{'id': e.id, 'title': 't', 'heading': 'h', 'fragments': list_transform(e.spans, lambda s: s.exact_text)}})}}) as varchar)}}]) as varchar),
+  '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')) as size
+  from (select c.*, unnest(range(0, len(evidence) + 1)) as n from c))
+select id as query_id, coalesce(max(n) filter (where size <= 150), 0) as packed, case when count(*) filter (where size <= 150) = 0 then 'question_budget' end as error from s group by 1""",
+    "manifest_violations": f"""with c as (select cast(page_id as varchar) as q, chunk_id as id, page_id % 40 as m, page_id, source_ranges from {CHUNKS}),
+bad as (select id from c left join {PAGES} p on p.page_id = c.page_id where m = 3 or coalesce(len(source_ranges), 0) = 0 or len(list_filter(source_ranges, lambda r: not coalesce(r.start >= 0 and r.start < r."end" and r."end" <= length(p.markdown), false))) > 0)
+select q as query_id, id, 'identity' as rule from c where m = 2 union all select distinct q, substring(id, 1, 9), 'identity' from c where m = 1
+union all select distinct q, substring(id, 1, 9), 'ranges' from c where m = 1 union all select distinct q, id, 'ranges' from c where m <> 1 and id in (select id from bad)""",
     "answer_validation": f"""with c as (select distinct id, kind, answer, cast(substring(id, 2) as bigint) % 16 as m, regexp_matches(answer, '\\$[A-Z]\\$') as cites from safety_cases),
 r as (select *, case when m = 0 then 'generated_json' when m = 4 then 'code_source' when m = 5 then 'code_fence' when m = 1 then 'generated_source_link' when m = 2 then 'citation_marker' when m = 3 then 'citation_unknown'
   when kind = 'answer' and not cites then 'citation_missing' when kind = 'refusal' then null when m = 6 then 'code_prose' when kind = 'clarification' and m <> 7 then 'clarify_format' end as error from c)

@@ -78,3 +78,12 @@ def test_violations_of_sound_and_broken_rows(spark):
     assert sorted(r.rule for r in validation.document_violations(bad).collect()) == sorted(
         ["page_id", "locale", "path", "title", "updated_at", "markdown", "digest", "repeated_id", "repeated_place"]
     )
+
+
+def test_nearest_ranks_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [("one", 5.0)] + [("ties", float(v)) for v in rng.integers(0, 4, 999)] + [("wide", float(v)) for v in rng.normal(size=20_000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    for share in (0.05, 0.5, 0.95, 1.0):
+        want = {g: sorted(v for h, v in rows if h == g)[int(np.ceil(share * sum(h == g for h, _ in rows) - 1e-9)) - 1] for g in ("one", "ties", "wide")}
+        assert {r.g: r.value for r in evaluation.nearest_rank(df, ["g"], "v", share).collect()} == want
