@@ -418,7 +418,7 @@ s as (select id, n, 2 + len(regexp_extract_all(cast(to_json([{{'role': 'system',
   'CONTEXT': list_transform(evidence[1:n], lambda e: {{'id': e.id, 'title': 't', 'heading': 'h', 'fragments': list_transform(e.spans, lambda s: s.exact_text)}})}}) as varchar)}}]) as varchar),
   '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')) as size
   from (select c.*, unnest(range(0, len(evidence) + 1)) as n from c))
-select id as query_id, coalesce(max(n) filter (where size <= 150), 0) as packed, case when count(*) filter (where size <= 150) = 0 then 'question_budget' end as error from s group by 1""",
+select id as query_id, cast(coalesce(max(n) filter (where size <= 150), 0) as integer) as packed, case when count(*) filter (where size <= 150) = 0 then 'question_budget' end as error from s group by 1""",
     "manifest_violations": f"""with c as (select cast(page_id as varchar) as q, chunk_id as id, page_id % 40 as m, page_id, source_ranges from {CHUNKS}),
 bad as (select id from c left join {PAGES} p on p.page_id = c.page_id where m = 3 or coalesce(len(source_ranges), 0) = 0 or len(list_filter(source_ranges, lambda r: not coalesce(r.start >= 0 and r.start < r."end" and r."end" <= length(p.markdown), false))) > 0)
 select q as query_id, id, 'identity' as rule from c where m = 2 union all select distinct q, substring(id, 1, 9), 'identity' from c where m = 1

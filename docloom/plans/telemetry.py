@@ -158,7 +158,7 @@ where coalesce(in_splits <> questions, true) or coalesce(in_categories <> questi
 from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as n from events) where n <= 2 group by 1""",
     "differing_fingerprints": """select key, count(distinct value) as n_values from (select unnest(map_keys(fingerprints)) as key, unnest(map_values(fingerprints)) as value from validation_reports) group by 1 having count(distinct value) > 1""",
     "repeat_difference": f"""with t as (select unnest(tags) as tag, cast(substring(id, 2) as bigint) % 9 <> 0 as kept from {CASES}),
-r as (select tag, count(*) as n, 1 as s from t group by 1 union all select tag, count(*), -1 from t where kept group by 1) select tag, n, sum(s) as surplus from r group by 1, 2 having sum(s) <> 0""",
+r as (select tag, count(*) as n, 1 as s from t group by 1 union all select tag, count(*), -1 from t where kept group by 1) select tag, n, cast(sum(s) as bigint) as surplus from r group by 1, 2 having sum(s) <> 0""",
     "published_pages": f"select page_id from {PAGES} where regexp_matches(updated_at, '{INSTANT}') and try_cast(updated_at as timestamptz) <= timestamptz '2026-03-01 00:00:00+00'",
     "page_origins": f"""with o as (select nullif(regexp_extract(source_url, '^(https?://[^/@:?#\\s\\\\]+(?::\\d{{1,5}})?)(?:[/?#]|$)', 1), '') as origin from {PAGES})
 select origin, coalesce(regexp_matches(origin, '^https?://[^/@:?#]+(:\\d{{1,5}})?$'), false) as valid, count(*) as n from o group by 1, 2""",
