@@ -100,7 +100,7 @@ class Sizer:
     def __call__(self, a: int, b: int) -> int:
         first = bisect.bisect_right(self.ends, a)  # spans that end behind a
         behind = bisect.bisect_left(self.starts, b)  # and begin before b
-        if first >= behind:
+        if first >= behind or a >= b:
             return 0
         total = self.sums[behind] - self.sums[first]
         for i in {first, behind - 1}:  # spans that a or b cuts
