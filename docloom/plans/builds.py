@@ -108,7 +108,7 @@ def snapshot_json(spark, sf):
     """The pages of every source as a snapshot file, read back strictly."""
     path = _folder(spark, "snapshot")
     snapshots.write_json_snapshot(pages(spark, sf), path)
-    back = snapshots.read_json_snapshot(spark, f"{path}/*.txt")
+    back = snapshots.read_json_snapshot(spark, path)
     return back.select("source", "page_id", "title", "updated_at", digest(F.col("markdown")).alias("digest"))
 
 

@@ -152,15 +152,25 @@ def read_chunk_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_snapshot(documents: DataFrame, path: str, schema_version: int = 1) -> None:
-    """One object ``{schema_version, source, documents}`` per source, a line each, documents ordered by page; read_json_snapshot reads it.
+    """A file with one object ``{schema_version, source, documents}`` per source, documents ordered by page; read_json_snapshot reads the folder.
 
-    A snapshot file holds all pages of one source by definition, so a source is one group here.
+    A snapshot file holds all pages of one source by definition, so a source is one group here. Where
+    the groups fall doesn't matter: a file ends after one row. Without documents there are no files.
     """
     fields = F.struct(*(F.col(c) for c in COLUMNS))
     grouped = documents.groupBy("source").agg(F.array_sort(F.collect_list(fields)).alias("documents"))
     line = F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), "source", "documents"), {"ignoreNullFields": "false"})
-    parts = max(1, grouped.count())
-    grouped.select(line.alias("value")).repartition(parts).write.text(path)
+    grouped.select(line.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    _drop_empty_files(documents.sparkSession, path)
+
+
+def _drop_empty_files(spark: SparkSession, path: str) -> None:
+    """Spark writes a file for the first partition even if it has no rows."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.listStatus(folder):
+        if file.isFile() and not file.getLen() and file.getPath().getName().startswith("part-"):
+            fs.delete(file.getPath(), False)
 
 
 def missing_files(digests: DataFrame, expected: DataFrame) -> DataFrame:

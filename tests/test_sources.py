@@ -100,6 +100,21 @@ def test_written_snapshots_are_read_back(spark, tmp_path):
     assert {(r.source, r.page_id, r.markdown) for r in back.collect()} == {("a", 1, "a\r\n😀"), ("a", 2, "a\r\n😀"), ("b", 3, "a\r\n😀")}
 
 
+def test_every_source_of_a_snapshot_has_its_own_file(spark, tmp_path):
+    """Sources that come from several tasks, and none at all."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    df = spark.createDataFrame([tuple({"source": f"s{i % 40}", **DOCUMENT, "page_id": i}.values()) for i in range(80)], "source string, " + snapshots.DOCUMENT)
+    spark.conf.set(setting, "false")
+    try:
+        snapshots.write_json_snapshot(df, str(tmp_path / "s"))
+        snapshots.write_json_snapshot(df.where("false"), str(tmp_path / "none"))
+    finally:
+        spark.conf.unset(setting)
+    assert len(list((tmp_path / "s").glob("*.txt"))) == 40
+    assert sorted((r.page_id, r.source) for r in snapshots.read_json_snapshot(spark, str(tmp_path / "s")).collect()) == [(i, f"s{i % 40}") for i in range(80)]
+    assert snapshots.read_json_snapshot(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stated_files_are_compared_with_their_digests(spark):
     have = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
     want = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")
